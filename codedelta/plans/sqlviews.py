@@ -89,7 +89,8 @@ SELECT r_name AS group_id, n_name AS tool, CAST(n_nationkey AS INTEGER) AS tool_
 FROM w UNPIVOT (score FOR kpi IN (K1, K2, K3, K4, K5, K6, K7))""")
 
 
-def with_views(body: str, *names: str, extra: list[tuple[str, str]] | None = None) -> str:
+def with_views(body: str, *names: str, extra: list[tuple[str, str]] | None = None,
+               recursive: bool = False) -> str:
     """``WITH`` the named views (and their dependencies), then ``extra``
     (name, sql) CTEs in the given order, then ``body``."""
     order: list[str] = []
@@ -107,4 +108,4 @@ def with_views(body: str, *names: str, extra: list[tuple[str, str]] | None = Non
     parts += [f"{n} AS (\n{sql}\n)" for n, sql in (extra or [])]
     if not parts:
         return body
-    return "WITH " + ",\n".join(parts) + "\n" + body
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n" + body
