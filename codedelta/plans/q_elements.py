@@ -1 +1,205 @@
-"""(filled in below)"""
+"""Element extraction, mapping and element-diff queries over code pairs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from codedelta.operators import elements as E
+from codedelta.operators import mapping as M
+from codedelta.plans.registry import register
+from codedelta.plans.sqlviews import LINE_RE, _q, with_views
+from codedelta.sources.derived import code_pairs
+
+ELEMENT_COLS = ["pair_id", "side", "ord", "kind", "line", "name", "parameters", "imports", "text"]
+D = "CAST({} AS DOUBLE)"
+
+
+def _kind_sql(line="l", lang="language"):
+    outer = []
+    for language, pats in E.ELEMENT_PATTERNS.items():
+        inner = []
+        for kind, pat, name_g, _ in pats:
+            cond = f"regexp_matches({line}, {_q(pat)})"
+            if name_g is not None:
+                ident = f"regexp_extract(regexp_extract({line}, {_q(pat)}, {name_g}), {_q(E.LEAD_IDENT)}, 0)"
+                kws = ", ".join(_q(k) for k in E.KEYWORDS)
+                cond = f"({cond} AND {ident} NOT IN ({kws}))"
+            inner.append(f"WHEN {cond} THEN {_q(kind)}")
+        outer.append(f"WHEN {lang} = {_q(language)} THEN CASE {' '.join(inner)} END")
+    return "CASE " + "\n ".join(outer) + " END"
+
+
+def _group_sql(which, line="l", lang="language", kind="kind"):
+    parts = []
+    for language, pats in E.ELEMENT_PATTERNS.items():
+        for k, pat, name_g, params_g in pats:
+            g = name_g if which == 0 else params_g
+            if g is None:
+                continue
+            parts.append(f"WHEN {lang} = {_q(language)} AND {kind} = {_q(k)} "
+                         f"THEN regexp_extract({line}, {_q(pat)}, {g})")
+    return "CASE " + "\n ".join(parts) + " END"
+
+
+_STRIP = _q(E.STRIP)
+_IMPORTS = ", ".join(_q(k) for k in E.IMPORT_KINDS)
+
+ELEMENT_CTES = [
+    ("sides", f"""SELECT pair_id, language, 'legacy' AS side, regexp_extract_all(legacy, {LINE_RE}) AS la FROM code_pairs
+          UNION ALL
+          SELECT pair_id, language, 'refactored' AS side, regexp_extract_all(refactored, {LINE_RE}) FROM code_pairs"""),
+    ("ln", """SELECT pair_id, language, side, la, line, la[line] AS l
+          FROM (SELECT *, unnest(range(1, len(la) + 1)) AS line FROM sides)"""),
+    ("kd", f"SELECT *, {_kind_sql()} AS kind FROM ln"),
+    ("ek", f"""SELECT *, CAST(row_number() OVER w - 1 AS INTEGER) AS ord, lead(line) OVER w AS nxt,
+                {_group_sql(0)} AS nm, {_group_sql(1)} AS pr
+          FROM kd WHERE kind IS NOT NULL WINDOW w AS (PARTITION BY pair_id, side ORDER BY line)"""),
+    ("els", f"""SELECT pair_id, side, ord, kind, CAST(line AS INTEGER) AS line,
+                CASE WHEN length(nm) > 0 THEN nm END AS name,
+                CASE WHEN pr IS NOT NULL
+                     THEN list_filter(list_transform(string_split(pr, ','), lambda p: regexp_replace(p, {_STRIP}, '', 'g')),
+                                      lambda p: length(p) > 0)
+                     ELSE []::VARCHAR[] END AS parameters,
+                CASE WHEN kind IN ({_IMPORTS}) THEN [regexp_replace(l, {_STRIP}, '', 'g')] ELSE []::VARCHAR[] END AS imports,
+                CASE WHEN kind IN ({_IMPORTS}) THEN regexp_replace(l, {_STRIP}, '', 'g')
+                     ELSE regexp_replace(array_to_string(la[line:coalesce(nxt, len(la) + 1) - 1], ''), {_STRIP}, '', 'g')
+                END AS text
+          FROM ek"""),
+]
+
+_SIM_SQL = f"""CASE WHEN l.name = r.name THEN {D.format('1.0')} ELSE
+  (CASE WHEN greatest(length(l.name), length(r.name)) > 0
+        THEN 1 - levenshtein(l.name, r.name) / greatest(length(l.name), length(r.name))
+        ELSE {D.format('0.0')} END) * {D.format('0.5')}
+  + (CASE WHEN l.kind = r.kind THEN {D.format('1.0')} ELSE {D.format('0.5')} END) * {D.format('0.3')}
+  + (CASE WHEN len(l.parameters) = 0 AND len(r.parameters) = 0 THEN {D.format('1.0')}
+          WHEN len(l.parameters) = 0 OR len(r.parameters) = 0 THEN {D.format('0.0')}
+          ELSE len(list_filter(l.parameters, lambda x: list_contains(r.parameters, x)))
+               / greatest(len(l.parameters), len(r.parameters)) END) * {D.format('0.2')} END"""
+
+MAPPING_CTES = ELEMENT_CTES + [
+    ("nm", "SELECT * FROM els WHERE name IS NOT NULL AND name <> ''"),
+    ("fb", "SELECT pair_id, side, name, min(ord) AS ord FROM nm GROUP BY pair_id, side, name"),
+    ("hm", """SELECT c.pair_id, l.ord AS l_ord, arg_max(r.ord, c.hint_to) AS r_ord FROM code_pairs c
+          JOIN fb l ON l.pair_id = c.pair_id AND l.side = 'legacy' AND l.name = c.hint_from
+          JOIN fb r ON r.pair_id = c.pair_id AND r.side = 'refactored' AND r.name = c.hint_to
+          GROUP BY c.pair_id, l.ord"""),
+    ("cand", f"""SELECT l.pair_id, l.ord AS l_ord, r.ord AS r_ord, {_SIM_SQL} AS sim
+          FROM nm l JOIN nm r ON l.pair_id = r.pair_id AND l.side = 'legacy' AND r.side = 'refactored'
+          WHERE NOT EXISTS (SELECT 1 FROM hm WHERE hm.pair_id = l.pair_id AND hm.l_ord = l.ord)"""),
+    ("best", """SELECT pair_id, l_ord, r_ord, sim FROM (
+            SELECT *, row_number() OVER (PARTITION BY pair_id, l_ord ORDER BY sim DESC, r_ord) AS rn
+            FROM cand WHERE sim > 0.7) WHERE rn = 1"""),
+    ("mp", """SELECT pair_id, l_ord, r_ord, 'hint' AS source FROM hm
+          UNION ALL
+          SELECT pair_id, l_ord, r_ord, CASE WHEN sim = 1.0 THEN 'name' ELSE 'fuzzy' END FROM best"""),
+]
+
+_EQUIV = ("o.kind = x.kind AND o.text = x.text AND o.name IS NOT DISTINCT FROM x.name "
+          "AND o.parameters = x.parameters AND o.imports = x.imports")
+
+NODE_CTES = MAPPING_CTES + [
+    ("added", f"""SELECT x.* FROM els x WHERE x.side = 'refactored'
+          AND NOT EXISTS (SELECT 1 FROM els o WHERE o.pair_id = x.pair_id AND o.side = 'legacy' AND {_EQUIV})
+          AND NOT EXISTS (SELECT 1 FROM mp WHERE mp.pair_id = x.pair_id AND mp.r_ord = x.ord)"""),
+    ("removed", f"""SELECT o.* FROM els o WHERE o.side = 'legacy'
+          AND NOT EXISTS (SELECT 1 FROM els x WHERE x.pair_id = o.pair_id AND x.side = 'refactored' AND {_EQUIV})
+          AND NOT EXISTS (SELECT 1 FROM mp WHERE mp.pair_id = o.pair_id AND mp.l_ord = o.ord)"""),
+    ("modified", f"""SELECT mp.pair_id, mp.l_ord, mp.r_ord,
+            list_filter([CASE WHEN o.kind <> x.kind THEN 'Type changed: ' || o.kind || ' -> ' || x.kind END,
+                         CASE WHEN o.text <> x.text THEN 'Content modified' END,
+                         CASE WHEN NOT (o.name IS NOT DISTINCT FROM x.name AND o.parameters = x.parameters
+                                        AND o.imports = x.imports) THEN 'Metadata changed' END],
+                        lambda c: c IS NOT NULL) AS changes
+          FROM mp JOIN els o ON o.pair_id = mp.pair_id AND o.side = 'legacy' AND o.ord = mp.l_ord
+                  JOIN els x ON x.pair_id = mp.pair_id AND x.side = 'refactored' AND x.ord = mp.r_ord
+          WHERE NOT ({_EQUIV})"""),
+    ("node_counts", """SELECT c.pair_id,
+            CAST((SELECT count(*) FROM added a WHERE a.pair_id = c.pair_id) AS BIGINT) AS nodes_added,
+            CAST((SELECT count(*) FROM removed r WHERE r.pair_id = c.pair_id) AS BIGINT) AS nodes_removed,
+            CAST((SELECT count(*) FROM modified m WHERE m.pair_id = c.pair_id) AS BIGINT) AS nodes_modified
+          FROM code_pairs c WHERE c.language IN ('javascript', 'java', 'python', 'c', 'cpp')"""),
+]
+
+
+def _elements_sql(langs):
+    inlist = ", ".join(_q(x) for x in langs)
+    return with_views(f"""
+SELECT e.pair_id, e.side, e.ord, e.kind, e.line, e.name, e.parameters, e.imports, e.text
+FROM els e JOIN code_pairs c USING (pair_id) WHERE c.language IN ({inlist})""", "code_pairs", extra=ELEMENT_CTES)
+
+
+def _elements_query(langs):
+    def q(spark, sf_dir):
+        cp = code_pairs(spark, sf_dir).filter(F.col("language").isin(langs))
+        return E.elements(cp).select(*ELEMENT_COLS)
+    return q
+
+
+for _name, _langs in [("elements_js", ["javascript"]), ("elements_java", ["java"]),
+                      ("elements_py", ["python"]), ("elements_c", ["c", "cpp"])]:
+    register(_name, _elements_sql(_langs))(_elements_query(_langs))
+
+
+def pair_elements(spark, sf_dir):
+    cp = code_pairs(spark, sf_dir)
+    return cp, E.elements(cp)
+
+
+@register("map_hints", with_views("SELECT pair_id, l_ord, r_ord FROM hm", "code_pairs", extra=MAPPING_CTES))
+def map_hints(spark, sf_dir):
+    cp, els = pair_elements(spark, sf_dir)
+    return M.hint_mapping(cp, els).select("pair_id", "l_ord", "r_ord")
+
+
+@register("map_fuzzy", with_views("SELECT pair_id, l_ord, r_ord, source FROM mp", "code_pairs", extra=MAPPING_CTES))
+def map_fuzzy(spark, sf_dir):
+    cp, els = pair_elements(spark, sf_dir)
+    return M.mapping(cp, els)
+
+
+@register("node_added", with_views("SELECT pair_id, ord, kind, name FROM added", "code_pairs", extra=NODE_CTES))
+def node_added(spark, sf_dir):
+    cp, els = pair_elements(spark, sf_dir)
+    return M.node_added(els, M.mapping(cp, els)).select("pair_id", "ord", "kind", "name")
+
+
+@register("node_removed", with_views("SELECT pair_id, ord, kind, name FROM removed", "code_pairs", extra=NODE_CTES))
+def node_removed(spark, sf_dir):
+    cp, els = pair_elements(spark, sf_dir)
+    return M.node_removed(els, M.mapping(cp, els)).select("pair_id", "ord", "kind", "name")
+
+
+@register("node_modified", with_views("SELECT pair_id, l_ord, r_ord, changes FROM modified", "code_pairs",
+                                      extra=NODE_CTES))
+def node_modified(spark, sf_dir):
+    cp, els = pair_elements(spark, sf_dir)
+    return M.node_modified(els, M.mapping(cp, els)).select("pair_id", "l_ord", "r_ord", "changes")
+
+
+def element_counts(cp, els):
+    """(pair_id, nodes_added, nodes_removed, nodes_modified) for parsed pairs, zeros kept."""
+    mp = M.mapping(cp, els)
+    a = M.node_added(els, mp).groupBy("pair_id").agg(F.count(F.lit(1)).alias("nodes_added"))
+    r = M.node_removed(els, mp).groupBy("pair_id").agg(F.count(F.lit(1)).alias("nodes_removed"))
+    m = M.node_modified(els, mp).groupBy("pair_id").agg(F.count(F.lit(1)).alias("nodes_modified"))
+    base = cp.filter(F.col("language").isin(list(E.ELEMENT_PATTERNS))).select("pair_id")
+    out = base.join(a, "pair_id", "left").join(r, "pair_id", "left").join(m, "pair_id", "left")
+    return out.select("pair_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c)
+                                   for c in ["nodes_added", "nodes_removed", "nodes_modified"]])
+
+
+@register("ast_summary", with_views("""
+SELECT pair_id, nodes_added, nodes_removed, nodes_modified,
+       concat_ws(', ', CASE WHEN nodes_added > 0 THEN CAST(nodes_added AS VARCHAR) || ' nodes added' END,
+                       CASE WHEN nodes_removed > 0 THEN CAST(nodes_removed AS VARCHAR) || ' nodes removed' END,
+                       CASE WHEN nodes_modified > 0 THEN CAST(nodes_modified AS VARCHAR) || ' nodes modified' END)
+         AS ast_diff_summary,
+       CAST(least(nodes_added * 2 + nodes_removed * 3 + nodes_modified, 100) AS BIGINT) AS impact_score
+FROM node_counts""", "code_pairs", extra=NODE_CTES))
+def ast_summary(spark, sf_dir):
+    cp, els = pair_elements(spark, sf_dir)
+    c = element_counts(cp, els)
+    a, r, m = F.col("nodes_added"), F.col("nodes_removed"), F.col("nodes_modified")
+    return c.select("pair_id", a, r, m, M.diff_summary(a, r, m).alias("ast_diff_summary"),
+                    M.element_impact(a, r, m).cast("long").alias("impact_score"))
