@@ -22,3 +22,14 @@ def line_key(line: Column) -> Column:
 
 def js_lower(text: Column) -> Column:
     return F.lower(text)
+
+
+def pin(c: Column) -> Column:
+    """Keep an expensive column computed once when lambdas read it.
+
+    Catalyst's CollapseProject inlines a column referenced once, and a
+    reference inside a higher-order-function lambda counts as one even though
+    the lambda runs per element.  A projection holding a non-deterministic
+    expression is never inlined, so ``when(rand >= 0, c)`` (always true) keeps
+    ``c`` evaluated once per row."""
+    return F.when(F.rand(0) >= F.lit(0.0), c)

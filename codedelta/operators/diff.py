@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codedelta.functions.lcs import align
-from codedelta.functions.text import line_key, lines
+from codedelta.functions.text import line_key, lines, pin
 from codedelta.rules import PATCH_CONTEXT_LINES
 
 ALIGN_TYPE = T.StructType([
@@ -42,7 +42,7 @@ def _hashes(arr):
 
 
 def with_lines(df: DataFrame, legacy: str = "legacy", refactored: str = "refactored") -> DataFrame:
-    return df.withColumn("_la", lines(F.col(legacy))).withColumn("_lb", lines(F.col(refactored)))
+    return df.withColumn("_la", pin(lines(F.col(legacy)))).withColumn("_lb", pin(lines(F.col(refactored))))
 
 
 def with_alignment(df: DataFrame, legacy: str = "legacy", refactored: str = "refactored") -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codedelta.functions.text import lines
+from codedelta.functions.text import lines, pin
 
 # Per language: (kind, pattern, name group, parameter group) in test order.
 ELEMENT_PATTERNS: dict[str, list[tuple[str, str, int | None, int | None]]] = {
@@ -103,13 +103,15 @@ def parameters(params_text: Column) -> Column:
     return F.filter(parts, lambda p: F.length(p) > 0)
 
 
-def element_array(text: Column, lang: Column) -> Column:
-    """array<struct<ord, kind, line, name, parameters, imports, text>> in source order."""
-    la = lines(text)
+def _found(la: Column, lang: Column) -> Column:
+    """Lines that start an element: array<struct<line, l, kind>>."""
     tagged = F.transform(la, lambda l, i: F.struct((i + 1).alias("line"), l.alias("l"),
                                                    _kind(l, lang).alias("kind")))
-    found = F.filter(tagged, lambda e: e["kind"].isNotNull())
+    return F.filter(tagged, lambda e: e["kind"].isNotNull())
 
+
+def _build(la: Column, found: Column, lang: Column) -> Column:
+    """Element structs from the (materialised) line and start arrays."""
     def build(e, i):
         is_import = e["kind"].isin(IMPORT_KINDS)
         nxt = F.coalesce(F.try_element_at(found, i + 2)["line"], F.size(la) + 1)
@@ -128,14 +130,25 @@ def element_array(text: Column, lang: Column) -> Column:
     return F.transform(found, build)
 
 
+def element_array(text: Column, lang: Column) -> Column:
+    """array<struct<ord, kind, line, name, parameters, imports, text>> in source order.
+
+    Single-expression form; ``elements`` materialises the intermediate arrays
+    as columns instead so that each line is classified once."""
+    la = lines(text)
+    return _build(la, _found(la, lang), lang)
+
+
 def elements(pairs: DataFrame, key: str = "pair_id", lang: str = "language",
              legacy: str = "legacy", refactored: str = "refactored") -> DataFrame:
     """Long element rows: (key, side, ord, kind, line, name, parameters, imports, text, eq_key)."""
-    sides = pairs.select(key, F.explode(F.array(
-        F.struct(F.lit("legacy").alias("side"), element_array(F.col(legacy), F.col(lang)).alias("els")),
-        F.struct(F.lit("refactored").alias("side"), element_array(F.col(refactored), F.col(lang)).alias("els")),
-    )).alias("s"))
-    out = sides.select(key, "s.side", F.explode("s.els").alias("e")).select(key, "side", "e.*")
+    sides = pairs.select(key, lang, F.explode(F.array(
+        F.struct(F.lit("legacy").alias("side"), lines(F.col(legacy)).alias("la")),
+        F.struct(F.lit("refactored").alias("side"), lines(F.col(refactored)).alias("la")),
+    )).alias("s")).select(key, lang, "s.side", pin(F.col("s.la")).alias("la"))
+    sides = sides.withColumn("found", pin(_found(F.col("la"), F.col(lang))))
+    out = (sides.select(key, "side", F.explode(_build(F.col("la"), F.col("found"), F.col(lang))).alias("e"))
+           .select(key, "side", "e.*"))
     return out.withColumn("eq_key", equivalence_key())
 
 

@@ -29,15 +29,17 @@ def candidate_flags(text: Column, packs=LIVE_PACKS, rows=None) -> Column:
     of the patterns that fire on ``text``, in rule order."""
     structs = []
     for pack, cat, ordn, regex, sev, min_hits, desc, sugg in pattern_rows(packs, rows):
-        n = F.regexp_count(text, F.lit(regex))
         structs.append(F.struct(
             F.lit(pack).alias("type"), F.lit(cat).alias("category"), F.lit(ordn).alias("pattern_ord"),
-            F.lit(sev).alias("severity"), n.alias("n_hits"), F.lit(min_hits).alias("min_hits"),
-            F.replace(F.lit(desc), F.lit("{n}"), n.cast("string")).alias("description"),
-            F.lit(sugg).alias("suggestion")))
-    arr = F.array(*structs)
-    fired = F.filter(arr, lambda s: s["n_hits"] >= s["min_hits"])
-    return F.transform(fired, lambda s: s.dropFields("min_hits"))
+            F.lit(sev).alias("severity"), F.regexp_count(text, F.lit(regex)).alias("n_hits"),
+            F.lit(min_hits).alias("min_hits"), F.lit(desc).alias("tmpl"), F.lit(sugg).alias("suggestion")))
+    # Each pattern is counted once; the description is filled in afterwards.
+    fired = F.filter(F.array(*structs), lambda s: s["n_hits"] >= s["min_hits"])
+    return F.transform(fired, lambda s: F.struct(
+        s["type"].alias("type"), s["category"].alias("category"), s["pattern_ord"].alias("pattern_ord"),
+        s["severity"].alias("severity"), s["n_hits"].alias("n_hits"),
+        F.replace(s["tmpl"], F.lit("{n}"), s["n_hits"].cast("string")).alias("description"),
+        s["suggestion"].alias("suggestion")))
 
 
 def dedup_flags(flags: Column) -> Column:

@@ -20,19 +20,25 @@ FROM diff_pairs d LEFT JOIN p USING (pair_id)""", "diff_pairs", extra=[
 ])
 
 # Row-wise LCS dynamic programme (recursive CTE), the independent oracle for
-# the bit-parallel LCS.
-LCS_DP_CTES = [
-    ("t", f"""SELECT pair_id AS k, regexp_extract_all(legacy, {LINE_RE}) AS a,
-          regexp_extract_all(refactored, {LINE_RE}) AS b FROM diff_pairs"""),
-    ("d(k, i, row_)", """
-  SELECT k, 0, list_transform(range(len(b) + 1), lambda z: 0::BIGINT) FROM t
+# the bit-parallel LCS.  ``src`` has (pair_id, legacy, refactored).
+
+
+def lcs_ctes(src: str = "diff_pairs", t: str = "t", d: str = "d"):
+    return [
+        (t, f"""SELECT pair_id AS k, regexp_extract_all(legacy, {LINE_RE}) AS a,
+          regexp_extract_all(refactored, {LINE_RE}) AS b FROM {src}"""),
+        (f"{d}(k, i, row_)", f"""
+  SELECT k, 0, list_transform(range(len(b) + 1), lambda z: 0::BIGINT) FROM {t}
   UNION ALL
-  SELECT d.k, d.i + 1,
-         list_reduce(list_transform(range(1, len(t.b) + 1), lambda j: [j]),
-           lambda acc, e: list_append(acc, CASE WHEN t.b[e[1]] = t.a[d.i + 1] THEN d.row_[e[1]] + 1
-                                              ELSE greatest(d.row_[e[1] + 1], acc[len(acc)]) END), [0::BIGINT])
-  FROM d JOIN t ON d.k = t.k WHERE d.i < len(t.a)"""),
-]
+  SELECT {d}.k, {d}.i + 1,
+         list_reduce(list_transform(range(1, len({t}.b) + 1), lambda j: [j]),
+           lambda acc, e: list_append(acc, CASE WHEN {t}.b[e[1]] = {t}.a[{d}.i + 1] THEN {d}.row_[e[1]] + 1
+                                              ELSE greatest({d}.row_[e[1] + 1], acc[len(acc)]) END), [0::BIGINT])
+  FROM {d} JOIN {t} ON {d}.k = {t}.k WHERE {d}.i < len({t}.a)"""),
+    ]
+
+
+LCS_DP_CTES = lcs_ctes()
 
 _ALIGNED_SQL = with_views("""
 SELECT t.k AS pair_id, CAST(len(t.b) - d.row_[len(d.row_)] AS BIGINT) AS lines_added,

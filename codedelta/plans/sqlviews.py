@@ -108,4 +108,5 @@ def with_views(body: str, *names: str, extra: list[tuple[str, str]] | None = Non
     parts += [f"{n} AS (\n{sql}\n)" for n, sql in (extra or [])]
     if not parts:
         return body
+    recursive = recursive or any("(" in n for n, _ in (extra or []))
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n" + body
