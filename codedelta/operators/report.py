@@ -115,9 +115,18 @@ def analyze(spark: SparkSession, pairs: DataFrame, level: str = "file", key: str
 
     pd_ = pair_diff(ok, key)
     counts, added, removed, modified = element_counts(ok, key)
-    toks = E.token_counts(ok, key)
+    # Token counts: in-row for pairs up to INROW_TEXT_CHARS, the exact shuffle
+    # aggregation for larger ones (only those rows are re-read for it).
+    small = (F.coalesce(F.length("legacy"), F.lit(0)) + F.coalesce(F.length("refactored"), F.lit(0))
+             ) <= E.INROW_TEXT_CHARS
+    big_toks = E.token_counts(ok.filter(~small), key).select(
+        key, F.col("tokens_added").alias("_ta"), F.col("tokens_removed").alias("_tr"))
     a, r, m = F.col("nodes_added"), F.col("nodes_removed"), F.col("nodes_modified")
-    j = (ok.select(*base_cols).join(pd_, key).join(counts, key).join(toks, key)
+    j = ok.select(*base_cols).join(pd_, key).join(counts, key)
+    j = E.with_inrow_token_counts(j, small)
+    j = (j.join(big_toks, key, "left")
+         .withColumn("tokens_added", F.coalesce("tokens_added", "_ta"))
+         .withColumn("tokens_removed", F.coalesce("tokens_removed", "_tr")).drop("_ta", "_tr")
          .select("*", M.diff_summary(a, r, m).alias("ast_diff_summary"),
                  M.element_impact(a, r, m).cast("int").alias("file_impact_score")))
 
@@ -140,9 +149,10 @@ def analyze(spark: SparkSession, pairs: DataFrame, level: str = "file", key: str
         infra, cx = infra * iw, cx * cmul
     cov = S.coverage_delta(types)
     raw = S.raw_score(lines_changed, nodes_changed, infra, cov, cx)
-    flags = R.risk_flags_array(F.col("refactored"), F.col("include_security_scan"))
+    j = j.withColumn("_low", pin(F.lower(F.col("refactored"))))
+    flags = R.risk_flags_array(F.col("refactored"), F.col("include_security_scan"), low=F.col("_low"))
     j = j.select(
-        *[c for c in j.columns if c not in ("patch_lower", "added_text", "removed_text")],
+        *[c for c in j.columns if c not in ("patch_lower", "added_text", "removed_text", "_low")],
         lines_changed.alias("total_lines_changed"),
         F.lit(1).alias("files_modified"),
         nodes_changed.alias("ast_nodes_changed"),
