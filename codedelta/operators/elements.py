@@ -186,28 +186,3 @@ def token_counts(pairs: DataFrame, key: str = "pair_id", legacy: str = "legacy",
             .select(key, F.coalesce("tokens_added", F.lit(0)).cast("long").alias("tokens_added"),
                     F.coalesce("tokens_removed", F.lit(0)).cast("long").alias("tokens_removed")))
 
-
-# Pairs whose two texts together are at most this many characters count their
-# tokens inside the row (a hash set difference plus a membership filter whose
-# cost grows with changed tokens x new tokens); larger pairs use ``token_counts``.
-INROW_TEXT_CHARS = 65536
-
-
-def with_inrow_token_counts(df: DataFrame, small: Column) -> DataFrame:
-    """Adds tokens_added / tokens_removed for ``small`` rows (null otherwise).
-
-    Needs legacy, refactored, added_text, removed_text.  Only tokens on changed
-    lines can be absent from the other side (kept lines exist on both), so a
-    token occurrence on a '+' line counts when the token is nowhere in the
-    legacy text, and symmetrically for '-' lines."""
-    pat = F.lit(TOKEN_PATTERN)
-    d = df.select("*",
-                  pin(F.when(small, F.regexp_extract_all("added_text", pat, 0))).alias("_at"),
-                  pin(F.when(small, F.regexp_extract_all("removed_text", pat, 0))).alias("_rt"))
-    d = d.select("*",
-                 pin(F.array_except("_at", F.regexp_extract_all("legacy", pat, 0))).alias("_ma"),
-                 pin(F.array_except("_rt", F.regexp_extract_all("refactored", pat, 0))).alias("_mr"))
-    added = F.size(F.filter("_at", lambda t: F.array_contains(F.col("_ma"), t))).cast("long")
-    removed = F.size(F.filter("_rt", lambda t: F.array_contains(F.col("_mr"), t))).cast("long")
-    return d.select(*df.columns, F.when(small, added).alias("tokens_added"),
-                    F.when(small, removed).alias("tokens_removed"))

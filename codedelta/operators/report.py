@@ -115,20 +115,13 @@ def analyze(spark: SparkSession, pairs: DataFrame, level: str = "file", key: str
 
     pd_ = pair_diff(ok, key)
     counts, added, removed, modified = element_counts(ok, key)
-    # Token counts: in-row for pairs up to INROW_TEXT_CHARS, the exact shuffle
-    # aggregation for larger ones (only those rows are re-read for it).
-    small = (F.coalesce(F.length("legacy"), F.lit(0)) + F.coalesce(F.length("refactored"), F.lit(0))
-             ) <= E.INROW_TEXT_CHARS
-    big_toks = E.token_counts(ok.filter(~small), key).select(
-        key, F.col("tokens_added").alias("_ta"), F.col("tokens_removed").alias("_tr"))
+    toks = E.token_counts(ok, key)
     a, r, m = F.col("nodes_added"), F.col("nodes_removed"), F.col("nodes_modified")
-    j = ok.select(*base_cols).join(pd_, key).join(counts, key)
-    j = E.with_inrow_token_counts(j, small)
-    j = (j.join(big_toks, key, "left")
-         .withColumn("tokens_added", F.coalesce("tokens_added", "_ta"))
-         .withColumn("tokens_removed", F.coalesce("tokens_removed", "_tr")).drop("_ta", "_tr")
+    j = (ok.select(*base_cols).join(pd_, key).join(counts, key).join(toks, key)
          .select("*", M.diff_summary(a, r, m).alias("ast_diff_summary"),
                  M.element_impact(a, r, m).cast("int").alias("file_impact_score")))
+    # Consumed twice (detections, then the final join): keep one computation.
+    j = j.persist(StorageLevel.MEMORY_AND_DISK)
 
     fd = j.select(key, F.explode(C.file_detections(F.col("patch_lower"), F.col("ast_diff_summary"))).alias("d"))
     dets = fd.select(key, F.lit("file").alias("src"), F.lit(0).alias("ord"), "d.*")
