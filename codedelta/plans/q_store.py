@@ -85,11 +85,12 @@ FROM f JOIN c USING (pair_id)
 ORDER BY c.submitted_at DESC, f.pair_id LIMIT {PAGE_SIZE} OFFSET {(PAGE_NO - 1) * PAGE_SIZE}""")
 def list_page(spark, sf_dir):
     r = _full(spark, sf_dir).select("pair_id", "status", "language", "submitted_at", "overall_score", "level")
-    env = ST.page_envelope(r, PAGE_SIZE)
+    total = r.select(F.count(F.lit(1))).scalar()  # scalar subquery, no join
     p = ST.page(r, [F.desc("submitted_at"), F.asc("pair_id")], PAGE_NO, PAGE_SIZE)
-    return p.crossJoin(env).select(  # one-row envelope
+    return p.select(
         "pair_id", "status", "language", F.date_format("submitted_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
-        "overall_score", "level", "total", "pages")
+        "overall_score", "level", total.cast("long").alias("total"),
+        F.ceil(total / F.lit(PAGE_SIZE)).cast("long").alias("pages"))
 
 
 @register("lookup", f"""
@@ -133,8 +134,8 @@ SELECT org, kpi, weight FROM allr a WHERE ver = (SELECT max(ver) FROM allr b WHE
     ("allr", "SELECT * FROM cur UNION ALL SELECT * FROM upd")]))
 def upsert_settings(spark, sf_dir):
     orgs = code_pairs(spark, sf_dir).select("org").distinct()
-    cur = orgs.join(F.broadcast(kpi.default_weights_map(spark)), how="cross") \
-        .withColumn("updated_at", F.lit(0))  # one fixed-size default map per org
+    defaults = F.create_map(*[x for k, _n, _d, w in KPIS for x in (F.lit(k), F.lit(w))])
+    cur = orgs.select("org", defaults.alias("kpi_weights"), F.lit(0).alias("updated_at"))
     schema = T.StructType([T.StructField("org", T.StringType()),
                            T.StructField("kpi_weights", T.MapType(T.StringType(), T.DoubleType())),
                            T.StructField("updated_at", T.IntegerType())])
