@@ -23,6 +23,23 @@ from codedelta.rules import (HIGH_SECURITY_STEP, LEVEL_WORDS, LICENSE_STEP, NO_R
                              OUTBOX_SUBJECT, PARSED_LANGUAGES, TYPE_NEXT_STEPS)
 
 
+# Frames this module persisted for reuse inside one report; released when the
+# next report is built so a long-lived session does not accumulate them.
+_PERSISTED: list[DataFrame] = []
+
+
+def _keep(df: DataFrame) -> DataFrame:
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _PERSISTED.append(df)
+    return df
+
+
+def release() -> None:
+    """Unpersist the frames kept by earlier reports."""
+    while _PERSISTED:
+        _PERSISTED.pop().unpersist(blocking=False)
+
+
 def element_counts(pairs: DataFrame, key: str = "pair_id", els: DataFrame | None = None
                    ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(counts, added, removed, modified) element-level diff of parsed pairs.
@@ -31,7 +48,7 @@ def element_counts(pairs: DataFrame, key: str = "pair_id", els: DataFrame | None
     is persisted (memory, spilling to disk) instead of being re-extracted by
     every consumer."""
     if els is None:
-        els = E.elements(pairs, key).persist(StorageLevel.MEMORY_AND_DISK)
+        els = _keep(E.elements(pairs, key))
     mp = M.mapping(pairs, els, key)
     added = M.node_added(els, mp, key)
     removed = M.node_removed(els, mp, key)
@@ -108,6 +125,7 @@ def analyze(spark: SparkSession, pairs: DataFrame, level: str = "file", key: str
     table, anti joins), token counts (aggregation), detections (in-row rule
     filter, merged per (pair, type) with bounded groups), then one projection
     for metrics, score, risks, steps and summary."""
+    release()
     base_cols = [key, "language", "legacy", "refactored", "include_security_scan", "org", "user_id",
                  "submitted_at"]
     ok = pairs.filter(F.col("language").isin(PARSED_LANGUAGES)).select(*base_cols, "map_hints")
@@ -121,7 +139,7 @@ def analyze(spark: SparkSession, pairs: DataFrame, level: str = "file", key: str
          .select("*", M.diff_summary(a, r, m).alias("ast_diff_summary"),
                  M.element_impact(a, r, m).cast("int").alias("file_impact_score")))
     # Consumed twice (detections, then the final join): keep one computation.
-    j = j.persist(StorageLevel.MEMORY_AND_DISK)
+    j = _keep(j)
 
     fd = j.select(key, F.explode(C.file_detections(F.col("patch_lower"), F.col("ast_diff_summary"))).alias("d"))
     dets = fd.select(key, F.lit("file").alias("src"), F.lit(0).alias("ord"), "d.*")

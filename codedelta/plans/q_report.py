@@ -171,6 +171,7 @@ def _completed(spark, sf_dir, **kw):
 def classify_file(spark, sf_dir):
     from codedelta.operators import diff as Dff
     cp = code_pairs(spark, sf_dir).filter(F.col("language").isin(PARSED_LANGUAGES))
+    REP.release()
     counts, *_ = REP.element_counts(cp)
     d = Dff.with_alignment(cp.select("pair_id", "legacy", "refactored"))
     from codedelta.functions.text import pin
@@ -196,6 +197,7 @@ def merge_types(spark, sf_dir):
 def classify_nodes(spark, sf_dir):
     """Node-level detections (rows-only: element texts are flat segments)."""
     cp = code_pairs(spark, sf_dir).filter(F.col("language").isin(PARSED_LANGUAGES))
+    REP.release()
     _c, added, removed, modified = REP.element_counts(cp)
     return C.node_detections(added, removed, modified)
 

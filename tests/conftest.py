@@ -13,7 +13,8 @@ SF001 = "/root/testdata/sf0.001"
 def spark():
     from codedelta.session import build_session
     s = build_session("local[4]", app="codedelta-tests", shuffle_partitions=8,
-                      extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="cd-ckpt-")})
+                      extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="cd-ckpt-"),
+                            "spark.driver.memory": "4g"})
     yield s
     s.stop()
 
