@@ -72,20 +72,19 @@ def line_diff_aligned(pairs: DataFrame, key: str = "pair_id", legacy: str = "leg
 def line_diff_multiset(pairs: DataFrame, key: str = "pair_id", legacy: str = "legacy",
                        refactored: str = "refactored") -> DataFrame:
     """(key, lines_added, lines_removed) from per-line count differences."""
+    # A sentinel (w = 0, null line) keeps pairs without lines in the same
+    # aggregation, so no join back to the pair list is needed.
     sides = pairs.select(key, F.explode(F.array(
         F.struct(F.lit(-1).alias("w"), lines(F.col(legacy)).alias("ls")),
-        F.struct(F.lit(1).alias("w"), lines(F.col(refactored)).alias("ls")))).alias("s"))
+        F.struct(F.lit(1).alias("w"), lines(F.col(refactored)).alias("ls")),
+        F.struct(F.lit(0).alias("w"), F.array(F.lit(None).cast("string")).alias("ls")))).alias("s"))
     per_line = (sides.select(key, "s.w", F.explode("s.ls").alias("line"))
                 .groupBy(key, line_key(F.col("line")).alias("lk"))
                 .agg(F.sum(F.when(F.col("w") < 0, 1).otherwise(0)).alias("n_old"),
                      F.sum(F.when(F.col("w") > 0, 1).otherwise(0)).alias("n_new")))
-    per_pair = per_line.groupBy(key).agg(
-        F.sum(F.greatest(F.col("n_new") - F.col("n_old"), F.lit(0))).alias("lines_added"),
-        F.sum(F.greatest(F.col("n_old") - F.col("n_new"), F.lit(0))).alias("lines_removed"))
-    # Pairs with no lines at all still get a row.
-    return (pairs.select(key).join(per_pair, key, "left")
-            .select(key, F.coalesce("lines_added", F.lit(0)).cast("long").alias("lines_added"),
-                    F.coalesce("lines_removed", F.lit(0)).cast("long").alias("lines_removed")))
+    return per_line.groupBy(key).agg(
+        F.sum(F.greatest(F.col("n_new") - F.col("n_old"), F.lit(0))).cast("long").alias("lines_added"),
+        F.sum(F.greatest(F.col("n_old") - F.col("n_new"), F.lit(0))).cast("long").alias("lines_removed"))
 
 
 def patch_rows(pairs: DataFrame, key: str = "pair_id", legacy: str = "legacy",

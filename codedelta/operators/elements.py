@@ -176,13 +176,11 @@ def token_counts(pairs: DataFrame, key: str = "pair_id", legacy: str = "legacy",
     toks = pairs.select(key, F.explode(F.array(
         F.struct(F.lit(-1).alias("w"), F.regexp_extract_all(F.col(legacy), F.lit(TOKEN_PATTERN), 0).alias("t")),
         F.struct(F.lit(1).alias("w"), F.regexp_extract_all(F.col(refactored), F.lit(TOKEN_PATTERN), 0).alias("t")),
+        F.struct(F.lit(0).alias("w"), F.array(F.lit(None).cast("string")).alias("t")),  # keeps every pair
     )).alias("s")).select(key, "s.w", F.explode("s.t").alias("tok"))
     per = toks.groupBy(key, "tok").agg(F.sum(F.when(F.col("w") < 0, 1).otherwise(0)).alias("n_old"),
                                        F.sum(F.when(F.col("w") > 0, 1).otherwise(0)).alias("n_new"))
-    agg = per.groupBy(key).agg(
-        F.sum(F.when(F.col("n_old") == 0, F.col("n_new")).otherwise(0)).alias("tokens_added"),
-        F.sum(F.when(F.col("n_new") == 0, F.col("n_old")).otherwise(0)).alias("tokens_removed"))
-    return (pairs.select(key).join(agg, key, "left")
-            .select(key, F.coalesce("tokens_added", F.lit(0)).cast("long").alias("tokens_added"),
-                    F.coalesce("tokens_removed", F.lit(0)).cast("long").alias("tokens_removed")))
+    return per.groupBy(key).agg(
+        F.sum(F.when(F.col("n_old") == 0, F.col("n_new")).otherwise(0)).cast("long").alias("tokens_added"),
+        F.sum(F.when(F.col("n_new") == 0, F.col("n_old")).otherwise(0)).cast("long").alias("tokens_removed"))
 
