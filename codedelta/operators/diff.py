@@ -18,10 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pyspark import cloudpickle
+
+import codedelta.functions.lcs as _lcs
 from codedelta.functions.lcs import align
 from codedelta.functions.text import line_key, lines, pin
 from codedelta.rules import PATCH_CONTEXT_LINES
 
+# Ship the UDF and its helper by value: executors need no installed package.
+cloudpickle.register_pickle_by_value(_lcs)
+cloudpickle.register_pickle_by_value(__import__(__name__, fromlist=["_"]))
+
 ALIGN_TYPE = T.StructType([
     T.StructField("lcs", T.LongType()),
     T.StructField("marks", T.StringType()),

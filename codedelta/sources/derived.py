@@ -69,7 +69,8 @@ def code_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("org"), (F.col("doc_id") % N_ORGS).cast("string")).alias("org"),
         F.when(F.col("doc_id") % N_USERS != N_USERS - 1,
                F.concat(F.lit("u"), (F.col("doc_id") % N_USERS).cast("string"))).alias("user_id"),
-        F.timestamp_seconds(F.lit(BASE_EPOCH) + F.col("doc_id") * 60).alias("submitted_at"),
+        # wall-clock time, independent of the session time zone
+        F.expr("timestampadd(MINUTE, doc_id, TIMESTAMP_NTZ'2024-01-01 00:00:00')").alias("submitted_at"),
     )
 
 

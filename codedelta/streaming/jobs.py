@@ -43,7 +43,8 @@ def analysis_stream(spark: SparkSession, pairs_stream: DataFrame, sink_path: str
 
 def dedup_submissions(submissions: DataFrame, key: str = "pair_id", ts: str = "submitted_at",
                       delay: str = "1 hour") -> DataFrame:
-    return submissions.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+    s = submissions.withColumn(ts, F.col(ts).cast("timestamp"))  # watermarks need TIMESTAMP
+    return s.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
 def over_limit_stream(requests: DataFrame, key: str = "user_id", ts: str = "ts",
