@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from codedelta.llm import mixing, winnowing
+from codedelta.llm import jaccard_join, mixing, winnowing
 
 QUERIES = {
     "op1_source_mix": mixing.query,
+    "op3_ngram_jaccard": jaccard_join.query,
     "op8_decontaminate": winnowing.query,
 }
 
