@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from codedelta.llm import jaccard_join, mixing, winnowing
+from codedelta.llm import jaccard_join, mixing, token_store, winnowing
 
 QUERIES = {
     "op1_source_mix": mixing.query,
     "op3_ngram_jaccard": jaccard_join.query,
     "op8_decontaminate": winnowing.query,
+    "op10_token_store": token_store.query,
 }
 
 #: DuckDB SQL for the operators that SQL can express; the others are tested against brute force.

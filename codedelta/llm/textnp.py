@@ -7,7 +7,7 @@ import pyarrow as pa
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_tables: dict = {}
+_tables: dict = {}   # byte codes by fold, powers by base
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -21,7 +21,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    have = _tables.get(int(base))
+    have = _tables.get(("powers", int(base)))
     if have is None or len(have) < n:
         size = 1 << max(16, int(n).bit_length())
         out = np.ones(size, np.uint64)
@@ -30,17 +30,26 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
             out[done:2 * done] = out[:done] * step
             step = step * step
             done *= 2
-        _tables[int(base)] = have = out
+        _tables["powers", int(base)] = have = out
     return have[:n]
 
 
-def _byte_codes() -> np.ndarray:
-    """A fixed random 64-bit code for each byte; A-Z share the codes of a-z."""
-    if "codes" not in _tables:
+def _byte_codes(fold: bool) -> np.ndarray:
+    """A fixed random 64-bit code for each byte; with ``fold`` A-Z share the codes of a-z."""
+    if fold not in _tables:
         codes = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-        codes[65:91] = codes[97:123]
-        _tables["codes"] = codes
-    return _tables["codes"]
+        if fold:
+            codes[65:91] = codes[97:123]
+        _tables[fold] = codes
+    return _tables[fold]
+
+
+def span_hashes(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """Hash of each part[start:end], from prefix sums of a polynomial in the byte positions."""
+    total = np.zeros(len(part) + 1, np.uint64)
+    np.cumsum(_byte_codes(fold)[part] * _powers(_BASE, len(part)), out=total[1:])
+    h = (total[ends] - total[starts]) * _powers(_INV, len(part))[starts]
+    return mix64(h + (ends - starts).astype(np.uint64))
 
 
 def space_table() -> np.ndarray:
@@ -113,10 +122,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray):
     part, starts, ends, doc = word_spans(data, offsets, in_word)
     if not len(starts):
         return np.empty(0, np.uint64), doc, starts, ends
-    total = np.zeros(len(part) + 1, np.uint64)
-    np.cumsum(_byte_codes()[part] * _powers(_BASE, len(part)), out=total[1:])
-    h = (total[ends] - total[starts]) * _powers(_INV, len(part))[starts]
-    return mix64(h + (ends - starts).astype(np.uint64)), doc, starts, ends
+    return span_hashes(part, starts, ends), doc, starts, ends
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5):
