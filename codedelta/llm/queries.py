@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from codedelta.llm import jaccard_join, mixing, token_store, winnowing
+from codedelta.llm import jaccard_join, mixing, ordinal_quality, token_store, winnowing
 
 QUERIES = {
     "op1_source_mix": mixing.query,
     "op3_ngram_jaccard": jaccard_join.query,
+    "op5_ordinal_quality": ordinal_quality.query,
     "op8_decontaminate": winnowing.query,
     "op10_token_store": token_store.query,
 }

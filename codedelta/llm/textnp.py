@@ -25,10 +25,10 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     if have is None or len(have) < n:
         size = 1 << max(16, int(n).bit_length())
         out = np.ones(size, np.uint64)
-        done, step = 1, base
+        done, step = 1, int(base)
         while done < size:
-            out[done:2 * done] = out[:done] * step
-            step = step * step
+            out[done:2 * done] = out[:done] * np.uint64(step)
+            step = step * step % (1 << 64)
             done *= 2
         _tables["powers", int(base)] = have = out
     return have[:n]
@@ -44,12 +44,23 @@ def _byte_codes(fold: bool) -> np.ndarray:
     return _tables[fold]
 
 
+class SpanHashes:
+    """Hashes of any part[start:end] of a byte array, from prefix sums of a polynomial in the byte positions."""
+
+    def __init__(self, part: np.ndarray, fold: bool = True):
+        self.total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_byte_codes(fold)[part] * _powers(_BASE, len(part)), out=self.total[1:])
+        self.inverse = _powers(_INV, len(part))
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if not len(starts):
+            return np.empty(0, np.uint64)
+        h = (self.total[ends] - self.total[starts]) * self.inverse[starts]
+        return mix64(h + (ends - starts).astype(np.uint64))
+
+
 def span_hashes(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """Hash of each part[start:end], from prefix sums of a polynomial in the byte positions."""
-    total = np.zeros(len(part) + 1, np.uint64)
-    np.cumsum(_byte_codes(fold)[part] * _powers(_BASE, len(part)), out=total[1:])
-    h = (total[ends] - total[starts]) * _powers(_INV, len(part))[starts]
-    return mix64(h + (ends - starts).astype(np.uint64))
+    return SpanHashes(part, fold).of(starts, ends)
 
 
 def space_table() -> np.ndarray:
