@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from codedelta.llm import jaccard_join, mixing, ordinal_quality, token_store, winnowing
+from codedelta.llm import jaccard_join, mixing, ordinal_quality, token_store, warc, winnowing
 
 QUERIES = {
     "op1_source_mix": mixing.query,
     "op3_ngram_jaccard": jaccard_join.query,
     "op5_ordinal_quality": ordinal_quality.query,
+    "op7_warc_transactions": warc.query,
     "op8_decontaminate": winnowing.query,
     "op10_token_store": token_store.query,
 }
@@ -15,4 +16,5 @@ QUERIES = {
 #: DuckDB SQL for the operators that SQL can express; the others are tested against brute force.
 ORACLE = {
     "op1_source_mix": mixing.ORACLE,
+    "op7_warc_transactions": warc.ORACLE,
 }
