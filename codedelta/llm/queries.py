@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from codedelta.llm import jaccard_join, mixing, ordinal_quality, token_store, warc, winnowing
+from codedelta.llm import decision_list, jaccard_join, mixing, ordinal_quality, token_store, warc, winnowing
 
 QUERIES = {
     "op1_source_mix": mixing.query,
     "op3_ngram_jaccard": jaccard_join.query,
+    "op4_decision_list": decision_list.query,
     "op5_ordinal_quality": ordinal_quality.query,
     "op7_warc_transactions": warc.query,
     "op8_decontaminate": winnowing.query,
