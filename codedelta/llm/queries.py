@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from codedelta.llm import decision_list, jaccard_join, mixing, ordinal_quality, token_store, warc, winnowing
+from codedelta.llm import decision_list, jaccard_join, mixing, ordinal_quality, site_tree, token_store, warc, winnowing
 
 QUERIES = {
     "op1_source_mix": mixing.query,
+    "op2_site_style_tree": site_tree.query,
     "op3_ngram_jaccard": jaccard_join.query,
     "op4_decision_list": decision_list.query,
     "op5_ordinal_quality": ordinal_quality.query,
