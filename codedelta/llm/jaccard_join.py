@@ -3,16 +3,17 @@
 Documents are sets of distinct five-word shingles; two link at a Jaccard similarity of 0.75 or
 more.  The steps:
 
-1. One pass over the texts gives each document's set size, a 128-bit digest of its set and four
+1. One pass over the texts gives each document's set size, a 128-bit digest of its set and six
    minimum hashes.  Documents with equal sets are one class; its smallest id stands for it.
-2. Grouping: classes that share a minimum hash and a size band are compared with the smallest of
-   them; those that link form groups (connected components of the exact links so far).  A hot group of
+2. Grouping: classes that share two minimum hashes and a size band with the smallest class of those that
+   do are compared with it; those that link form groups (connected components of the exact links so far).  A hot group of
    near copies so shrinks to one group with as many comparisons as it has members.
 3. Token-group matrix: tokens get a fixed order, rare before frequent.  Of each set only its first
-   tokens are kept: if J(x, y) >= t and |y| <= |x|, then x and y share a token among the first
-   |x| - ceil(t|x|) + 1 of x and the first |y| - ceil(2t/(1+t)|y|) + 1 of y.  A group's row is the union of
-   the latter; a query whose first tokens meet a group's row in nothing cannot reach the bound
-   for any member.  Tokens of one group only are dropped.
+   tokens are kept: if J(x, y) >= t and |y| <= |x|, then x and y share at least m tokens among the first
+   |x| - ceil(t|x|) + m of x and the first |y| - ceil(2t/(1+t)|y|) + m of y, for any m.  With m(n) = 1 + n / 20
+   for a set of n, the least m of the two holds for the pair.  A group's row is the union of the first tokens
+   of its members; a query that meets the row in fewer than m(t|x|) tokens cannot link with any
+   member.  Tokens of one group only are dropped.
 4. Only the remaining groups of a query are opened: the query's set is compared exactly with those of the
    members, in blocks of bounded size.
 5. Links of 2 and 4 give the connected components.
@@ -38,7 +39,11 @@ from codedelta.llm.common import read_table, write_table
 from codedelta.llm.components import components
 
 WIDTH = 5
-N_KEYS = 4
+N_KEYS = 6
+#: Of the keys, as many must lead to the same least class.
+LEAST_KEYS = 2
+#: Extra first tokens: one for so many of a set.
+EXTRA = 20
 CELL_BITS = 18
 #: A task reports a cell of the count table from this many tokens on, or four times its mean.
 LEAST_IN_CELL = 8
@@ -51,7 +56,7 @@ BROADCAST_IDS = 1 << 20
 #: Tokens that a task packs at a time.
 FLUSH = 1 << 21
 
-_PROFILE = "doc_id long, n long, d1 long, d2 long, k1 long, k2 long, k3 long, k4 long, cell int, cell_count long, tokens long"
+_PROFILE = "doc_id long, n long, d1 long, d2 long, " + "".join(f"k{i} long, " for i in range(1, N_KEYS + 1)) + "cell int, cell_count long, tokens long"
 _LINKS = "a long, b long"
 
 
@@ -82,7 +87,7 @@ def _profile(batches):
     counts = np.concatenate([cells[full], [0]])
     tokens = np.concatenate([np.zeros(len(full), np.int64), [total]])
     void = pa.nulls(len(at), pa.int64())
-    yield pa.record_batch([void] * 8 + [pa.array(at.astype(np.int32)), pa.array(counts), pa.array(tokens)], names=_names(_PROFILE))
+    yield pa.record_batch([void] * (4 + N_KEYS) + [pa.array(at.astype(np.int32)), pa.array(counts), pa.array(tokens)], names=_names(_PROFILE))
 
 
 def _names(schema: str) -> list[str]:
@@ -198,8 +203,9 @@ def _prefixes(levels: np.ndarray, n_buckets: int, num: int, den: int):
                         continue
                     if len(seen) < 1 << 18:     # a copy met again in this task brings nothing new
                         seen.add((n, digest[i]))
-                    query = n + (-num * n // den) + 1
-                    index = n + (-2 * num * n // (num + den)) + 1
+                    more = 1 + n // EXTRA
+                    query = min(n, n + (-num * n // den) + more)
+                    index = n + (-2 * num * n // (num + den)) + more
                     first = np.argpartition(key[s:e], query - 1)[:query] if query < n else np.arange(n)
                     first = first[np.argsort(key[s:e][first])]
                     chosen = tokens[s:e][first]
@@ -228,7 +234,7 @@ def _prefixes(levels: np.ndarray, n_buckets: int, num: int, den: int):
 
 def _shared(table: pa.Table) -> pa.Table:
     """The tokens of a bucket that two or more documents hold, one of them in its indexed part.  Tokens with
-    the same documents count once."""
+    the same documents are one row each, with their number as weight."""
     bucket = table.column("bucket")[0].as_py()
     tokens, marks = [], []
     for row in table.column("packed"):
@@ -247,11 +253,13 @@ def _shared(table: pa.Table) -> pa.Table:
     indexed = np.maximum.reduceat(mark & 1, starts) == 1
     same = textnp.sums_by(textnp.mix64(mark.astype(np.uint64)), np.concatenate([starts, [len(token)]]))
     good = np.flatnonzero(several & indexed)
-    _, once = np.unique(same[good], return_index=True)
+    _, once, weight = np.unique(same[good], return_index=True, return_counts=True)
     good = good[once]
+    weight = np.repeat(weight, sizes[good])
     rows = np.repeat(starts[good], sizes[good]) + (np.arange(sizes[good].sum()) - np.repeat(np.cumsum(sizes[good]) - sizes[good], sizes[good]))
     key = (token[rows].astype(np.int64) << 31) | bucket
-    return pa.table([pa.array(key), pa.array(doc[rows]), pa.array((mark[rows] & 1) == 1)], names=["token", "doc_id", "indexed"])
+    return pa.table([pa.array(key), pa.array(doc[rows]), pa.array((mark[rows] & 1) == 1), pa.array(weight)],
+                    names=["token", "doc_id", "indexed", "weight"])
 
 
 def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
@@ -273,7 +281,8 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100) -> DataFr
     keyed = classes.select("id", "n", F.posexplode(F.array(*[f"k{i}" for i in range(1, N_KEYS + 1)])).alias("which", "key"))
     keyed = keyed.withColumn("band", band)
     least = keyed.groupBy("which", "key", "band").agg(F.min("id").alias("grp"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    pairs = write_table(keyed.join(least, ["which", "key", "band"]).filter("id != grp").select("grp", "id").distinct(), "pairs")
+    pairs = write_table(keyed.join(least, ["which", "key", "band"]).filter("id != grp").groupBy("grp", "id").agg(
+        F.count(F.lit(1)).alias("c")).filter(F.col("c") >= LEAST_KEYS).select("grp", "id"), "pairs")
     heads = pairs.select("grp", F.col("grp").alias("id")).distinct()
     links = write_table(_open(docs, pairs, heads, num, den), "links")
     groups = write_table(components(links), "groups")
@@ -285,20 +294,22 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100) -> DataFr
     firsts = write_table(docs.mapInArrow(_prefixes(levels, n_buckets, num, den),
                                          "bucket int, packed binary, token long, doc_id long, indexed boolean"), "firsts")
     rare = firsts.filter("packed is not null").select("bucket", "packed").groupBy("bucket").applyInArrow(
-        _shared, "token long, doc_id long, indexed boolean")
-    often = firsts.filter("packed is null").select("token", "doc_id", "indexed")
+        _shared, "token long, doc_id long, indexed boolean, weight long")
+    often = firsts.filter("packed is null").select("token", "doc_id", "indexed", F.lit(1).cast("long").alias("weight"))
     entries = (rare.withColumn("hot", F.lit(0)).unionByName(often.withColumn("hot", F.lit(1)))
-               .join(member, F.col("doc_id") == F.col("id")).select("hot", "token", "id", "n", "grp", "indexed"))
+               .join(member, F.col("doc_id") == F.col("id")).select("hot", "token", "id", "n", "grp", "indexed", "weight"))
     entries = write_table(entries, "entries")
     matrix = entries.groupBy("hot", "token", "grp").agg(
         F.min(F.when(F.col("indexed"), F.col("n"))).alias("least"), F.max(F.when(F.col("indexed"), F.col("n"))).alias("most"))
     several = write_table(matrix.groupBy("hot", "token").agg(
         F.min("grp").alias("g1"), F.max("grp").alias("g2"), F.count("least").alias("c")).filter("g1 < g2 and c > 0").select("hot", "token"), "several")
     matrix = matrix.filter("least is not null").join(several, ["hot", "token"], "left_semi").withColumnRenamed("grp", "other")
-    queries = entries.join(several, ["hot", "token"], "left_semi").select("hot", "token", "id", "n", "grp")
+    queries = entries.join(several, ["hot", "token"], "left_semi").select("hot", "token", "id", "n", "grp", "weight")
+    needed = 1 + F.floor(F.ceil(F.col("n") * num / den) / EXTRA)
     hits = (queries.join(matrix, ["hot", "token"])
             .filter((F.col("grp") != F.col("other")) & (F.col("least") <= F.col("n")) & (den * F.col("most") >= num * F.col("n")))
-            .select(F.col("other").alias("grp"), "id").distinct())
+            .groupBy(F.col("other").alias("grp"), "id").agg(F.sum("weight").alias("met"), F.max("n").alias("n"))
+            .filter(F.col("met") >= needed).select("grp", "id"))
     hits = write_table(hits, "hits")
     opened = member.select("grp", "id").join(hits.select("grp").distinct(), "grp", "left_semi")
     more = write_table(_open(docs, opened, hits, num, den), "links")
