@@ -75,6 +75,8 @@ class PieceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        # Strings of special tokens in a text are ordinary text where every byte counts.
+        self.tokenizer.encode_special_tokens = not fold
         self.pieces, self.fold = pieces, fold
         self.known = np.empty(0, np.uint64)
         self.place = np.empty(0, np.int64)

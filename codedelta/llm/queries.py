@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codedelta.llm import decision_list, jaccard_join, mixing, ordinal_quality, site_tree, token_store, warc, winnowing
+from codedelta.llm import decision_list, jaccard_join, mixing, ordinal_quality, site_tree, token_counts, token_store, warc, winnowing
 
 QUERIES = {
     "op1_source_mix": mixing.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_ordinal_quality": ordinal_quality.query,
     "op7_warc_transactions": warc.query,
     "op8_decontaminate": winnowing.query,
+    "op9_token_attribution": token_counts.query,
     "op10_token_store": token_store.query,
 }
 
