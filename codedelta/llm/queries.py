@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codedelta.llm import decision_list, jaccard_join, mixing, ordinal_quality, site_tree, token_counts, token_store, warc, winnowing
+from codedelta.llm import decision_list, jaccard_join, mixing, ordinal_quality, secret_forest, site_tree, token_counts, token_store, warc, winnowing
 
 QUERIES = {
     "op1_source_mix": mixing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_ngram_jaccard": jaccard_join.query,
     "op4_decision_list": decision_list.query,
     "op5_ordinal_quality": ordinal_quality.query,
+    "op6_secret_forest": secret_forest.query,
     "op7_warc_transactions": warc.query,
     "op8_decontaminate": winnowing.query,
     "op9_token_attribution": token_counts.query,
