@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codedelta.llm import textnp
-from codedelta.llm.common import read_table, write_table
+from codedelta.llm.common import read_table, without, write_table
 from codedelta.llm.components import components
 
 WIDTH = 5
@@ -326,8 +326,8 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100) -> DataFr
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents that stay when only the least doc_id of each component does, with their own columns."""
-    out = write_table(jaccard_components(docs).filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(out, F.col("doc_id") == F.col("_gone"), "left_anti")
+    out = write_table(jaccard_components(docs).filter("component_id < doc_id").select("doc_id").distinct(), "gone")
+    return without(docs, out)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codedelta.llm.common import WORD_CLASS, write_table
+from codedelta.llm.common import WORD_CLASS, fresh_name, read_table, write_table
 
 BITS = 12
 LEVELS = 3
@@ -104,13 +104,15 @@ def mix(docs: DataFrame, weights=(5, 2, 1), max_repeat: int = 3, share: float =
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, with its own columns."""
-    taken = mix(docs, **options).filter("copies > 0").select("doc_id", "copies").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    joined = docs.join(taken.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    own, copies, source = (fresh_name(docs, n) for n in ("_id", "_copies", "_source"))
+    taken = mix(docs, **options).filter("copies > 0").select(
+        F.col("doc_id").alias(own), F.col("source").alias(source), F.col("copies").alias(copies)).distinct()
+    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(own)) & F.col("source").eqNullSafe(F.col(source)))
+    # A document is taken a few times at most.
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(fresh_name(docs, "_copy"))).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from codedelta.llm.common import read_table
     m = mix(read_table(spark, sf_dir, "documents"))
     return m.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 

@@ -205,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ordin
     return model.fit(rows, cols, vals, grade)
 
 
-def _scored(model: Ordinal, keep_from: float):
+def _scored(model: Ordinal, keep_from: float, only_kept: bool):
     def run(batches):
         known = np.zeros(1 << CELL_BITS, bool)
         known[model.cells & ((1 << CELL_BITS) - 1)] = True
@@ -223,25 +223,24 @@ def _scored(model: Ordinal, keep_from: float):
                 keep.append(p[:, 1])
             p2 = np.concatenate(keep) if keep else np.empty(0)
             kept = p2 >= keep_from if np.any(model.weights) else np.ones(len(p2), bool)
-            rest = [batch.column(i) for i in range(batch.num_columns)]
-            yield pa.record_batch([*rest, pa.array(np.concatenate(expected) if expected else p2), pa.array(p2), pa.array(kept)],
-                                  names=[*batch.schema.names, "expected_grade", "p_good", "kept"])
+            if only_kept:
+                yield batch.filter(pa.array(kept))
+                continue
+            yield pa.record_batch([batch.column("doc_id"), pa.array(np.concatenate(expected) if expected else p2), pa.array(p2), pa.array(kept)],
+                                  names=["doc_id", "expected_grade", "p_good", "kept"])
     return run
 
 
-def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, keep_from: float = KEEP_FROM, columns=("doc_id", "text")) -> DataFrame:
-    """The given columns of every document with expected_grade, p_good (P(grade >= 2)) and kept."""
+def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, keep_from: float = KEEP_FROM) -> DataFrame:
+    """doc_id, expected_grade, p_good (P(grade >= 2)) and kept of every document row."""
     model = train(docs, labels, fit_rows)
-    own = docs.select(*columns)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
-    return own.mapInArrow(_scored(model, keep_from), kinds + ", expected_grade double, p_good double, kept boolean")
+    return docs.select("doc_id", "text").mapInArrow(_scored(model, keep_from, False), "doc_id long, expected_grade double, p_good double, kept boolean")
 
 
-def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def good_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, keep_from: float = KEEP_FROM) -> DataFrame:
     """The documents that the classifier keeps, with their own columns."""
-    return classify(docs, labels, columns=docs.columns).filter("kept").select(*docs.columns)
+    return docs.mapInArrow(_scored(train(docs, labels, fit_rows), keep_from, True), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    c = classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
-    return c.select("doc_id", "expected_grade", "p_good", "kept")
+    return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))

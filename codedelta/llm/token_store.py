@@ -223,7 +223,7 @@ def read_store(spark, out: str) -> DataFrame:
 
     start adds what lies before in the shard, in the part and in the parts before; only one row per part goes
     through an unpartitioned window."""
-    store = spark.read.parquet(out)
+    store = spark.read.schema(_SHARD).parquet(out)
     shards = store.select("part", "seq", "n_ids")
     in_part = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("part_ids"))

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codedelta.llm.common import ascii_lower, let, non_empty, read_table, write_table
+from codedelta.llm.common import ascii_lower, let, non_empty, read_table, without, write_table
 
 K = 4
 WINDOW = 10
@@ -148,7 +148,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """The documents that hold no benchmark window, with their own columns."""
     bad = write_table(contamination(docs, benchmark, window, k).filter("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(bad.withColumnRenamed("doc_id", "_bad"), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    return without(docs, bad)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

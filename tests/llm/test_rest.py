@@ -1,0 +1,338 @@
+"""Mixing, classifier, secrets, WARC, extraction, token counts, token store and pipeline."""
+
+import gzip
+import hashlib
+import zlib
+from collections import defaultdict
+
+import brute
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from codedelta.llm import mixing, ordinal_quality, secret_forest, site_tree, token_counts, token_store, warc
+from codedelta.llm.common import new_path
+from codedelta.llm.encoding import tokenizer_path
+
+
+# mixing
+
+def _targets(sizes, weights=(5, 2, 1)):
+    """Iterative resharing: {source: target}."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    w = {s: weights[k % 3] for k, s in enumerate(order)}
+    free, left, out = set(order), float(sum(sizes.values())), {}
+    while free:
+        share = {s: left * w[s] / sum(w[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > 3 * sizes[s]}
+        if not over:
+            return out | share
+        for s in over:
+            out[s] = 3.0 * sizes[s]
+            left -= out[s]
+        free -= over
+    return out
+
+
+def test_mix(wide_docs, texts):
+    rows = mixing.mix(wide_docs).collect()
+    size = {i: len(brute.WORD.findall(t or "")) for i, t in texts}
+    source = {i: None if i % 7 == 0 else f"s{i % 5}" for i, _ in texts}
+    totals = defaultdict(int)
+    for i in size:
+        totals[source[i]] += size[i]
+    targets = _targets(totals)
+    taken, largest = defaultdict(int), defaultdict(int)
+    for r in rows:
+        assert (r["size"], r["source"], r["source_size"]) == (size[r["doc_id"]], source[r["doc_id"]], totals[r["source"]])
+        assert r["target"] == pytest.approx(targets[r["source"]]) and 0 <= r["copies"] <= 3
+        taken[r["source"]] += r["copies"] * r["size"]
+        largest[r["source"]] = max(largest[r["source"]], r["size"])
+    assert len(rows) == len(texts)
+    for s in totals:
+        assert abs(taken[s] - targets[s]) <= largest[s]
+    assert {(r["doc_id"], r["copies"]) for r in rows} == {(r["doc_id"], r["copies"]) for r in mixing.mix(wide_docs.repartition(2)).collect()}
+
+
+def test_mixed_documents(wide_docs, no_docs):
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(wide_docs).collect()}
+    out = mixing.mixed_documents(wide_docs)
+    assert out.columns == wide_docs.columns
+    got = defaultdict(int)
+    for r in out.select("doc_id").collect():
+        got[r[0]] += 1
+    assert dict(got) == {i: c for i, c in copies.items() if c}
+    assert mixing.mixed_documents(no_docs).collect() == []
+
+
+def test_thresholds_are_nested(docs):
+    small = {r["doc_id"]: r["copies"] for r in mixing.mix(docs, share=0.5).collect()}
+    large = {r["doc_id"]: r["copies"] for r in mixing.mix(docs, share=0.9).collect()}
+    assert all(small[i] <= large[i] for i in small)
+
+
+# classifier
+
+def test_classifier_on_held_out_labels(spark, sf):
+    at = sf.replace("sf0.001", "sf0.01")
+    docs, labels = spark.read.parquet(at + "/documents.parquet"), spark.read.parquet(at + "/labels.parquet")
+    j = ordinal_quality.classify(docs, labels.filter("doc_id % 3 != 0")).join(labels.filter("doc_id % 3 = 0"), "doc_id").collect()
+    good = [r for r in j if r["quality"] == 1 and r["toxic"] == 0]
+    bad = [r for r in j if r["quality"] == 0]
+    assert sum(r["kept"] for r in good) >= 0.95 * len(good) and sum(not r["kept"] for r in bad) >= 0.9 * len(bad)
+    assert all(0 <= r["p_good"] <= 1 and 0 <= r["expected_grade"] <= 2 and r["expected_grade"] >= 2 * r["p_good"] - 1e-9 for r in j)
+
+
+def test_classifier_edges(spark, wide_docs, no_docs, labels):
+    assert all(r["kept"] for r in ordinal_quality.classify(wide_docs, labels).collect())
+    assert ordinal_quality.classify(no_docs, labels).collect() == []
+    assert ordinal_quality.good_documents(no_docs, labels).columns == no_docs.columns
+    one = spark.createDataFrame([(3, 1, 0), (3, None, None), (None, 1, 1)], labels.schema)
+    assert all(r["kept"] and r["expected_grade"] == pytest.approx(2) for r in ordinal_quality.classify(wide_docs, one).collect())
+
+
+def test_ordinal_fit_orders_grades():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=600)
+    grade = np.digitize(x + 0.2 * rng.normal(size=600), [-0.5, 0.7])
+    model = ordinal_quality.Ordinal()
+    shape = np.zeros((600, ordinal_quality.N_SHAPE))
+    shape[:, 0] = x
+    empty = np.empty(0, np.int64)
+    model.fit(*model.rows(empty, empty, empty, np.ones(600), shape), grade)
+    assert model.thresholds[0] < model.thresholds[1] and model.weights[0] > 0
+
+
+# secrets
+
+def test_secrets(spark, no_docs):
+    rows = []
+    for k in range(120):
+        value = hashlib.sha1(str(k).encode()).hexdigest()
+        rows.append((k, f'some words here token = "{value}" and more', None))
+        rows.append((1000 + k, f"abcdefghijklmnopqrstuvwxyz and 1234567890123456 {k}", "tests/a.py"))
+    hidden = hashlib.sha1(b"hidden").hexdigest()
+    rows += [(5000, f"bare {hidden} value", None), (5001, None, None), (5002, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {(r["doc_id"], r["first_char"]): r for r in secret_forest.scan(docs).collect()}
+    assert all(r["is_secret"] == (r["doc_id"] < 1000 or r["doc_id"] == 5000) for r in got.values())
+    assert len(got) == 120 + 240 + 1 and got[5000, 5]["digest"] == hashlib.sha256(hidden.encode()).hexdigest()
+    assert secret_forest.scan(no_docs).collect() == []
+
+
+# WARC
+
+PAGES = "page_id long, url string, html string, kind string, digest string"
+
+
+def test_warc_transactions(spark):
+    big = "<p>" + "x" * 200 + "é</p>"
+    rows = [(5, "http://a.example/x?q=1", big), (2, "http://b.example/", big), (9, None, big), (1, "http://c.example", "short"),
+            (3, "http://c.example/2", "short"), (4, "odd\r\nurl", None), (6, "http://d.example", ""), (7, "http://e.example", "WARC/1.1\r\n\r\n\r\n\r\nWARC/1.1\r\n" * 9),
+            (None, "http://f.example", "no id" * 30)]
+    pages = spark.createDataFrame([(*r, "k", "d") for r in rows], PAGES).repartition(3)
+    out = new_path(spark, "archive")
+    warc.write_archive(pages, out, records_per_file=4)
+    captures = warc.resolve_revisits(warc.assemble(warc.read_records(spark, out, with_payload=True))).collect()
+    got = {r["metadata"]["page_id"]: r for r in captures}
+    assert len(captures) == len(rows)
+    for i, _, html in rows:
+        raw = (html or "").encode()
+        r = got[i]
+        assert (r["response"]["payload_bytes"], r["response"]["payload_digest"]) == (len(raw), hashlib.sha256(raw).hexdigest())
+        revisit = i in (5, 9)
+        assert (r["response"]["kind"], r["refers_to_page"]) == (("revisit", 2) if revisit else ("response", None))
+        assert r["request"]["record_id"] and (revisit or (bytes(r["response"]["payload"]) == raw and r["response"]["digest_ok"]))
+
+
+def test_warc_repeated_rows_and_empty(spark):
+    one = [(1, "http://a.example", "y" * 150, "k", "d")]
+    for rows in (one + one, []):
+        out = new_path(spark, "archive")
+        warc.write_archive(spark.createDataFrame(rows, PAGES), out)
+        assert len(warc.assemble(warc.read_records(spark, out)).collect()) == len(rows)
+
+
+def test_warc_record_parser():
+    raw = b"WARC/1.1\r\nWARC-Type: x\r\nContent-Length: 4\r\n\r\n\r\n\r\n\r\n\r\n"
+    ((h, block),) = warc.parse_records(gzip.decompress(gzip.compress(raw)))
+    assert h["warc-type"] == "x" and bytes(block) == b"\r\n\r\n"
+
+
+# extraction
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body class="no-sidebar">
+<header class="site-header"><h1>Site</h1></header><nav><ul><li><a href=/>Home</a><li><a href=/a>A</a></ul></nav>
+<div class="cookie-notice">We use cookies</div><!-- <p>comment</p> -->
+<div id="main"><article class="post has-sidebar"><header><h1>Title &amp; more</h1></header>
+<p>First  <b>bold&nbsp;text</b>,<br>next&#x20;line <span class="ad">AD</span>end.<p>Second &lt;tag&gt; <a href="x">link</a>.
+<div class="share-buttons">Share this</div><ul><li>one<li>two</ul><blockquote>Quote</blockquote>
+<form><input><button>Send</button>Your mail</form><aside>Related</aside></article>
+<section id="comments"><article class="comment"><p>Great post!</p></article></section></div>
+<div class="sidebar"><p>Widget</p></div><footer>&copy; 2024</footer></body></html>"""
+TEXT = "Title & more\nFirst bold text, next line end.\nSecond <tag> link.\none\ntwo\nQuote"
+
+
+def test_main_text_by_markup():
+    assert site_tree.main_text(PAGE) == TEXT
+    assert site_tree.main_text("") == ""
+    assert site_tree.main_text("<nav>menu</nav><footer>f</footer>") == ""
+    assert site_tree.main_text("<p>just</p> text<p>here") == "just\ntext\nhere"
+    assert site_tree.main_text("<article><p>unclosed <b>x<p>y") == "unclosed x\ny"
+    assert site_tree.main_text('<main><h1>H</h1><p>a</p></main><div class="menu">m</div>') == "H\na"
+    assert site_tree.main_text('<table><tr><td>a<td>b<tr><td>c</table>') == "a\nb\nc"
+    assert len(site_tree.main_text("<article>" + "<p>word word</p>" * 20000 + "</article>")) == 20000 * 10 - 1
+
+
+def test_site_tree_removes_what_a_site_repeats(spark):
+    """Template parts without telling names go; repeated paragraphs of the article stay."""
+    rows = []
+    for k in range(12):
+        body = f"<h2>Story {k}</h2><p>Own words {k} {'x' * k}</p>" + "<p>All rights reserved.</p>" + (f"<p>More {k}</p>" if k % 3 else "")
+        rows.append((k, f"https://www.site.example/{k}", f"<body><div class=q1><div>Always here</div><div>And this</div></div><div class=q2>{body}</div></body>"))
+    rows.append((50, "https://lone.example/", "<body><div class=q1>Always here</div><div class=q2><p>Only page</p></div></body>"))
+    rows += [(51, None, None), (52, "x", ""), (53, "https://site.example/12", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").select("*", F.lit(1).alias("host"), F.lit(2).alias("noise")).repartition(3)
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in site_tree.extract(pages).collect()}
+    for k in range(12):
+        text = f"Story {k}\nOwn words {k} {'x' * k}".rstrip() + "\nAll rights reserved." + (f"\nMore {k}" if k % 3 else "")
+        assert got[k] == (text, len(text))
+    assert got[50][0] == "Always here\nOnly page" and got[51] == got[52] == got[53] == ("", 0)
+
+
+def test_site_tree_keeps_copied_articles(spark):
+    rows = [(k, "http://m.example/", "<body><article><div class=b><p>The same article.</p></div></article></body>") for k in range(9)]
+    out = site_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r["text"] for r in out] == ["The same article."] * 9
+    assert site_tree.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+# tokens
+
+ODD = ["", None, "abc", "don't can't 'S", "a|b <|startoftext|> <|endoftext|>x", "x y z", "é́ ≮ Σας ΑΣ", "1a2b..c,'d--e", "İstanbul \x01 \x01x", "\n\n a \n\tb  c\r\n",
+       "日本語 テキスト", "🙂🙂 ok🙂x", "end\n"]
+
+
+@pytest.fixture(scope="module")
+def odd_docs(spark, texts):
+    rows = [(1000 + i, t) for i, t in enumerate(ODD)] + list(texts)
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit("k").alias("part"), F.lit("s").alias("sections")).repartition(4)
+
+
+def test_token_store(odd_docs, no_docs):
+    from tokenizers import Tokenizer
+    rows, df = odd_docs
+    t = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    start, expected = 0, []
+    for i, text in sorted(rows, key=lambda r: r[0]):
+        ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
+        expected.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(tuple(r) for r in token_store.store_and_read(df).collect()) == expected
+    assert token_store.store_and_read(no_docs).collect() == []
+
+
+def test_token_store_repeated_ids(spark):
+    df = spark.createDataFrame([(1, "b"), (1, "b"), (None, "a a"), (0, None)], "doc_id long, text string")
+    got = sorted(((r["doc_id"] is not None, r["doc_id"], r["start"], r["n_tokens"]) for r in token_store.store_and_read(df).collect()), key=lambda r: r[2])
+    assert [(r[1], r[3]) for r in got] == [(None, 3), (0, 1), (1, 2), (1, 2)] and [r[2] for r in got] == [0, 3, 4, 6]
+
+
+def test_repair_round_trip_and_random_access():
+    rng = np.random.default_rng(4)
+    docs = [np.concatenate([rng.choice([5, 6, 7, 8, 8, 8], rng.integers(0, 400)), [2]]) for _ in range(50)]
+    seq = np.concatenate(docs)
+    symbols, rules = token_store.repair(seq, 100, least=4)
+    assert len(rules) and len(symbols) < len(seq) / 2
+    ids, sizes = token_store.expand(symbols.astype(np.int64), rules, 100)
+    assert (ids == seq).all()
+    lengths, flat, starts = token_store.expansions(rules, 100)
+    assert all(2 not in flat[s:s + n] for s, n in zip(starts, lengths))
+    ends = np.cumsum([len(d) for d in docs])
+    first = np.searchsorted(np.cumsum(sizes), ends - [len(d) for d in docs], "right")
+    shard = {"base": 100, "width": 4, "has_id": np.ones(50, np.uint8).tobytes(), "doc_ids": np.arange(50).tobytes(), "n_tokens": np.array([len(d) for d in docs], np.uint32).tobytes(),
+             "first": first.astype(np.uint32).tobytes(), "lengths": lengths.astype(np.uint32).tobytes(), "rules": rules.tobytes(), "symbols": symbols.astype("u4").tobytes()}
+    s = token_store.Shard(shard)
+    assert all((s.document(i) == d).all() for i, d in enumerate(docs))
+
+
+def test_token_counts(odd_docs, no_docs):
+    from tokenizers import Tokenizer
+    rows, df = odd_docs
+    t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    expected = {}
+    for i, text in rows:
+        lines = (text or "").splitlines(keepends=True) if not any(c in (text or "") for c in "\r\x0b\x0c\x1c\x85 ") else [x + "\n" for x in text.split("\n")]
+        if lines and not text.endswith("\n"):
+            lines[-1] = lines[-1].removesuffix("\n")
+        lines = [x for x in lines if x] or [""]
+        if "\r" in (text or ""):
+            parts = text.split("\n")
+            lines = [x + "\n" for x in parts[:-1]] + ([parts[-1]] if parts[-1] else [])
+        ends = list(np.cumsum([len(x) for x in lines]))
+        starts = [0, *ends[:-1]]
+        counts = [0.0] * len(lines)
+        for a, b in t.encode(text or "", add_special_tokens=False).offsets:
+            counts[max(range(len(lines)), key=lambda k: (min(b, ends[k]) - max(a, starts[k]), -k))] += 1
+        for k in range(len(lines)):
+            expected[i, k] = (starts[k], int(ends[k]), counts[k])
+    got = {(r[0], r[1]): (r[2], r[3], r[4]) for r in token_counts.count_tokens(df).collect()}
+    assert got == expected
+    assert token_counts.count_tokens(no_docs).collect() == []
+
+
+def test_attribution_rules(spark):
+    first, last = np.array([0, 3, 6, 9]), np.array([3, 6, 9, 12])
+    starts, ends = np.array([0, 5, 8]), np.array([5, 8, 10])
+    of = lambda rule: [round(x, 3) for x in token_counts.attribute(first, last, starts, ends, rule)[0]]
+    assert of("start") == [2, 1, 1, 0] and of("largest") == [2, 1, 0, 1]
+    assert of("share") == [1.667, 1.0, 0.667, 0.667]
+    docs = spark.createDataFrame([(1, "hello big world"), (2, None), (3, "none")], "doc_id long, text string")
+    sections = spark.createDataFrame([(1, 7, 0, 5), (1, 8, 10, 15), (2, 1, 0, 0)], "doc_id long, section long, first_char long, end_char long")
+    got = sorted(((r[0], -1 if r[1] is None else r[1], r[4]) for r in token_counts.count_tokens(docs, sections, rule="start").collect()))
+    assert got == [(1, -1, 2.0), (1, 7, 1.0), (1, 8, 0.0), (2, 1, 0.0), (3, -1, 1.0)]
+    with pytest.raises(ValueError):
+        token_counts.count_tokens(docs, rule="other")
+
+
+# pipeline
+
+def test_pipeline_against_brute_force(spark, sf):
+    from tokenizers import Tokenizer
+    docs = spark.read.parquet(sf + "/documents.parquet")
+    kept = [tuple(r) for r in corpus_pipeline.quality(spark, docs, sf).select("doc_id", "text", "source").collect()]
+    comp = brute.components([r[:2] for r in kept])
+    kept = [r for r in kept if comp[r[0]][1] == r[0]]
+    items = [tuple(r) for r in spark.read.parquet(sf + "/benchmark.parquet").select("item_id", "text").collect()]
+    bad = {r[0] for r in brute.contamination([r[:2] for r in kept], items) if r[5]}
+    kept = [r for r in kept if r[0] not in bad]
+    totals = defaultdict(int)
+    for _, t, s in kept:
+        totals[s] += len(brute.WORD.findall(t or ""))
+    targets = _targets(totals)
+    key = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:9], 16)
+    copies = {}
+    for s in totals:
+        passes = int(targets[s] // totals[s]) if totals[s] else 0
+        left, run = targets[s] - passes * totals[s], 0
+        for i, t, _ in sorted((r for r in kept if r[2] == s), key=lambda r: key(r[0])):
+            n = len(brute.WORD.findall(t or ""))
+            whole = run + n <= left or (run <= left and 2 * (left - run) >= n)
+            copies[i] = passes + (1 if whole else 0)
+            run += n
+    t = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    start, expected = 0, []
+    for i, text, _ in sorted(kept):
+        ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
+        for _ in range(copies[i]):
+            expected.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+            start += len(ids)
+    assert sorted(tuple(r) for r in corpus_pipeline.run(spark, sf).collect()) == expected
+
+
+def test_pipeline_stages_keep_columns(spark, sf):
+    docs = spark.read.parquet(sf + "/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, sf).columns == docs.columns
