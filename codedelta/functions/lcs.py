@@ -1,12 +1,10 @@
 """Exact line alignment of two hashed line sequences (a small per-row helper).
 
-``align`` strips the common prefix and suffix, then runs a bit-parallel LCS
-(each row of the dynamic programme is one big integer; ``V' = (V + U) | (V - U)``
-with ``U = V & match_mask``), so the length is exact in O(n*m/64) word steps.
-The edit script comes from a traceback over the stored rows while they fit in
-``max_bits``; beyond that the script falls back to "middle fully replaced"
-(counts stay exact, only the choice of context lines is affected) and the
-result says so in ``exact_script``.
+``align`` strips the common prefix and suffix, then runs a bit-parallel LCS (each row of the dynamic
+programme is one big integer; ``V' = (V + U) | (V - U)`` with ``U = V & match_mask``), so the length is exact in
+O(n*m/64) word steps.  The edit script is exact at every size: a part is split at the middle of one
+side, where the ends of the two halves' rows tell the best place on the other side, until its rows are few enough
+to keep for a traceback (``row_bits``).  Memory is linear in the lines.
 """
 
 from __future__ import annotations
@@ -30,10 +28,11 @@ def _lcs_rows(a, b, store: bool):
         v = ((v + u) | (v - u)) & full
         if store:
             rows.append(v)
-    return n - bin(v).count("1"), rows
+    return n - v.bit_count(), rows
 
 
 def lcs_length(a, b) -> int:
+    a, b = list(a) if a is not None else [], list(b) if b is not None else []
     n, m = len(a), len(b)
     p = 0
     while p < n and p < m and a[p] == b[p]:
@@ -49,19 +48,13 @@ def lcs_length(a, b) -> int:
     return p + s + _lcs_rows(am, bm, False)[0]
 
 
-def _middle_script(am, bm, max_bits: int):
-    """Edit script of the middle parts: list of KEEP/DELETE/INSERT, and exactness."""
+def _traceback(am, bm) -> list[str]:
+    """Edit script from the stored rows."""
     n, m = len(am), len(bm)
-    if n == 0:
-        return [INSERT] * m, True
-    if m == 0:
-        return [DELETE] * n, True
-    if n * m > max_bits:
-        return [DELETE] * n + [INSERT] * m, False
     _, rows = _lcs_rows(am, bm, True)
 
     def L(i, j):  # LCS of am[:i], bm[:j]
-        return i - bin(rows[j] & ((1 << i) - 1)).count("1")
+        return i - (rows[j] & ((1 << i) - 1)).bit_count()
 
     ops = []
     i, j = n, m
@@ -79,11 +72,48 @@ def _middle_script(am, bm, max_bits: int):
     ops.extend([INSERT] * j)
     ops.extend([DELETE] * i)
     ops.reverse()
-    return ops, True
+    return ops
 
 
-def align(a, b, context: int = 4, max_bits: int = 2_000_000_000):
-    """Return (lcs, marks, a_idx, b_idx, exact_script) for the unified patch rows.
+def _prefix_lengths(am, bm) -> list[int]:
+    """LCS of am[:i] and bm, for i = 0..len(am)."""
+    n = len(am)
+    masks: dict = {}
+    for i, x in enumerate(am):
+        masks[x] = masks.get(x, 0) | (1 << i)
+    full = (1 << n) - 1
+    v = full
+    for y in bm:
+        u = v & masks.get(y, 0)
+        v = ((v + u) | (v - u)) & full
+    out = [0]
+    for i, bit in enumerate(bin(v | (1 << n))[:2:-1]):
+        out.append(out[-1] + (bit == "0"))
+    return out
+
+
+def _middle_script(am, bm, row_bits: int) -> list[str]:
+    """Minimal edit script of two sequences: list of KEEP / DELETE / INSERT."""
+    ops: list[str] = []
+    todo = [(am, bm)]
+    while todo:
+        x, y = todo.pop()
+        n, m = len(x), len(y)
+        if n == 0 or m == 0:
+            ops += [DELETE] * n + [INSERT] * m
+        elif n * m <= row_bits or m == 1:
+            ops += _traceback(x, y)
+        else:
+            half = m // 2
+            head = _prefix_lengths(x, y[:half])
+            tail = _prefix_lengths(x[::-1], y[half:][::-1])
+            cut = max(range(n + 1), key=lambda i: head[i] + tail[n - i])
+            todo += [(x[cut:], y[half:]), (x[:cut], y[:half])]
+    return ops
+
+
+def align(a, b, context: int = 4, row_bits: int = 1 << 24):
+    """Return (lcs, marks, a_idx, b_idx) for the unified patch rows.
 
     ``marks`` is a string with one of ' ', '-', '+' per patch row; ``a_idx`` /
     ``b_idx`` are 0-based line numbers on each side (-1 where not applicable).
@@ -99,7 +129,7 @@ def align(a, b, context: int = 4, max_bits: int = 2_000_000_000):
     s = 0
     while s < n - p and s < m - p and a[n - 1 - s] == b[m - 1 - s]:
         s += 1
-    mid, exact = _middle_script(a[p:n - s], b[p:m - s], max_bits)
+    mid = _middle_script(a[p:n - s], b[p:m - s], row_bits)
     lcs = p + s + mid.count(KEEP)
     # Changed positions are all inside the middle; context reaches into the
     # prefix and suffix, so only walk the neighbourhood of the middle.
@@ -129,4 +159,4 @@ def align(a, b, context: int = 4, max_bits: int = 2_000_000_000):
             marks.append(op)
             ai.append(x)
             bi.append(y)
-    return lcs, "".join(marks), ai, bi, exact
+    return lcs, "".join(marks), ai, bi

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark import cloudpickle
 
 import codedelta.functions.lcs as _lcs
-from codedelta.functions.lcs import align
+from codedelta.functions.lcs import align, lcs_length
 from codedelta.functions.text import line_key, lines, pin
 from codedelta.rules import PATCH_CONTEXT_LINES
 
@@ -34,14 +34,18 @@ ALIGN_TYPE = T.StructType([
     T.StructField("marks", T.StringType()),
     T.StructField("a_idx", T.ArrayType(T.IntegerType())),
     T.StructField("b_idx", T.ArrayType(T.IntegerType())),
-    T.StructField("exact_script", T.BooleanType()),
 ])
 
 
 @F.pandas_udf(ALIGN_TYPE)
 def _align_udf(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     out = [align(x, y, PATCH_CONTEXT_LINES) for x, y in zip(a, b)]
-    return pd.DataFrame(out, columns=["lcs", "marks", "a_idx", "b_idx", "exact_script"])
+    return pd.DataFrame(out, columns=["lcs", "marks", "a_idx", "b_idx"])
+
+
+@F.pandas_udf(T.LongType())
+def _lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([lcs_length(x, y) for x, y in zip(a, b)], dtype="int64")
 
 
 def _hashes(arr):
@@ -52,28 +56,32 @@ def with_lines(df: DataFrame, legacy: str = "legacy", refactored: str = "refacto
     return df.withColumn("_la", pin(lines(F.col(legacy)))).withColumn("_lb", pin(lines(F.col(refactored))))
 
 
+def _unequal(legacy: str, refactored: str):
+    return F.coalesce(F.col(legacy), F.lit("")) != F.coalesce(F.col(refactored), F.lit(""))
+
+
 def with_alignment(df: DataFrame, legacy: str = "legacy", refactored: str = "refactored") -> DataFrame:
-    """Adds ``_la``/``_lb`` (line arrays) and ``_al`` (alignment struct).
+    """Adds ``_la``/``_lb`` (line arrays) and ``_al`` (lcs, marks, a_idx, b_idx).
 
-    Equal texts skip Python entirely: they are split off before the UDF."""
+    Equal texts send empty arrays to the UDF and have an empty patch."""
     d = with_lines(df, legacy, refactored)
-    same = F.coalesce(F.col(legacy), F.lit("")) == F.coalesce(F.col(refactored), F.lit(""))
-    empty = F.struct(F.size("_la").cast("long").alias("lcs"), F.lit("").alias("marks"),
-                     F.array().cast("array<int>").alias("a_idx"), F.array().cast("array<int>").alias("b_idx"),
-                     F.lit(True).alias("exact_script"))
-    eq = d.filter(same).withColumn("_al", empty)
-    ne = d.filter(~same).withColumn("_al", _align_udf(_hashes(F.col("_la")), _hashes(F.col("_lb"))))
-    return eq.unionByName(ne)
+    none = F.array().cast("array<bigint>")
+    differ = _unequal(legacy, refactored)
+    d = d.withColumn("_al", _align_udf(F.when(differ, _hashes(F.col("_la"))).otherwise(none), F.when(differ, _hashes(F.col("_lb"))).otherwise(none)))
+    return d.withColumn("_al", F.col("_al").withField("lcs", F.when(differ, F.col("_al.lcs")).otherwise(F.size("_la").cast("long"))))
 
 
 def line_diff_aligned(pairs: DataFrame, key: str = "pair_id", legacy: str = "legacy",
                       refactored: str = "refactored") -> DataFrame:
-    """(key, lines_added, lines_removed, approx) — minimal edit script counts."""
-    d = with_alignment(pairs.select(key, legacy, refactored), legacy, refactored)
-    return d.select(key,
-                    (F.size("_lb") - F.col("_al.lcs")).alias("lines_added"),
-                    (F.size("_la") - F.col("_al.lcs")).alias("lines_removed"),
-                    F.lit(False).alias("approx"))
+    """(key, lines_added, lines_removed) — minimal edit script counts; no script is made for them."""
+    d = with_lines(pairs.select(key, legacy, refactored), legacy, refactored)
+    none = F.array().cast("array<bigint>")
+    differ = _unequal(legacy, refactored)
+    lcs = _lcs_udf(F.when(differ, _hashes(F.col("_la"))).otherwise(none), F.when(differ, _hashes(F.col("_lb"))).otherwise(none))
+    d = d.select(key, F.size("_la").alias("n"), F.size("_lb").alias("m"), differ.alias("differ"), lcs.alias("lcs"))
+    added, removed = F.col("m") - F.col("lcs"), F.col("n") - F.col("lcs")
+    return d.select(key, F.when(F.col("differ"), added).otherwise(0).cast("long").alias("lines_added"),
+                    F.when(F.col("differ"), removed).otherwise(0).cast("long").alias("lines_removed"))
 
 
 def line_diff_multiset(pairs: DataFrame, key: str = "pair_id", legacy: str = "legacy",
@@ -98,13 +106,13 @@ def patch_rows(pairs: DataFrame, key: str = "pair_id", legacy: str = "legacy",
                refactored: str = "refactored") -> DataFrame:
     """Unified patch rows: (key, seq, mark, line) with mark in ' ', '-', '+'."""
     d = with_alignment(pairs.select(key, legacy, refactored), legacy, refactored)
-    rows = d.select(key, "_la", "_lb", F.posexplode(F.arrays_zip(
-        F.col("_al.a_idx").alias("a"), F.col("_al.b_idx").alias("b"))).alias("seq", "p"),
-        F.col("_al.marks").alias("marks"))
-    mark = F.substring(F.col("marks"), F.col("seq") + 1, 1)
-    text = F.when(F.col("p.a") >= 0, F.element_at("_la", F.col("p.a") + 1)) \
-        .otherwise(F.element_at("_lb", F.col("p.b") + 1))
-    return rows.select(key, F.col("seq").cast("int").alias("seq"), mark.alias("mark"), text.alias("line"))
+    # Only the changed lines and their context leave the row, not both files per patch row.
+    entries = F.arrays_zip(F.col("_al.a_idx").alias("a"), F.col("_al.b_idx").alias("b"))
+    patch = F.transform(entries, lambda e, i: F.struct(
+        F.substring(F.col("_al.marks"), i + 1, 1).alias("mark"),
+        F.when(e["a"] >= 0, F.element_at(F.col("_la"), e["a"] + 1)).otherwise(F.element_at(F.col("_lb"), e["b"] + 1)).alias("line")))
+    rows = d.select(key, pin(patch).alias("patch")).select(key, F.posexplode("patch").alias("seq", "p"))
+    return rows.select(key, F.col("seq").cast("int").alias("seq"), "p.mark", "p.line")
 
 
 def patch_text_col(df_with_alignment: DataFrame) -> F.Column:

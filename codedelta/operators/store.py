@@ -3,11 +3,12 @@ status events — the data side of the analysed service, as table operators."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codedelta.rules import ACCEPTED_LANGUAGES, MAX_FILE_BYTES, MAX_FILES, SOURCE_TYPES, STATUSES, UPLOAD_EXTENSIONS
+from codedelta.rules import ACCEPTED_LANGUAGES, MAX_FILE_BYTES, MAX_FILES, SOURCE_TYPES, UPLOAD_EXTENSIONS
 
+INVALID_TYPE_MESSAGE = "Invalid file type. Only source code files are allowed."
 LANGUAGE_MESSAGE = '"language" must be one of [' + ", ".join(ACCEPTED_LANGUAGES) + "]"
 
 
@@ -62,13 +63,19 @@ def normalise_email(c: Column) -> Column:
 
 
 def accept_uploads(files: DataFrame, request_col: str = "request_id", name_col: str = "path",
-                   size_col: str = "length", order_col: str = "path") -> DataFrame:
-    """Files with an accepted source extension, at most 10 MiB, first 10 per request
-    (a binaryFile or wholetext listing with a request column)."""
+                   size_col: str = "length") -> tuple[DataFrame, DataFrame]:
+    """(accepted files, rejected files with ``reasons``) of upload requests: a request with a file of another
+    extension, a file above the size limit or too many files is rejected as a whole; no file is dropped."""
     ext = r"(?i)\.(" + "|".join(UPLOAD_EXTENSIONS) + r")$"
-    ok = files.filter(F.col(name_col).rlike(ext) & (F.col(size_col) <= MAX_FILE_BYTES))
-    w = Window.partitionBy(request_col).orderBy(order_col)
-    return ok.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= MAX_FILES).drop("_n")
+    why = files.groupBy(F.col(request_col).alias("_request")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce(F.col(name_col).rlike(ext), F.lit(False))).alias("bad"),
+        F.count_if(F.col(size_col) > MAX_FILE_BYTES).alias("large"))
+    why = why.select("_request", F.array_compact(F.array(
+        F.when(F.col("bad") > 0, F.lit(INVALID_TYPE_MESSAGE)),
+        F.when(F.col("large") > 0, F.lit("File too large")),
+        F.when(F.col("n") > MAX_FILES, F.lit("Too many files")))).alias("reasons"))
+    j = files.join(why, F.col(request_col).eqNullSafe(F.col("_request"))).drop("_request")
+    return j.filter(F.size("reasons") == 0).drop("reasons"), j.filter(F.size("reasons") > 0)
 
 
 def page(df: DataFrame, order: list[Column], page_no: int, limit: int) -> DataFrame:
@@ -106,12 +113,14 @@ def upsert_latest(current: DataFrame, updates: DataFrame, key: str, ts: str) ->
 
 
 def status_events_from(events: DataFrame) -> DataFrame:
-    """Status events derived from an event table: view -> pending, click ->
-    processing, purchase -> completed, error -> failed (others dropped)."""
-    m = {"view": "pending", "click": "processing", "purchase": "completed", "error": "failed"}
+    """Status events derived from an event table: signup and view -> pending, click ->
+    processing, purchase -> completed, error -> failed; an unknown type is no status event."""
+    m = {"signup": "pending", "view": "pending", "click": "processing", "purchase": "completed", "error": "failed"}
     status = F.create_map(*[x for k, v in m.items() for x in (F.lit(k), F.lit(v))])[F.col("event_type")]
-    return events.select(F.col("user_id").alias("analysis_id"), status.alias("status"),
-                         F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq")) \
+    languages = F.array(*[F.lit(x) for x in ACCEPTED_LANGUAGES])
+    language = F.element_at(languages, (F.pmod("user_id", F.lit(len(ACCEPTED_LANGUAGES))) + 1).cast("int"))
+    return events.withColumn("language", language).select(F.col("user_id").alias("analysis_id"), status.alias("status"),
+                         F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), "language") \
         .filter(F.col("status").isNotNull())
 
 
@@ -121,20 +130,23 @@ def latest_status(status_events: DataFrame) -> DataFrame:
         F.max_by("status", F.struct("ts", "seq")).alias("status"), F.max("ts").alias("last_ts"))
 
 
-def processing_times(status_events: DataFrame) -> DataFrame:
-    """First pending to last terminal event per analysis, in milliseconds."""
+def analysis_times(status_events: DataFrame) -> DataFrame:
+    """Per analysis: latest status, its time, its language if the events have one, and the milliseconds from the first
+    pending to the last terminal event, all in one partial aggregation."""
+    last = F.struct("ts", "seq")
+    language = F.max_by("language", last) if "language" in status_events.columns else F.lit(None).cast("string")
     g = status_events.groupBy("analysis_id").agg(
+        F.max_by("status", last).alias("status"), F.max("ts").alias("last_ts"), language.alias("language"),
         F.min(F.when(F.col("status") == "pending", F.col("ts"))).alias("started"),
         F.max(F.when(F.col("status").isin("completed", "failed"), F.col("ts"))).alias("finished"))
-    return g.select("analysis_id",
-                    ((F.unix_micros("finished") - F.unix_micros("started")) / 1000.0).alias("processing_ms"))
+    ms = (F.unix_micros("finished") - F.unix_micros("started")) / 1000.0
+    return g.select("analysis_id", "status", "last_ts", "language", ms.alias("processing_ms"))
 
 
 def status_rollup(status_events: DataFrame) -> DataFrame:
-    """Count and mean processing time per latest status."""
-    j = latest_status(status_events).join(processing_times(status_events), "analysis_id")
-    return j.groupBy("status").agg(F.count(F.lit(1)).alias("n"),
-                                   F.round(F.avg("processing_ms"), 3).alias("avg_processing_ms"))
+    """Count and mean processing time per latest status and language."""
+    return analysis_times(status_events).groupBy("status", "language").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("processing_ms"), 3).alias("avg_processing_ms"))
 
 
 def over_limit(requests: DataFrame, key: str, ts: str, window: str, limit: int) -> DataFrame:
@@ -142,5 +154,3 @@ def over_limit(requests: DataFrame, key: str, ts: str, window: str, limit: int)
     g = requests.groupBy(F.col(key), F.window(F.col(ts), window).alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return g.filter(F.col("n") > limit).select(key, F.col("w.start").alias("window_start"), "n")
 
-
-VALID_STATUSES = STATUSES

@@ -42,7 +42,7 @@ LCS_DP_CTES = lcs_ctes()
 
 _ALIGNED_SQL = with_views("""
 SELECT t.k AS pair_id, CAST(len(t.b) - d.row_[len(d.row_)] AS BIGINT) AS lines_added,
-       CAST(len(t.a) - d.row_[len(d.row_)] AS BIGINT) AS lines_removed, false AS approx
+       CAST(len(t.a) - d.row_[len(d.row_)] AS BIGINT) AS lines_removed
 FROM d JOIN t ON d.k = t.k WHERE d.i = len(t.a)""", "diff_pairs", extra=LCS_DP_CTES, recursive=True)
 
 

@@ -163,10 +163,12 @@ def outbox(spark, sf_dir):
 
 
 # ------------------------------------------------------------- status events
-_STATUS_SQL = """SELECT user_id AS analysis_id,
-       CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'processing'
+_LANGS = "[" + ", ".join(_q(x) for x in ACCEPTED_LANGUAGES) + "]"
+_STATUS_SQL = f"""SELECT user_id AS analysis_id,
+       CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'pending' WHEN 'click' THEN 'processing'
                        WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' END AS status,
-       ts, event_id AS seq FROM events WHERE event_type IN ('view', 'click', 'purchase', 'error')"""
+       {_LANGS}[CAST(user_id % {len(ACCEPTED_LANGUAGES)} AS INTEGER) + 1] AS language,
+       ts, event_id AS seq FROM events WHERE event_type IN ('signup', 'view', 'click', 'purchase', 'error')"""
 
 
 @register("status_latest", f"""
@@ -181,12 +183,12 @@ def status_latest(spark, sf_dir):
 
 @register("status_rollup", f"""
 WITH se AS ({_STATUS_SQL}),
-lt AS (SELECT analysis_id, arg_max(status, (ts, seq)) AS status FROM se GROUP BY analysis_id),
+lt AS (SELECT analysis_id, arg_max(status, (ts, seq)) AS status, any_value(language) AS language FROM se GROUP BY analysis_id),
 pt AS (SELECT analysis_id, (epoch_us(max(CASE WHEN status IN ('completed', 'failed') THEN ts END))
                             - epoch_us(min(CASE WHEN status = 'pending' THEN ts END))) / 1000.0 AS processing_ms
        FROM se GROUP BY analysis_id)
-SELECT status, count(*) AS n, round(avg(processing_ms), 3) AS avg_processing_ms
-FROM lt JOIN pt USING (analysis_id) GROUP BY status""")
+SELECT status, language, count(*) AS n, round(avg(processing_ms), 3) AS avg_processing_ms
+FROM lt JOIN pt USING (analysis_id) GROUP BY status, language""")
 def status_rollup(spark, sf_dir):
     return ST.status_rollup(ST.status_events_from(read_table(spark, sf_dir, "events")))
 

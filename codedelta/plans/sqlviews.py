@@ -55,10 +55,8 @@ FROM documents d
 JOIN snippets o ON d.doc_id % 24 = o.snip_id
 JOIN snippets n ON (d.doc_id + 1) % 24 = n.snip_id""")
 view("near_pairs", [], f"""
-WITH l AS (SELECT DISTINCT doc_id, line FROM (
-             SELECT doc_id, unnest(regexp_extract_all(text, {LINE_RE})) AS line FROM documents)
-           WHERE length(line) >= 40),
-f AS (SELECT line, min(doc_id) AS first_doc FROM l GROUP BY line HAVING count(*) BETWEEN 2 AND 20),
+WITH l AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, {LINE_RE})) AS line FROM documents),
+f AS (SELECT line, min(doc_id) AS first_doc FROM l GROUP BY line),
 s AS (SELECT l.doc_id, f.first_doc, count(*) AS n FROM l JOIN f USING (line)
       WHERE l.doc_id > f.first_doc GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_doc) AS rn FROM s)

@@ -1,10 +1,7 @@
-"""SparkSession construction and the shared checkpoint folder."""
+"""SparkSession construction."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings every job in this package expects: adaptive execution (runtime
@@ -46,23 +43,5 @@ def build_session(master: str | None = None, app: str = "codedelta",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when unset (tests, local
-    runs) create a scratch folder for it."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="codedelta-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(configured)
-    return configured
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    return ensure_checkpoint_dir(spark)

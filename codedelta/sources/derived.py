@@ -6,7 +6,7 @@ definition, so both engines see identical inputs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,40 +74,26 @@ def code_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def near_pairs(spark: SparkSession, sf_dir: str, min_len: int = 40,
-               min_docs: int = 2, max_docs: int = 20) -> DataFrame:
-    """Near-copy documents: each document paired with the earlier document that
-    shares most rare long lines (a line of >= ``min_len`` characters found in
-    ``min_docs``..``max_docs`` documents).  Returns (k, old, nw)."""
+def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-copy documents: each document paired with the earlier document that is the first holder of most of its
+    lines (ties: the least id).  Returns (k, old, nw).
+
+    Each line leads to its first document only, so a line of n documents gives n - 1 rows.  The first holders
+    come from a partial aggregation; a line in very many documents is a skewed key of a plain equi-join,
+    which adaptive execution splits."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    # Only long lines take part, so filter before the de-duplicating shuffle.
-    long_lines = (docs.select("doc_id", F.explode(lines(F.col("text"))).alias("line"))
-                  .filter(F.length("line") >= min_len)
-                  .distinct())
-    rare = (long_lines.groupBy("line")
-            .agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
-            .filter(F.col("n_docs").between(min_docs, max_docs))
-            .select("line", "first_doc"))
-    shared = (long_lines.join(rare, "line")
-              .filter(F.col("doc_id") > F.col("first_doc"))
+    held = docs.select("doc_id", F.explode(F.array_distinct(lines(F.col("text")))).alias("line"))
+    first = held.groupBy("line").agg(F.min("doc_id").alias("first_doc"))
+    shared = (held.join(first, "line").filter(F.col("doc_id") > F.col("first_doc"))
               .groupBy("doc_id", "first_doc").agg(F.count(F.lit(1)).alias("n")))
-    # At most one best earlier document per document; rows per doc_id are the
-    # number of distinct partners (bounded by the rare-line cap times lines).
-    best = (shared.withColumn("rn", F.row_number().over(
-        Window.partitionBy("doc_id").orderBy(F.desc("n"), F.asc("first_doc"))))
-        .filter("rn = 1"))
+    # max_by is a partial aggregation: no window over a document's partners.
+    best = shared.groupBy("doc_id").agg(F.max_by("first_doc", F.struct(F.col("n"), -F.col("first_doc"))).alias("first_doc"))
     a = docs.select(F.col("doc_id").alias("first_doc"), F.col("text").alias("old"))
     b = docs.select(F.col("doc_id").alias("k"), F.col("text").alias("nw"))
     return (best.join(a, "first_doc").join(b, best.doc_id == b.k)
             .select("k", "old", "nw"))
 
 
-def moved_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """near_pairs with the new side's lines in reverse order (lines move)."""
-    return near_pairs(spark, sf_dir).select(
-        "k", "old", F.array_join(F.reverse(lines(F.col("nw"))), "").alias("nw"))
-
-
 def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consecutive turns of a conversation: (conv_id, turn, old, nw).
 
@@ -122,16 +108,16 @@ def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def diff_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All text pairs used by the diff queries: (pair_id, legacy, refactored)."""
     cp = code_pairs(spark, sf_dir).select("pair_id", "legacy", "refactored")
-    npairs = near_pairs(spark, sf_dir)
-    near = npairs.select(F.concat(F.lit("n"), F.col("k").cast("string")).alias("pair_id"),
-                         F.col("old").alias("legacy"), F.col("nw").alias("refactored"))
-    moved = npairs.select(F.concat(F.lit("m"), F.col("k").cast("string")).alias("pair_id"),
-                          F.col("old").alias("legacy"),
-                          F.array_join(F.reverse(lines(F.col("nw"))), "").alias("refactored"))
+    # One derivation gives both a near pair and the same pair with the new side's lines in reverse order.
+    near = near_pairs(spark, sf_dir).select("old", F.explode(F.array(
+        F.struct(F.concat(F.lit("n"), F.col("k").cast("string")).alias("pair_id"), F.col("nw").alias("refactored")),
+        F.struct(F.concat(F.lit("m"), F.col("k").cast("string")).alias("pair_id"),
+                 F.array_join(F.reverse(lines(F.col("nw"))), "").alias("refactored")))).alias("p"))
+    near = near.select("p.pair_id", F.col("old").alias("legacy"), "p.refactored")
     turns = turn_pairs(spark, sf_dir).select(
         F.concat(F.lit("t"), F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string"))
         .alias("pair_id"), F.col("old").alias("legacy"), F.col("nw").alias("refactored"))
-    return cp.unionByName(near).unionByName(moved).unionByName(turns)
+    return cp.unionByName(near).unionByName(turns)
 
 
 def nation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
