@@ -6,22 +6,19 @@ table is a literal array, so matching is an in-row ``filter`` over it — no
 join, no shuffle — and the merge per type is also done in-row.
 
 Node level (optional): rules are tested on added / removed / modified
-elements; detections from all sources are merged per (pair, type) with a
-grouped aggregation ordered by an explicit detection sequence.
+elements, which are arrays of the same row; detections from all sources are
+concatenated in order and merged like those of the file.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from codedelta.operators.elements import FUNCTION_KINDS, IMPORT_KINDS
-from codedelta.rules import (FILE_RULE_CONFIDENCE, REFACTOR_TYPES, SUMMARY_RULE, node_rules,
+from codedelta.rules import (FILE_RULE_CONFIDENCE, SUMMARY_RULE, node_rules,
                              text_rules)
 
 DETECTION_TYPE = "struct<seq:int,type:string,level:int,evidence:string,confidence:double>"
-MERGED_TYPE = ("array<struct<type:string,level:int,evidence:array<string>,confidence:double,"
-               "first_seq:int>>")
 
 
 def _rule_array() -> Column:
@@ -58,27 +55,21 @@ def fold_mean(confs: Column) -> Column:
                        lambda acc, x: (acc + x) / 2)
 
 
-def _type_is(rtype: str):
-    return lambda d: d["type"] == F.lit(rtype)
-
-
 def merge_in_row(dets: Column) -> Column:
     """Merge an ordered detection array by type: max level, distinct evidence in
     first-seen order, folded confidence; sorted by level desc, then first seen."""
-    per_type = []
-    for rtype, _lv, _rules in REFACTOR_TYPES:
-        ds = F.filter(dets, _type_is(rtype))
-        per_type.append(F.struct(
-            F.lit(rtype).alias("type"),
-            F.array_max(F.transform(ds, lambda d: d["level"])).alias("level"),
+    def of_type(t):
+        own = F.filter(dets, lambda d: d["type"] == t)
+        return F.transform(F.array(own), lambda ds: F.struct(
+            (-F.array_max(F.transform(ds, lambda d: d["level"]))).alias("neg_level"),
+            F.array_position(F.transform(dets, lambda d: d["type"]), t).alias("first"),
+            t.alias("type"),
             F.array_distinct(F.transform(ds, lambda d: d["evidence"])).alias("evidence"),
-            fold_mean(F.transform(ds, lambda d: d["confidence"])).alias("confidence"),
-            F.array_min(F.transform(ds, lambda d: d["seq"])).alias("first_seq"),
-            F.size(ds).alias("n")))
-    merged = F.filter(F.array(*per_type), lambda m: m["n"] > 0)
-    merged = F.transform(merged, lambda m: m.dropFields("n"))
-    return F.array_sort(merged, lambda x, y: F.when(x["level"] != y["level"], y["level"] - x["level"])
-                        .otherwise(x["first_seq"] - y["first_seq"]))
+            fold_mean(F.transform(ds, lambda d: d["confidence"])).alias("confidence")))[0]
+
+    merged = F.array_sort(F.transform(F.array_distinct(F.transform(dets, lambda d: d["type"])), of_type))
+    return F.transform(merged, lambda m: F.struct(m["type"].alias("type"), (-m["neg_level"]).alias("level"),
+                                                  m["evidence"].alias("evidence"), m["confidence"].alias("confidence")))
 
 
 # --------------------------------------------------------------------------
@@ -106,67 +97,39 @@ def _node_rules_array() -> Column:
                      for _o, t, lv, seq, nt, txt, cond in node_rules()])
 
 
-SOURCE_RANK = {"added": 1, "removed": 2, "modified": 3, "file": 4}
-
-
-def node_detections(added: DataFrame, removed: DataFrame, modified: DataFrame, key: str = "pair_id") -> DataFrame:
-    """Long detections from element changes: (key, src, ord, seq, type, level, evidence, confidence).
+def node_detections(added: Column, removed: Column, modified: Column) -> Column:
+    """array<struct<src, ord, seq, type, level, evidence, confidence>> of element changes, in the order of the sources
+    added, removed, modified, then element, then rule.
 
     Added elements test type rules with condition isNew and all text rules;
     removed elements test the removed type rules; a mapped element whose name
     changed fires Rename Symbol (our reading of the name-change rule)."""
     rules = _node_rules_array()
 
-    def from_nodes(df, condition, src):
-        low = F.lower(F.col("text"))
-        hits = F.filter(rules, lambda r: (r["condition"] == condition)
-                        & (r["node_type"].isNull() | (r["node_type"] == F.col("kind")))
-                        & (r["text"].isNull() | (F.instr(low, F.lower(r["text"])) > 0))
-                        & (r["node_type"].isNotNull() | r["text"].isNotNull()))
-        return df.select(key, F.lit(src).alias("src"), F.col("ord"), F.explode(F.transform(hits, lambda r: F.struct(
-            r["seq"].alias("seq"), r["type"].alias("type"), r["level"].alias("level"),
-            _node_evidence(r["text"], F.col("name"), F.col("kind")).alias("evidence"),
-            _node_confidence(r["text"].isNotNull(), r["node_type"].isNotNull(), F.col("name"),
-                             F.col("imports")).alias("confidence")))).alias("d"))
-
-    a = from_nodes(added, "isNew", "added")
-    r = from_nodes(removed, "removed", "removed")
+    def from_nodes(nodes, condition, src):
+        def of(e):
+            low = F.lower(e["text"])
+            hits = F.filter(rules, lambda r: (r["condition"] == condition)
+                            & (r["node_type"].isNull() | (r["node_type"] == e["kind"]))
+                            & (r["text"].isNull() | (F.instr(low, F.lower(r["text"])) > 0))
+                            & (r["node_type"].isNotNull() | r["text"].isNotNull()))
+            return F.transform(hits, lambda r: F.struct(
+                F.lit(src).alias("src"), e["ord"].alias("ord"), r["seq"].alias("seq"), r["type"].alias("type"), r["level"].alias("level"),
+                _node_evidence(r["text"], e["name"], e["kind"]).alias("evidence"),
+                _node_confidence(r["text"].isNotNull(), r["node_type"].isNotNull(), e["name"], e["imports"]).alias("confidence")))
+        return F.flatten(F.transform(nodes, of))
+
     rename_seq, rename_type, rename_level = [(seq, t, lv) for _o, t, lv, seq, nt, txt, cond in node_rules()
                                              if cond == "nameChanged"][0]
-    m = (modified.filter(F.col("l_name").isNotNull() & F.col("r_name").isNotNull()
-                         & (F.col("l_name") != F.col("r_name")))
-         .select(key, F.lit("modified").alias("src"), F.col("r_ord").alias("ord"), F.struct(
-             F.lit(rename_seq).alias("seq"), F.lit(rename_type).alias("type"), F.lit(rename_level).alias("level"),
-             _node_evidence(F.lit(None).cast("string"), F.col("r_name"), F.col("r_kind")).alias("evidence"),
-             _node_confidence(F.lit(False), F.lit(False), F.col("r_name"), F.col("r_imports")).alias("confidence"))
-             .alias("d")))
-    return a.unionByName(r).unionByName(m).select(key, "src", "ord", "d.*")
-
-
-def merge_long(dets: DataFrame, key: str = "pair_id") -> DataFrame:
-    """Merge long detections per (key, type) ordered by (source rank, ord, seq).
-
-    Returns (key, type, level, evidence, confidence, first_pos) with
-    ``first_pos`` the position of the type's first detection."""
-    src_rank = F.create_map(*[x for k, v in SOURCE_RANK.items() for x in (F.lit(k), F.lit(v))])
-    d = dets.withColumn("pos", F.struct(src_rank[F.col("src")].alias("r"), F.col("ord").cast("int").alias("o"),
-                                        F.col("seq").cast("int").alias("s")))
-    g = d.groupBy(key, "type").agg(
-        F.max("level").alias("level"),
-        F.array_sort(F.collect_list(F.struct("pos", "evidence", "confidence"))).alias("items"))
-    return g.select(key, "type", "level",
-                    F.array_distinct(F.transform("items", lambda x: x["evidence"])).alias("evidence"),
-                    fold_mean(F.transform("items", lambda x: x["confidence"])).alias("confidence"),
-                    F.element_at("items", 1)["pos"].alias("first_pos"))
-
-
-def node_types(added, removed, modified, key: str = "pair_id") -> DataFrame:
-    return merge_long(node_detections(added, removed, modified, key), key)
-
-
-def all_rule_texts() -> list[str]:
-    return [t for *_x, t in text_rules()]
-
-
-def function_and_import_kinds():
-    return FUNCTION_KINDS, IMPORT_KINDS
+    renamed = F.filter(modified, lambda m: m["l_name"].isNotNull() & m["r_name"].isNotNull() & (m["l_name"] != m["r_name"]))
+    renames = F.transform(renamed, lambda m: F.struct(
+        F.lit("modified").alias("src"), m["r_ord"].alias("ord"), F.lit(rename_seq).alias("seq"), F.lit(rename_type).alias("type"),
+        F.lit(rename_level).alias("level"), _node_evidence(F.lit(None).cast("string"), m["r_name"], m["r_kind"]).alias("evidence"),
+        _node_confidence(F.lit(False), F.lit(False), m["r_name"], m["r_imports"]).alias("confidence")))
+    return F.concat(from_nodes(added, "isNew", "added"), from_nodes(removed, "removed", "removed"), renames)
+
+
+def as_plain(dets: Column) -> Column:
+    """Node detections in the form of file detections."""
+    return F.transform(dets, lambda d: F.struct(d["seq"].alias("seq"), d["type"].alias("type"), d["level"].alias("level"),
+                                                d["evidence"].alias("evidence"), d["confidence"].alias("confidence")))

@@ -115,9 +115,43 @@ def patch_rows(pairs: DataFrame, key: str = "pair_id", legacy: str = "legacy",
     return rows.select(key, F.col("seq").cast("int").alias("seq"), "p.mark", "p.line")
 
 
-def patch_text_col(df_with_alignment: DataFrame) -> F.Column:
-    """Concatenated patch lines (mark + line) of a frame from ``with_alignment``."""
-    entries = F.arrays_zip(F.col("_al.a_idx").alias("a"), F.col("_al.b_idx").alias("b"))
-    txt = F.transform(entries, lambda e: F.when(e["a"] >= 0, F.element_at(F.col("_la"), e["a"] + 1))
+def _patch_entries() -> F.Column:
+    return F.arrays_zip(F.col("_al.a_idx").alias("a"), F.col("_al.b_idx").alias("b"))
+
+
+def patch_text_col() -> F.Column:
+    """Concatenated patch lines, without marks, of a frame from ``with_alignment``."""
+    txt = F.transform(_patch_entries(), lambda e: F.when(e["a"] >= 0, F.element_at(F.col("_la"), e["a"] + 1))
                       .otherwise(F.element_at(F.col("_lb"), e["b"] + 1)))
     return F.array_join(txt, "\n")
+
+
+def unified_diff_col(old_name: str = "legacy", new_name: str = "refactored") -> F.Column:
+    """Unified diff text of a frame from ``with_alignment``: file header, a header per hunk (patch rows that follow each
+    other on both sides), marked lines.  Empty for equal texts."""
+    n_old = lambda xs: F.size(F.filter(xs, lambda x: x["mark"] != "+"))
+    n_new = lambda xs: F.size(F.filter(xs, lambda x: x["mark"] != "-"))
+    rows = F.transform(_patch_entries(), lambda e, i: F.struct(
+        F.substring(F.col("_al.marks"), i + 1, 1).alias("mark"), e["a"].alias("a"), e["b"].alias("b"),
+        F.when(e["a"] >= 0, F.element_at(F.col("_la"), e["a"] + 1)).otherwise(F.element_at(F.col("_lb"), e["b"] + 1)).alias("line")))
+    # A new hunk begins where unchanged lines were left out, that is at a context row whose old line does not follow
+    # the last old line of the rows before.
+    seen = F.aggregate(rows, F.struct(F.lit(-1).alias("last"), F.array().cast("array<array<struct<mark:string,a:int,b:int,line:string>>>").alias("hunks")),
+                       lambda acc, x: F.struct(
+                           F.greatest(acc["last"], x["a"]).alias("last"),
+                           F.when((F.size(acc["hunks"]) == 0) | ((x["a"] > acc["last"] + 1) & (x["mark"] == " ")),
+                                  F.concat(acc["hunks"], F.array(F.array(x))))
+                           .otherwise(F.concat(F.slice(acc["hunks"], 1, F.size(acc["hunks"]) - 1),
+                                               F.array(F.concat(F.element_at(acc["hunks"], F.greatest(F.size(acc["hunks"]), F.lit(1))), F.array(x))))).alias("hunks")))["hunks"]
+
+    def first(xs, side):
+        return F.coalesce(F.array_min(F.transform(F.filter(xs, lambda x: x[side] >= 0), lambda x: x[side])) + 1, F.lit(0)).cast("string")
+
+    def text(xs):
+        body = F.array_join(F.transform(xs, lambda x: F.concat(x["mark"], F.when(x["line"].endswith("\n"), x["line"]).otherwise(
+            F.concat(x["line"], F.lit("\n\\ No newline at end of file\n"))))), "")
+        return F.concat(F.lit("@@ -"), first(xs, "a"), F.lit(","), n_old(xs).cast("string"), F.lit(" +"), first(xs, "b"),
+                        F.lit(","), n_new(xs).cast("string"), F.lit(" @@\n"), body)
+
+    body = F.array_join(F.transform(seen, text), "")
+    return F.when(F.length(F.col("_al.marks")) > 0, F.concat(F.lit(f"--- {old_name}\n+++ {new_name}\n"), body)).otherwise(F.lit(""))

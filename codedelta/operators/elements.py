@@ -12,11 +12,21 @@ grammars).  A signature must sit on one line.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from pyspark import cloudpickle
+
+import codedelta.functions.matching as _matching
+from codedelta.functions.matching import only_in_second
 from codedelta.functions.text import lines, pin
 
+# Ship the UDF and its helper by value: executors need no installed package.
+cloudpickle.register_pickle_by_value(_matching)
+cloudpickle.register_pickle_by_value(__import__(__name__, fromlist=["_"]))
+
 # Per language: (kind, pattern, name group, parameter group) in test order.
 ELEMENT_PATTERNS: dict[str, list[tuple[str, str, int | None, int | None]]] = {
     "javascript": [
@@ -130,57 +140,45 @@ def _build(la: Column, found: Column, lang: Column) -> Column:
     return F.transform(found, build)
 
 
-def element_array(text: Column, lang: Column) -> Column:
-    """array<struct<ord, kind, line, name, parameters, imports, text>> in source order.
-
-    Single-expression form; ``elements`` materialises the intermediate arrays
-    as columns instead so that each line is classified once."""
-    la = lines(text)
-    return _build(la, _found(la, lang), lang)
+def with_elements(df: DataFrame, la: str, out: str, lang: str = "language") -> DataFrame:
+    """Adds ``out``: array<struct<ord, kind, line, name, parameters, imports, text, eq>> of the line array ``la``, in
+    source order.  Each line is classified once; nothing leaves the row."""
+    d = df.withColumn("_found", pin(_found(F.col(la), F.col(lang))))
+    keyed = F.transform(_build(F.col(la), F.col("_found"), F.col(lang)), lambda e: e.withField("eq", equivalence_key(e)))
+    return d.withColumn(out, pin(keyed)).drop("_found")
 
 
 def elements(pairs: DataFrame, key: str = "pair_id", lang: str = "language",
              legacy: str = "legacy", refactored: str = "refactored") -> DataFrame:
-    """Long element rows: (key, side, ord, kind, line, name, parameters, imports, text, eq_key)."""
+    """Long element rows: (key, side, ord, kind, line, name, parameters, imports, text)."""
     sides = pairs.select(key, lang, F.explode(F.array(
         F.struct(F.lit("legacy").alias("side"), lines(F.col(legacy)).alias("la")),
         F.struct(F.lit("refactored").alias("side"), lines(F.col(refactored)).alias("la")),
     )).alias("s")).select(key, lang, "s.side", pin(F.col("s.la")).alias("la"))
-    sides = sides.withColumn("found", pin(_found(F.col("la"), F.col(lang))))
-    out = (sides.select(key, "side", F.explode(_build(F.col("la"), F.col("found"), F.col(lang))).alias("e"))
-           .select(key, "side", "e.*"))
-    return out.withColumn("eq_key", equivalence_key())
+    out = with_elements(sides, "la", "_els", lang)
+    return out.select(key, "side", F.explode("_els").alias("e")).select(key, "side", "e.*").drop("eq")
+
 
+def equivalence_key(e: Column) -> Column:
+    """64-bit key of "same type, same text, same metadata", compared within one pair only."""
+    return F.xxhash64(e["kind"], e["text"], F.coalesce(e["name"], F.lit("\u0000")), e["parameters"], e["imports"])
 
-def equivalence_key() -> Column:
-    """Compact key for "same type, same text, same metadata" (96 bits)."""
-    cols = [F.col("kind"), F.col("text"), F.coalesce(F.col("name"), F.lit("\u0000")),
-            F.col("parameters"), F.col("imports")]
-    return F.struct(F.xxhash64(*cols).alias("h1"), F.hash(*cols).alias("h2"))
 
+TOKEN_CHANGES = T.StructType([T.StructField("tokens_added", T.LongType()), T.StructField("tokens_removed", T.LongType())])
 
-def named(els: DataFrame) -> DataFrame:
-    """Elements with a name (the candidates of mapping), in pre-order."""
-    return els.filter(F.col("name").isNotNull() & (F.col("name") != ""))
 
+def token_hashes(text: Column) -> Column:
+    """array<long>: hashes of the lexical tokens of a text, in order."""
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN_PATTERN), 0), lambda t: F.xxhash64(t))
 
-def first_by_name(els: DataFrame, key: str = "pair_id") -> DataFrame:
-    """First element in pre-order for each (key, side, name)."""
-    return named(els).groupBy(key, "side", "name").agg(F.min("ord").alias("ord"))
 
+@F.pandas_udf(TOKEN_CHANGES)
+def _token_udf(old: pd.Series, new: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([(only_in_second(x, y), only_in_second(y, x)) for x, y in zip(old, new)],
+                        columns=["tokens_added", "tokens_removed"]).astype("int64")
 
-def token_counts(pairs: DataFrame, key: str = "pair_id", legacy: str = "legacy",
-                 refactored: str = "refactored") -> DataFrame:
-    """Token-level added/removed: occurrences whose token does not occur at all
-    on the other side.  One grouped aggregation with map-side combine."""
-    toks = pairs.select(key, F.explode(F.array(
-        F.struct(F.lit(-1).alias("w"), F.regexp_extract_all(F.col(legacy), F.lit(TOKEN_PATTERN), 0).alias("t")),
-        F.struct(F.lit(1).alias("w"), F.regexp_extract_all(F.col(refactored), F.lit(TOKEN_PATTERN), 0).alias("t")),
-        F.struct(F.lit(0).alias("w"), F.array(F.lit(None).cast("string")).alias("t")),  # keeps every pair
-    )).alias("s")).select(key, "s.w", F.explode("s.t").alias("tok"))
-    per = toks.groupBy(key, "tok").agg(F.sum(F.when(F.col("w") < 0, 1).otherwise(0)).alias("n_old"),
-                                       F.sum(F.when(F.col("w") > 0, 1).otherwise(0)).alias("n_new"))
-    return per.groupBy(key).agg(
-        F.sum(F.when(F.col("n_old") == 0, F.col("n_new")).otherwise(0)).cast("long").alias("tokens_added"),
-        F.sum(F.when(F.col("n_new") == 0, F.col("n_old")).otherwise(0)).cast("long").alias("tokens_removed"))
 
+def token_changes(legacy: Column, refactored: Column) -> Column:
+    """struct<tokens_added, tokens_removed>: occurrences whose token does not occur at all on the other side.
+    Both texts are in one row, so tokens are counted there from their hashes."""
+    return _token_udf(token_hashes(legacy), token_hashes(refactored))

@@ -1,137 +1,93 @@
 """Mapping legacy elements to refactored elements, and the element diff.
 
-* hints (J1): explicit legacy-name -> refactored-name pairs, both resolved to
-  the first element of that name in pre-order.
-* best match (J3/J4): for every other named legacy element, the refactored
-  element with the highest similarity (ties -> earliest), kept if > 0.7.
-  Equal names score 1.0.  Candidates come from an exact prefix filter on the
-  names' character multisets instead of all pairs: similarity > 0.7 needs a
-  name similarity > 0.4, i.e. more than 0.4*max(len) shared characters, so two
-  names that can qualify share a token of their prefixes (len - floor(2*len/5)
-  tokens in a fixed order).  Nothing that can qualify is missed.
-* added / removed / modified (J5-J8): anti joins on an equivalence key,
-  de-duplicated before the shuffle.
+A pair's elements are two arrays of one row, so the mapping and the diff are made in the row, without any
+shuffle, by a small helper (``functions.matching``) in an Arrow UDF:
+
+* hints: explicit legacy-name -> refactored-name pairs, both resolved to the first element of that name;
+* best match: for every other named legacy element, the refactored element with the highest similarity (ties: the
+  earliest), kept if > 0.7.  Equal names score 1.0 and are found by look-up; the rest is pruned by what kind,
+  parameters and name lengths still allow;
+* added / removed / modified: by an equivalence key of type, text and metadata.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from codedelta.operators.elements import first_by_name, named
+from pyspark import cloudpickle
+
+import codedelta.functions.matching as _matching
+from codedelta.functions.matching import changes
+from codedelta.functions.text import lines, pin
+from codedelta.operators.elements import with_elements
 from codedelta.rules import FUZZY_MIN_SIMILARITY
 
+# Ship the UDF and its helper by value: executors need no installed package.
+cloudpickle.register_pickle_by_value(_matching)
+cloudpickle.register_pickle_by_value(__import__(__name__, fromlist=["_"]))
+
+SOURCES = ["hint", "name", "fuzzy"]
+_CHANGES = T.StructType([T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("l", "r", "s", "added", "removed", "modified")])
+
+
+@F.pandas_udf(_CHANGES)
+def _changes_udf(lk: pd.Series, ln: pd.Series, lp: pd.Series, le: pd.Series, rk: pd.Series, rn: pd.Series, rp: pd.Series,
+                 re: pd.Series, hint_from: pd.Series, hint_to: pd.Series) -> pd.DataFrame:
+    out = []
+    for a, b, c, d, e, f, g, h, x, y in zip(lk, ln, lp, le, rk, rn, rp, re, hint_from, hint_to):
+        hints = dict(zip(x, y)) if x is not None else {}
+        left = [(k, n, list(p)) for k, n, p in zip(a, b, c)]
+        right = [(k, n, list(p)) for k, n, p in zip(e, f, g)]
+        out.append(changes(left, right, list(d), list(h), hints, FUZZY_MIN_SIMILARITY))
+    return pd.DataFrame(out, columns=["l", "r", "s", "added", "removed", "modified"])
+
+
+def with_changes(df: DataFrame, la: str = "_la", lb: str = "_lb", hints: str = "map_hints", lang: str = "language") -> DataFrame:
+    """Adds ``_le`` / ``_re`` (element arrays of the line arrays) and ``_ch`` (mapping and differing positions)."""
+    d = with_elements(with_elements(df, la, "_le", lang), lb, "_re", lang)
+
+    def part(c, name):
+        return F.transform(F.col(c), lambda e: e[name])
+    return d.withColumn("_ch", _changes_udf(*[part(c, n) for c in ("_le", "_re") for n in ("kind", "name", "parameters", "eq")],
+                                            F.map_keys(hints), F.map_values(hints)))
+
+
+def element_changes(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
+    """(key, _le, _re, _ch) of pairs with texts, language and hints."""
+    d = pairs.select(key, "language", "map_hints", pin(lines(F.col("legacy"))).alias("_la"), pin(lines(F.col("refactored"))).alias("_lb"))
+    return with_changes(d).select(key, "_le", "_re", "_ch")
+
+
+def mapping_rows(changed: DataFrame, key: str = "pair_id") -> DataFrame:
+    """(key, l_ord, r_ord, source) — hints and best matches."""
+    rows = changed.select(key, F.explode(F.arrays_zip(F.col("_ch.l").alias("l"), F.col("_ch.r").alias("r"), F.col("_ch.s").alias("s"))).alias("m"))
+    return rows.select(key, F.col("m.l").alias("l_ord"), F.col("m.r").alias("r_ord"),
+                       F.element_at(F.array(*[F.lit(x) for x in SOURCES]), F.col("m.s") + 1).alias("source"))
+
+
+def at_positions(elements: Column, positions: Column) -> Column:
+    """The elements at 0-based positions."""
+    return F.transform(positions, lambda i: F.element_at(elements, i + 1))
+
+
+def modified_array(changed_key: str = "_ch") -> Column:
+    """array<struct> of mapped elements that are not equivalent, with change descriptions."""
+    ch = F.col(changed_key)
 
-def array_overlap_ratio(a: Column, b: Column) -> Column:
-    """Items of ``a`` found in ``b`` (duplicates kept) over the longer length;
-    both empty -> 1, one empty -> 0."""
-    inter = F.size(F.filter(a, lambda x: F.array_contains(b, x)))
-    return (F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0))
-            .when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0))
-            .otherwise(inter / F.greatest(F.size(a), F.size(b))))
-
-
-def name_similarity(a: Column, b: Column) -> Column:
-    mx = F.greatest(F.length(a), F.length(b))
-    return F.when(mx > 0, 1 - F.levenshtein(a, b) / mx).otherwise(F.lit(0.0))
-
-
-def similarity(l_name, r_name, l_kind, r_kind, l_params, r_params) -> Column:
-    """1.0 for equal names, else 0.5*name + 0.3*type + 0.2*parameters."""
-    type_sim = F.when(l_kind == r_kind, F.lit(1.0)).otherwise(F.lit(0.5))
-    return F.when(l_name == r_name, F.lit(1.0)).otherwise(
-        name_similarity(l_name, r_name) * 0.5 + type_sim * 0.3 + array_overlap_ratio(l_params, r_params) * 0.2)
-
-
-def _prefix_tokens(name: Column) -> Column:
-    """Prefix of the name's (char, occurrence) tokens in a fixed global order."""
-    chars = F.filter(F.split(name, ""), lambda c: F.length(c) > 0)
-    toks = F.transform(chars, lambda c, i: F.struct(
-        (-F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c))).alias("o"), c.alias("c")))
-    n = F.size(chars)
-    keep = n - F.floor(n * 2 / 5).cast("int")
-    return F.slice(F.array_sort(toks), 1, keep)
-
-
-def hint_mapping(pairs: DataFrame, els: DataFrame, key: str = "pair_id",
-                 hints_col: str = "map_hints") -> DataFrame:
-    """(key, l_ord, r_ord) for hints whose two names both resolve."""
-    hints = pairs.select(key, F.explode(hints_col).alias("l_name", "r_name"))
-    fb = first_by_name(els, key)
-    left = fb.filter(F.col("side") == "legacy").select(key, F.col("name").alias("l_name"),
-                                                        F.col("ord").alias("l_ord"))
-    right = fb.filter(F.col("side") == "refactored").select(key, F.col("name").alias("r_name"),
-                                                             F.col("ord").alias("r_ord"))
-    m = hints.join(left, [key, "l_name"]).join(right, [key, "r_name"])
-    # Several hints for one legacy element: the last one in key order wins.
-    return m.groupBy(key, "l_ord").agg(F.max_by("r_ord", "r_name").alias("r_ord"))
-
-
-def best_matches(els: DataFrame, exclude: DataFrame | None = None, key: str = "pair_id",
-                 min_similarity: float = FUZZY_MIN_SIMILARITY) -> DataFrame:
-    """(key, l_ord, r_ord, similarity) best refactored match per named legacy element."""
-    nm = named(els).select(key, "side", "ord", "kind", "name", "parameters")
-    left = nm.filter(F.col("side") == "legacy").drop("side")
-    right = nm.filter(F.col("side") == "refactored").drop("side")
-    if exclude is not None:
-        left = left.join(exclude.select(key, F.col("l_ord").alias("ord")), [key, "ord"], "left_anti")
-    lt = left.select(key, F.col("ord").alias("l_ord"), F.explode(_prefix_tokens(F.col("name"))).alias("tok"))
-    rt = right.select(key, F.col("ord").alias("r_ord"), F.explode(_prefix_tokens(F.col("name"))).alias("tok"))
-    cand = lt.join(rt, [key, "tok"]).select(key, "l_ord", "r_ord").distinct()
-    l2 = left.select(key, F.col("ord").alias("l_ord"), F.col("kind").alias("l_kind"),
-                     F.col("name").alias("l_name"), F.col("parameters").alias("l_params"))
-    r2 = right.select(key, F.col("ord").alias("r_ord"), F.col("kind").alias("r_kind"),
-                      F.col("name").alias("r_name"), F.col("parameters").alias("r_params"))
-    scored = (cand.join(l2, [key, "l_ord"]).join(r2, [key, "r_ord"])
-              .withColumn("similarity", similarity(F.col("l_name"), F.col("r_name"), F.col("l_kind"),
-                                                   F.col("r_kind"), F.col("l_params"), F.col("r_params")))
-              .filter(F.col("similarity") > min_similarity))
-    # argmax with ties to the earliest candidate, as a partial aggregation
-    best = scored.groupBy(key, "l_ord").agg(F.max(F.struct("similarity", (-F.col("r_ord")).alias("neg"))).alias("b"))
-    return best.select(key, "l_ord", (-F.col("b.neg")).alias("r_ord"), F.col("b.similarity").alias("similarity"))
-
-
-def mapping(pairs: DataFrame, els: DataFrame, key: str = "pair_id") -> DataFrame:
-    """(key, l_ord, r_ord, source) — hints first, then best matches."""
-    h = hint_mapping(pairs, els, key).withColumn("source", F.lit("hint"))
-    b = best_matches(els, h, key).withColumn(
-        "source", F.when(F.col("similarity") == 1.0, F.lit("name")).otherwise(F.lit("fuzzy")))
-    return h.select(key, "l_ord", "r_ord", "source").unionByName(b.select(key, "l_ord", "r_ord", "source"))
-
-
-def node_added(els: DataFrame, mp: DataFrame, key: str = "pair_id") -> DataFrame:
-    """Refactored elements neither mapped to nor equivalent to any legacy element."""
-    legacy_keys = els.filter(F.col("side") == "legacy").select(key, "eq_key").distinct()
-    mapped = mp.select(key, F.col("r_ord").alias("ord")).distinct()
-    return (els.filter(F.col("side") == "refactored")
-            .join(legacy_keys, [key, "eq_key"], "left_anti")
-            .join(mapped, [key, "ord"], "left_anti"))
-
-
-def node_removed(els: DataFrame, mp: DataFrame, key: str = "pair_id") -> DataFrame:
-    """Legacy elements neither mapped nor equivalent to any refactored element."""
-    ref_keys = els.filter(F.col("side") == "refactored").select(key, "eq_key").distinct()
-    mapped = mp.select(key, F.col("l_ord").alias("ord")).distinct()
-    return (els.filter(F.col("side") == "legacy")
-            .join(ref_keys, [key, "eq_key"], "left_anti")
-            .join(mapped, [key, "ord"], "left_anti"))
-
-
-def node_modified(els: DataFrame, mp: DataFrame, key: str = "pair_id") -> DataFrame:
-    """Mapped pairs that are not equivalent, with change descriptions."""
-    cols = ["ord", "kind", "name", "text", "parameters", "imports", "eq_key"]
-    left = els.filter(F.col("side") == "legacy").select(key, *[F.col(c).alias("l_" + c) for c in cols])
-    right = els.filter(F.col("side") == "refactored").select(key, *[F.col(c).alias("r_" + c) for c in cols])
-    j = mp.join(left, [key, "l_ord"]).join(right, [key, "r_ord"]).filter(F.col("l_eq_key") != F.col("r_eq_key"))
-    meta_l = F.struct(F.col("l_name"), F.col("l_parameters"), F.col("l_imports"))
-    meta_r = F.struct(F.col("r_name"), F.col("r_parameters"), F.col("r_imports"))
-    changes = F.array_compact(F.array(
-        F.when(F.col("l_kind") != F.col("r_kind"),
-               F.concat(F.lit("Type changed: "), F.col("l_kind"), F.lit(" -> "), F.col("r_kind"))),
-        F.when(F.col("l_text") != F.col("r_text"), F.lit("Content modified")),
-        F.when(~meta_l.eqNullSafe(meta_r), F.lit("Metadata changed"))))
-    return j.select(key, "l_ord", "r_ord", F.col("l_kind"), F.col("r_kind"), F.col("l_name"), F.col("r_name"),
-                    F.col("r_text"), F.col("r_imports"), changes.alias("changes"))
+    def of(i):
+        l, r = F.element_at(F.col("_le"), F.element_at(ch["l"], i + 1) + 1), F.element_at(F.col("_re"), F.element_at(ch["r"], i + 1) + 1)
+        same_meta = l["name"].eqNullSafe(r["name"]) & (l["parameters"] == r["parameters"]) & (l["imports"] == r["imports"])
+        return F.struct(
+            l["ord"].alias("l_ord"), r["ord"].alias("r_ord"), l["kind"].alias("l_kind"), r["kind"].alias("r_kind"),
+            l["name"].alias("l_name"), r["name"].alias("r_name"), r["imports"].alias("r_imports"),
+            F.array_compact(F.array(
+                F.when(l["kind"] != r["kind"], F.concat(F.lit("Type changed: "), l["kind"], F.lit(" -> "), r["kind"])),
+                F.when(l["text"] != r["text"], F.lit("Content modified")),
+                F.when(~same_meta, F.lit("Metadata changed")))).alias("changes"))
+    return F.transform(ch["modified"], of)
 
 
 def diff_summary(added: Column, removed: Column, modified: Column) -> Column:

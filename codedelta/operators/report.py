@@ -1,14 +1,8 @@
 """Per-pair analysis report: diff, elements, classification, score, risks,
-next steps and summary, assembled into one row per pair.
-
-The pair's texts are one row, so most of the work is in-row expressions; the
-per-pair aggregates that need shuffles (element diff, token counts) are keyed
-by ``pair_id`` and joined back, one row per pair on every side.
-"""
+next steps and summary, assembled into one row per pair without leaving the row."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,45 +17,6 @@ from codedelta.rules import (HIGH_SECURITY_STEP, LEVEL_WORDS, LICENSE_STEP, NO_R
                              OUTBOX_SUBJECT, PARSED_LANGUAGES, TYPE_NEXT_STEPS)
 
 
-# Frames this module persisted for reuse inside one report; released when the
-# next report is built so a long-lived session does not accumulate them.
-_PERSISTED: list[DataFrame] = []
-
-
-def _keep(df: DataFrame) -> DataFrame:
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    _PERSISTED.append(df)
-    return df
-
-
-def release() -> None:
-    """Unpersist the frames kept by earlier reports."""
-    while _PERSISTED:
-        _PERSISTED.pop().unpersist(blocking=False)
-
-
-def element_counts(pairs: DataFrame, key: str = "pair_id", els: DataFrame | None = None
-                   ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(counts, added, removed, modified) element-level diff of parsed pairs.
-
-    The element table feeds the mapping and all three anti/inner joins, so it
-    is persisted (memory, spilling to disk) instead of being re-extracted by
-    every consumer."""
-    if els is None:
-        els = _keep(E.elements(pairs, key))
-    mp = M.mapping(pairs, els, key)
-    added = M.node_added(els, mp, key)
-    removed = M.node_removed(els, mp, key)
-    modified = M.node_modified(els, mp, key)
-    a = added.groupBy(key).agg(F.count(F.lit(1)).alias("nodes_added"))
-    r = removed.groupBy(key).agg(F.count(F.lit(1)).alias("nodes_removed"))
-    m = modified.groupBy(key).agg(F.count(F.lit(1)).alias("nodes_modified"))
-    counts = (pairs.select(key).join(a, key, "left").join(r, key, "left").join(m, key, "left")
-              .select(key, *[F.coalesce(c, F.lit(0)).cast("long").alias(c)
-                             for c in ["nodes_added", "nodes_removed", "nodes_modified"]]))
-    return counts, added, removed, modified
-
-
 def next_steps(types: Column, flags: Column) -> Column:
     """Distinct next steps (first-seen order): two per listed type, then one per
     high-severity security flag and per license flag."""
@@ -85,9 +40,8 @@ def summary(types: Column) -> Column:
         .otherwise(F.concat(F.lit("Major "), word, F.lit(" changes: "), names))
 
 
-def pair_diff(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
-    """Per pair: line counts, lower-cased patch, added and removed text."""
-    d = Dff.with_alignment(pairs.select(key, "legacy", "refactored"))
+def with_text_changes(aligned: DataFrame) -> DataFrame:
+    """Adds line counts, the patch (marked rows with hunk headers), its lower-cased lines, added and removed text."""
     entries = F.arrays_zip(F.col("_al.a_idx").alias("a"), F.col("_al.b_idx").alias("b"))
 
     def side_text(mark):
@@ -96,59 +50,39 @@ def pair_diff(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
             F.element_at(F.col("_lb") if mark == "+" else F.col("_la"), (e["b"] if mark == "+" else e["a"]) + 1)))
         return F.array_join(F.array_compact(picked), "\n")
 
-    return d.select(key,
-                    (F.size("_lb") - F.col("_al.lcs")).cast("long").alias("lines_added"),
-                    (F.size("_la") - F.col("_al.lcs")).cast("long").alias("lines_removed"),
-                    pin(F.lower(Dff.patch_text_col(d))).alias("patch_lower"),
-                    side_text("+").alias("added_text"), side_text("-").alias("removed_text"))
-
-
-def merged_types(dets: DataFrame, key: str = "pair_id") -> DataFrame:
-    """(key, refactor_types) from long detections (key, src, ord, seq, type, level,
-    evidence, confidence); types sorted by level desc, then first detection.
-
-    Groups are bounded: at most one detection per rule per element or file."""
-    merged = C.merge_long(dets, key)
-    return merged.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
-        (-F.col("level")).alias("neg_level"), F.col("first_pos").alias("pos"), "type", "level", "evidence",
-        "confidence"))).alias("t")).select(key, F.transform("t", lambda x: F.struct(
-            x["type"].alias("type"), x["level"].alias("level"), x["evidence"].alias("evidence"),
-            x["confidence"].alias("confidence"))).alias("refactor_types"))
+    return (aligned.withColumn("lines_added", (F.size("_lb") - F.col("_al.lcs")).cast("long"))
+            .withColumn("lines_removed", (F.size("_la") - F.col("_al.lcs")).cast("long"))
+            .withColumn("patch_lower", pin(F.lower(Dff.patch_text_col())))
+            .withColumn("text_diff", Dff.unified_diff_col())
+            .withColumn("added_text", side_text("+")).withColumn("removed_text", side_text("-")))
 
 
 def analyze(spark: SparkSession, pairs: DataFrame, level: str = "file", key: str = "pair_id",
             adjust_language: bool = False) -> DataFrame:
     """One report row per pair (status completed or failed).
 
-    Stages, each keyed by ``key`` and joined back one row per pair:
-    line diff + patch (Arrow UDF, in-row), element diff (persisted element
-    table, anti joins), token counts (aggregation), detections (in-row rule
-    filter, merged per (pair, type) with bounded groups), then one projection
-    for metrics, score, risks, steps and summary."""
-    release()
-    base_cols = [key, "language", "legacy", "refactored", "include_security_scan", "org", "user_id",
-                 "submitted_at"]
-    ok = pairs.filter(F.col("language").isin(PARSED_LANGUAGES)).select(*base_cols, "map_hints")
+    A pair's texts are one row, and every stage works in that row: alignment, elements with their mapping, token
+    counts (three Arrow UDFs over hashes, names and positions), detections and their merge per type, metrics, score,
+    risks, steps and summary.  Nothing is shuffled or persisted; columns that a query does not read are pruned with
+    the stages that make them."""
+    kept = [key, "language", "org", "user_id", "submitted_at"]
+    ok = pairs.filter(F.col("language").isin(PARSED_LANGUAGES))
     failed = pairs.filter(~F.col("language").isin(PARSED_LANGUAGES) | F.col("language").isNull())
 
-    pd_ = pair_diff(ok, key)
-    counts, added, removed, modified = element_counts(ok, key)
-    toks = E.token_counts(ok, key)
+    j = Dff.with_alignment(ok.select(*kept, "legacy", "refactored", "include_security_scan", "map_hints"))
+    j = with_text_changes(M.with_changes(j))
+    a, r, m = (F.size(F.col("_ch")[c]).cast("long") for c in ("added", "removed", "modified"))
+    j = j.withColumn("_tok", E.token_changes(F.col("legacy"), F.col("refactored")))
+    j = (j.withColumn("nodes_added", a).withColumn("nodes_removed", r).withColumn("nodes_modified", m)
+         .withColumn("tokens_added", F.col("_tok.tokens_added")).withColumn("tokens_removed", F.col("_tok.tokens_removed")))
     a, r, m = F.col("nodes_added"), F.col("nodes_removed"), F.col("nodes_modified")
-    j = (ok.select(*base_cols).join(pd_, key).join(counts, key).join(toks, key)
-         .select("*", M.diff_summary(a, r, m).alias("ast_diff_summary"),
-                 M.element_impact(a, r, m).cast("int").alias("file_impact_score")))
-    # Consumed twice (detections, then the final join): keep one computation.
-    j = _keep(j)
-
-    fd = j.select(key, F.explode(C.file_detections(F.col("patch_lower"), F.col("ast_diff_summary"))).alias("d"))
-    dets = fd.select(key, F.lit("file").alias("src"), F.lit(0).alias("ord"), "d.*")
+    j = (j.withColumn("ast_diff_summary", M.diff_summary(a, r, m))
+         .withColumn("file_impact_score", M.element_impact(a, r, m).cast("int")))
+    dets = C.file_detections(F.col("patch_lower"), F.col("ast_diff_summary"))
     if level == "node":
-        dets = C.node_detections(added, removed, modified, key).unionByName(dets)
-    types_df = merged_types(dets, key)
-    j = j.join(types_df, key, "left").withColumn(
-        "refactor_types", F.coalesce("refactor_types", F.array().cast(
-            "array<struct<type:string,level:int,evidence:array<string>,confidence:double>>")))
+        j = j.withColumn("_nodes", pin(node_detection_array()))
+        dets = F.concat(C.as_plain(F.col("_nodes")), dets)
+    j = j.withColumn("_dets", pin(dets)).withColumn("refactor_types", pin(C.merge_in_row(F.col("_dets"))))
 
     types = F.col("refactor_types")
     lines_changed = F.col("lines_added") + F.col("lines_removed")
@@ -161,9 +95,10 @@ def analyze(spark: SparkSession, pairs: DataFrame, level: str = "file", key: str
     cov = S.coverage_delta(types)
     raw = S.raw_score(lines_changed, nodes_changed, infra, cov, cx)
     j = j.withColumn("_low", pin(F.lower(F.col("refactored"))))
-    flags = R.risk_flags_array(F.col("refactored"), F.col("include_security_scan"), low=F.col("_low"))
+    flags = pin(R.risk_flags_array(F.col("refactored"), F.col("include_security_scan"), low=F.col("_low")))
     j = j.select(
-        *[c for c in j.columns if c not in ("patch_lower", "added_text", "removed_text", "_low")],
+        *kept, "lines_added", "lines_removed", "text_diff", "nodes_added", "nodes_removed", "nodes_modified", "tokens_added", "tokens_removed",
+        "ast_diff_summary", "file_impact_score", "refactor_types",
         lines_changed.alias("total_lines_changed"),
         F.lit(1).alias("files_modified"),
         nodes_changed.alias("ast_nodes_changed"),
@@ -181,18 +116,23 @@ def analyze(spark: SparkSession, pairs: DataFrame, level: str = "file", key: str
     j = j.select("*", S.overall_score(F.col("raw_score")).alias("overall_score"),
                  next_steps(types, F.col("risk_flags")).alias("next_steps"))
     j = j.withColumn("level", S.level_of(F.col("overall_score")))
-    fail = failed.select(*base_cols, F.lit("failed").alias("status"),
+    fail = failed.select(*kept, F.lit("failed").alias("status"),
                          F.concat(F.lit("Unsupported language: "), F.coalesce(F.col("language"), F.lit("null")))
                          .alias("error_message"))
     return j.unionByName(fail, allowMissingColumns=True)
 
 
+def node_detection_array() -> Column:
+    """Node detections of a row with ``_le``, ``_re`` and ``_ch``."""
+    return C.node_detections(M.at_positions(F.col("_re"), F.col("_ch.added")), M.at_positions(F.col("_le"), F.col("_ch.removed")), M.modified_array())
+
+
 def results_struct(report: DataFrame) -> DataFrame:
     """Nested result column in the stored shape (one ``results`` struct per pair)."""
     metrics = F.struct("total_lines_changed", "files_modified", "new_dependencies", "removed_dependencies",
                        "cyclomatic_complexity_delta", "test_coverage_delta", "ast_nodes_changed",
                        "new_infrastructure_components", "architectural_changes")
-    files = F.array(F.struct(F.lit("main").alias("file_path"), F.col("ast_diff_summary"),
+    files = F.array(F.struct(F.lit("main").alias("file_path"), F.col("text_diff"), F.col("ast_diff_summary"),
                              F.col("file_impact_score").alias("impact_score"), F.col("lines_added"),
                              F.col("lines_removed"), F.col("nodes_modified").alias("lines_modified")))
     res = F.struct(F.col("overall_score"), F.col("level"), F.col("summary"), F.col("refactor_types"),

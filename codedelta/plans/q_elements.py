@@ -141,52 +141,41 @@ for _name, _langs in [("elements_js", ["javascript"]), ("elements_java", ["java"
     register(_name, _elements_sql(_langs))(_elements_query(_langs))
 
 
-def pair_elements(spark, sf_dir):
-    cp = code_pairs(spark, sf_dir)
-    return cp, E.elements(cp)
+def _changed(spark, sf_dir):
+    """Element arrays and changes of all pairs, in the row."""
+    return M.element_changes(code_pairs(spark, sf_dir))
 
 
 @register("map_hints", with_views("SELECT pair_id, l_ord, r_ord FROM hm", "code_pairs", extra=MAPPING_CTES))
 def map_hints(spark, sf_dir):
-    cp, els = pair_elements(spark, sf_dir)
-    return M.hint_mapping(cp, els).select("pair_id", "l_ord", "r_ord")
+    return M.mapping_rows(_changed(spark, sf_dir)).filter("source = 'hint'").select("pair_id", "l_ord", "r_ord")
 
 
 @register("map_fuzzy", with_views("SELECT pair_id, l_ord, r_ord, source FROM mp", "code_pairs", extra=MAPPING_CTES))
 def map_fuzzy(spark, sf_dir):
-    cp, els = pair_elements(spark, sf_dir)
-    return M.mapping(cp, els)
+    return M.mapping_rows(_changed(spark, sf_dir))
+
+
+def _nodes(changed, elements, positions):
+    rows = changed.select("pair_id", F.explode(M.at_positions(F.col(elements), F.col(positions))).alias("e"))
+    return rows.select("pair_id", "e.ord", "e.kind", "e.name")
 
 
 @register("node_added", with_views("SELECT pair_id, ord, kind, name FROM added", "code_pairs", extra=NODE_CTES))
 def node_added(spark, sf_dir):
-    cp, els = pair_elements(spark, sf_dir)
-    return M.node_added(els, M.mapping(cp, els)).select("pair_id", "ord", "kind", "name")
+    return _nodes(_changed(spark, sf_dir), "_re", "_ch.added")
 
 
 @register("node_removed", with_views("SELECT pair_id, ord, kind, name FROM removed", "code_pairs", extra=NODE_CTES))
 def node_removed(spark, sf_dir):
-    cp, els = pair_elements(spark, sf_dir)
-    return M.node_removed(els, M.mapping(cp, els)).select("pair_id", "ord", "kind", "name")
+    return _nodes(_changed(spark, sf_dir), "_le", "_ch.removed")
 
 
 @register("node_modified", with_views("SELECT pair_id, l_ord, r_ord, changes FROM modified", "code_pairs",
                                       extra=NODE_CTES))
 def node_modified(spark, sf_dir):
-    cp, els = pair_elements(spark, sf_dir)
-    return M.node_modified(els, M.mapping(cp, els)).select("pair_id", "l_ord", "r_ord", "changes")
-
-
-def element_counts(cp, els):
-    """(pair_id, nodes_added, nodes_removed, nodes_modified) for parsed pairs, zeros kept."""
-    mp = M.mapping(cp, els)
-    a = M.node_added(els, mp).groupBy("pair_id").agg(F.count(F.lit(1)).alias("nodes_added"))
-    r = M.node_removed(els, mp).groupBy("pair_id").agg(F.count(F.lit(1)).alias("nodes_removed"))
-    m = M.node_modified(els, mp).groupBy("pair_id").agg(F.count(F.lit(1)).alias("nodes_modified"))
-    base = cp.filter(F.col("language").isin(list(E.ELEMENT_PATTERNS))).select("pair_id")
-    out = base.join(a, "pair_id", "left").join(r, "pair_id", "left").join(m, "pair_id", "left")
-    return out.select("pair_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c)
-                                   for c in ["nodes_added", "nodes_removed", "nodes_modified"]])
+    rows = _changed(spark, sf_dir).select("pair_id", F.explode(M.modified_array()).alias("m"))
+    return rows.select("pair_id", "m.l_ord", "m.r_ord", "m.changes")
 
 
 @register("ast_summary", with_views("""
@@ -198,8 +187,8 @@ SELECT pair_id, nodes_added, nodes_removed, nodes_modified,
        CAST(least(nodes_added * 2 + nodes_removed * 3 + nodes_modified, 100) AS BIGINT) AS impact_score
 FROM node_counts""", "code_pairs", extra=NODE_CTES))
 def ast_summary(spark, sf_dir):
-    cp, els = pair_elements(spark, sf_dir)
-    c = element_counts(cp, els)
+    parsed = code_pairs(spark, sf_dir).filter(F.col("language").isin(list(E.ELEMENT_PATTERNS)))
+    c = M.element_changes(parsed).select("pair_id", *[F.size(F.col("_ch")[n]).cast("long").alias(f"nodes_{n}") for n in ("added", "removed", "modified")])
     a, r, m = F.col("nodes_added"), F.col("nodes_removed"), F.col("nodes_modified")
     return c.select("pair_id", a, r, m, M.diff_summary(a, r, m).alias("ast_diff_summary"),
                     M.element_impact(a, r, m).cast("long").alias("impact_score"))

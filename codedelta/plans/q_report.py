@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codedelta.operators import classify as C
+from codedelta.operators import diff as Dff
+from codedelta.operators import mapping as M
 from codedelta.operators import report as REP
 from codedelta.operators import score as S
 from codedelta.operators.elements import TOKEN_PATTERN
@@ -169,15 +171,9 @@ def _completed(spark, sf_dir, **kw):
     "SELECT pair_id, CAST(seq AS INTEGER) AS seq, type, CAST(level AS INTEGER) AS level, evidence, conf AS confidence "
     "FROM det", "code_pairs", extra=REPORT_CTES))
 def classify_file(spark, sf_dir):
-    from codedelta.operators import diff as Dff
     cp = code_pairs(spark, sf_dir).filter(F.col("language").isin(PARSED_LANGUAGES))
-    REP.release()
-    counts, *_ = REP.element_counts(cp)
-    d = Dff.with_alignment(cp.select("pair_id", "legacy", "refactored"))
-    from codedelta.functions.text import pin
-    d = d.select("pair_id", pin(F.lower(Dff.patch_text_col(d))).alias("patch_lower")).join(counts, "pair_id")
-    from codedelta.operators.mapping import diff_summary
-    summ = diff_summary(F.col("nodes_added"), F.col("nodes_removed"), F.col("nodes_modified"))
+    d = REP.with_text_changes(M.with_changes(Dff.with_alignment(cp)))
+    summ = M.diff_summary(*[F.size(F.col("_ch")[n]) for n in ("added", "removed", "modified")])
     return d.select("pair_id", F.explode(C.file_detections(F.col("patch_lower"), summ)).alias("d")).select(
         "pair_id", "d.seq", "d.type", "d.level", "d.evidence", "d.confidence")
 
@@ -188,18 +184,17 @@ def classify_file(spark, sf_dir):
     "code_pairs", extra=REPORT_CTES))
 def merge_types(spark, sf_dir):
     r = _completed(spark, sf_dir)
-    return r.select("pair_id", F.posexplode("refactor_types").alias("p", "t")).select(
-        "pair_id", (F.col("p") + 1).cast("int").alias("rank"), "t.type", "t.level",
-        F.array_join("t.evidence", "; ").alias("evidence"), F.round("t.confidence", 6).alias("confidence"))
+    return r.select("pair_id", F.inline(F.transform("refactor_types", lambda t, i: F.struct(
+        (i + 1).alias("rank"), t["type"].alias("type"), t["level"].alias("level"),
+        F.array_join(t["evidence"], "; ").alias("evidence"), F.round(t["confidence"], 6).alias("confidence")))))
 
 
 @register("classify_nodes")
 def classify_nodes(spark, sf_dir):
     """Node-level detections (rows-only: element texts are flat segments)."""
     cp = code_pairs(spark, sf_dir).filter(F.col("language").isin(PARSED_LANGUAGES))
-    REP.release()
-    _c, added, removed, modified = REP.element_counts(cp)
-    return C.node_detections(added, removed, modified)
+    d = M.element_changes(cp).select("pair_id", F.explode(REP.node_detection_array()).alias("d"))
+    return d.select("pair_id", "d.*")
 
 
 @register("impact_metrics", with_views("""
@@ -257,8 +252,7 @@ def summary_top3(spark, sf_dir):
                                    "code_pairs", extra=REPORT_CTES))
 def next_steps(spark, sf_dir):
     r = _completed(spark, sf_dir)
-    return r.select("pair_id", F.posexplode("next_steps").alias("p", "step")).select(
-        "pair_id", (F.col("p") + 1).cast("int").alias("step_ord"), "step")
+    return r.select("pair_id", F.inline(F.transform("next_steps", lambda s, i: F.struct((i + 1).alias("step_ord"), s.alias("step")))))
 
 
 @register("dep_extract", with_views(f"""

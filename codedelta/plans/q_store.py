@@ -84,10 +84,11 @@ SELECT f.pair_id, f.status, f.language, strftime(c.submitted_at, '%Y-%m-%d %H:%M
 FROM f JOIN c USING (pair_id)
 ORDER BY c.submitted_at DESC, f.pair_id LIMIT {PAGE_SIZE} OFFSET {(PAGE_NO - 1) * PAGE_SIZE}""")
 def list_page(spark, sf_dir):
-    r = _full(spark, sf_dir).select("pair_id", "status", "language", "submitted_at", "overall_score", "level")
-    total = r.select(F.count(F.lit(1))).scalar()  # scalar subquery, no join
-    p = ST.page(r, [F.desc("submitted_at"), F.asc("pair_id")], PAGE_NO, PAGE_SIZE)
-    return p.select(
+    """The page is taken from the pairs, and only its rows are analysed; the total counts the pairs."""
+    cp = code_pairs(spark, sf_dir)
+    total = cp.select(F.count(F.lit(1))).scalar()  # scalar subquery, no join
+    rows = ST.page(cp, [F.desc("submitted_at"), F.asc("pair_id")], PAGE_NO, PAGE_SIZE)
+    return REP.analyze(spark, rows).select(
         "pair_id", "status", "language", F.date_format("submitted_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
         "overall_score", "level", total.cast("long").alias("total"),
         F.ceil(total / F.lit(PAGE_SIZE)).cast("long").alias("pages"))
@@ -101,7 +102,8 @@ SELECT pair_id, status, language, CASE WHEN status = 'completed' THEN overall_sc
 FROM f WHERE pair_id IN ({', '.join(_q(i) for i in LOOKUP_IDS)})""")
 def lookup(spark, sf_dir):
     ids = spark.createDataFrame([(i,) for i in LOOKUP_IDS], "pair_id string")
-    return ST.lookup(_full(spark, sf_dir), ids)
+    wanted = code_pairs(spark, sf_dir).join(ids, "pair_id", "left_semi")   # before anything is analysed
+    return ST.lookup(REP.analyze(spark, wanted), ids)
 
 
 @register("delete_ids", with_views("""

@@ -1,12 +1,14 @@
 """Structured Streaming versions of the intake and status operators.
 
 * ``analysis_stream`` (R1): new code pairs landing as parquet are analysed per
-  micro-batch with the same batch transform (``foreachBatch``), results
-  appended to a parquet sink; the checkpoint makes a restarted query resume
-  after the last committed batch.
+  micro-batch with the same batch transform (``foreachBatch``); each batch
+  owns one folder of the parquet sink, so a batch that is run again replaces its
+  rows; the checkpoint makes a restarted query resume after the last
+  committed batch.
 * ``dedup_submissions`` (R2): one row per pair id within the watermark.
 * ``over_limit_stream`` (R3): keys above the request limit per tumbling window.
-* ``latest_status_stream`` (R4): latest status per analysis (update mode).
+* ``latest_status_stream`` (R4): latest status per analysis (update mode); with ``expire`` the
+  state of an analysis goes once the watermark has passed a window after its last event.
 
 Event times in the driver tables are ``timestamp_ntz``; watermarks need
 ``timestamp``, so sources cast first (session time zone UTC).
@@ -32,9 +34,9 @@ def analysis_stream(spark: SparkSession, pairs_stream: DataFrame, sink_path: str
     from codedelta.plans.q_report import full_report_flat
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        out = full_report_flat(REP.analyze(batch.sparkSession, batch)).withColumn("batch_id", F.lit(batch_id))
-        out.write.mode("append").parquet(sink_path)
-        batch.sparkSession.catalog.clearCache()
+        # A batch that runs again after a failure replaces its own folder.
+        out = full_report_flat(REP.analyze(batch.sparkSession, batch))
+        out.write.mode("overwrite").parquet(f"{sink_path}/batch_id={batch_id}")
 
     w = pairs_stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
@@ -55,6 +57,15 @@ def over_limit_stream(requests: DataFrame, key: str = "user_id", ts: str = "ts",
     return ST.over_limit(r, key, ts, window, limit)
 
 
-def latest_status_stream(events: DataFrame) -> DataFrame:
-    """Latest status per analysis; run with outputMode('update') or 'complete'."""
-    return ST.latest_status(ST.status_events_from(events))
+def latest_status_stream(events: DataFrame, expire: str | None = None) -> DataFrame:
+    """Latest status per analysis; run with outputMode('update') or 'complete'.
+
+    ``expire``: sessions of an analysis end after such a gap in its events; ended sessions leave the state (each
+    session then has its own row; use 'append' or 'update')."""
+    se = ST.status_events_from(events)
+    if expire is None:
+        return ST.latest_status(se)
+    last = F.struct("ts", "seq")
+    return (se.withWatermark("ts", expire).groupBy("analysis_id", F.session_window("ts", expire).alias("w"))
+            .agg(F.max_by("status", last).alias("status"), F.max("ts").alias("last_ts"))
+            .select("analysis_id", "status", "last_ts"))

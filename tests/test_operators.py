@@ -1,13 +1,19 @@
 """Operator golden vectors and properties on small DataFrames."""
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from codedelta.functions import matching
+
 from codedelta.operators import classify as C
 from codedelta.operators import diff as D
 from codedelta.operators import kpi as K
-from codedelta.operators import mapping as M
+from codedelta.operators import report as REP
 from codedelta.operators import risk as R
 from codedelta.operators import score as S
+from codedelta.operators import store as ST
+from codedelta.sources.derived import code_pairs
 
 
 def one(df):
@@ -52,13 +58,71 @@ def test_kpi_golden(spark):
 def test_fold_and_similarity(spark):
     df = spark.createDataFrame([([0.5, 1.0, 0.8],)], "c array<double>")
     assert df.select(C.fold_mean(F.col("c"))).first()[0] == pytest.approx(0.775)
-    sim = spark.createDataFrame([("getUser", "getUsers", "f", "f", [], []), ("foo", "bar", "f", "f", [], [])],
-                                "a string, b string, ka string, kb string, pa array<string>, pb array<string>")
-    vals = [r[0] for r in sim.select(M.similarity(F.col("a"), F.col("b"), F.col("ka"), F.col("kb"),
-                                                  F.col("pa"), F.col("pb"))).collect()]
-    assert vals == [pytest.approx(0.9375), pytest.approx(0.5)]
-    ov = spark.createDataFrame([(["a", "a", "b"], ["a", "c"])], "a array<string>, b array<string>")
-    assert ov.select(M.array_overlap_ratio(F.col("a"), F.col("b"))).first()[0] == pytest.approx(2 / 3)
+    assert matching.match([("f", "getUser", [])], [("f", "getUsers", [])], {}, 0.7) == [(0, 0, matching.FUZZY)]
+    assert matching.match([("f", "foo", [])], [("f", "bar", [])], {}, 0.7) == []
+    assert matching.overlap_ratio(["a", "a", "b"], ["a", "c"]) == pytest.approx(2 / 3)
+
+
+def _plain_match(left, right, limit=0.7):
+    """All pairs, without pruning."""
+    out = []
+    for i, (k, n, p) in enumerate(left):
+        best = None
+        for j, (k2, n2, p2) in enumerate(right):
+            if not n or not n2:
+                continue
+            d = list(range(len(n2) + 1))
+            for x, c in enumerate(n, 1):
+                prev, d[0] = d[0], x
+                for y, c2 in enumerate(n2, 1):
+                    prev, d[y] = d[y], min(d[y] + 1, d[y - 1] + 1, prev + (c != c2))
+            s = 1.0 if n == n2 else (1 - d[-1] / max(len(n), len(n2))) * 0.5 + (1.0 if k == k2 else 0.5) * 0.3 + matching.overlap_ratio(p, p2) * 0.2
+            if s > limit and (best is None or s > best[0]):
+                best = (s, j)
+        if best:
+            out.append((i, best[1]))
+    return out
+
+
+def test_matching_equals_all_pairs():
+    rnd = random.Random(2)
+    for _ in range(300):
+        def side():
+            return [(rnd.choice("fm"), rnd.choice([None, "", "".join(rnd.choice("abC") for _ in range(rnd.randint(1, 6)))]),
+                     [rnd.choice("xyz") for _ in range(rnd.randint(0, 3))]) for _ in range(rnd.randint(0, 8))]
+        left, right = side(), side()
+        assert [m[:2] for m in matching.match(left, right, {}, 0.7)] == _plain_match(left, right)
+
+
+def test_matching_is_not_all_pairs():
+    left = [("f", f"compute{i}Value", ["int a"]) for i in range(300)]
+    right = [("f" if i % 2 else "m", f"compute{(i * 7) % 300}Valu{'e' if i % 4 else 'es'}", ["int a"] if i % 3 else ["b"]) for i in range(300)]
+    compared = []
+    assert len(matching.match(left, right, {}, 0.7, compared)) == 300 and compared[0] < 300 * 300 / 10
+
+
+def test_unified_diff_and_patch(spark):
+    old, new = "".join(f"l{i}\n" for i in range(40)), "".join(f"l{i}\n" if i not in (3, 30) else "X\n" for i in range(40)) + "end"
+    df = spark.createDataFrame([("a", old, new), ("b", old, old)], "pair_id string, legacy string, refactored string")
+    texts = {r[0]: r[1] for r in D.with_alignment(df).select("pair_id", D.unified_diff_col()).collect()}
+    assert texts["b"] == "" and texts["a"].startswith("--- legacy\n+++ refactored\n@@ -1,8 +1,8 @@\n l0\n l1\n l2\n-l3\n+X\n l4")
+    assert texts["a"].count("@@ -") == 3 and texts["a"].endswith("+end\n\\ No newline at end of file\n")
+
+
+def test_uploads_are_rejected_with_reasons(spark):
+    rows = [("ok", f"f{i}.py", 10) for i in range(10)] + [("many", f"f{i}.JAVA", 10) for i in range(11)]
+    rows += [("type", "a.py", 1), ("type", "a.exe", 1), ("large", "a.c", 11 * 1024 * 1024), ("large", "b.c", 1)]
+    accepted, rejected = ST.accept_uploads(spark.createDataFrame(rows, "request_id string, path string, length long"))
+    assert accepted.count() == 10 and {r.request_id for r in accepted.collect()} == {"ok"}
+    why = {(r.request_id, tuple(r.reasons)) for r in rejected.collect()}
+    assert why == {("many", ("Too many files",)), ("type", (ST.INVALID_TYPE_MESSAGE,)), ("large", ("File too large",))}
+    assert accepted.count() + rejected.count() == len(rows)
+
+
+def test_report_plan_has_no_shuffle(spark, sf):
+    df = REP.analyze(spark, code_pairs(spark, sf))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan and "InMemoryTableScan" not in plan
 
 
 def test_diff_edges(spark):
