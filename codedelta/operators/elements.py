@@ -1,17 +1,18 @@
 """Code elements (functions, methods, classes, imports) and lexical tokens.
 
-Elements are found line by line with per-language patterns, entirely inside
-the row with higher-order functions over the line array, so extraction never
-shuffles: a pair's text is already one row.  An element's text is its line
-for imports and, for the others, the lines up to the next element of the
-same side (a flat stand-in for a syntax node's text).
-
-Patterns below are this package's own extractor (the analysed tool used full
-grammars).  A signature must sit on one line.
+Elements are found over the whole text with one pattern per language: a signature may run over several lines, its
+brace may stand on the next line, and several may share a line (after ``;`` or a brace).  Parameters are split
+at the outermost level only.  Everything stays inside the row, so extraction never shuffles.  An element's text
+is its statement for imports and, for the others, the text up to the next element of the same side (a flat
+stand-in for a syntax node's text).
+
+Patterns below are this package's own extractor (the analysed tool used full grammars).
 """
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,47 +22,57 @@ from pyspark import cloudpickle
 
 import codedelta.functions.matching as _matching
 from codedelta.functions.matching import only_in_second
-from codedelta.functions.text import lines, pin
+from codedelta.functions.text import pin
 
 # Ship the UDF and its helper by value: executors need no installed package.
 cloudpickle.register_pickle_by_value(_matching)
 cloudpickle.register_pickle_by_value(__import__(__name__, fromlist=["_"]))
 
+_WS = r"[ \t\r\n]*"
+_ID = r"[A-Za-z_$][A-Za-z0-9_$]*"
+# Inside parentheses: up to two further levels.
+_PLAIN = r"[^\x28\x29]*+"
+_INNER = rf"{_PLAIN}(?:\({_PLAIN}(?:\({_PLAIN}\){_PLAIN})*+\){_PLAIN})*+"
+_JAVA_MOD = r"(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)[ \t]+)*"
+
 # Per language: (kind, pattern, name group, parameter group) in test order.
 ELEMENT_PATTERNS: dict[str, list[tuple[str, str, int | None, int | None]]] = {
     "javascript": [
         ("function_declaration",
-         r"^[ \t]*(?:export[ \t]+)?(?:async[ \t]+)?function[ \t]*\*?[ \t]*([A-Za-z_$][A-Za-z0-9_$]*)[ \t]*\(([^)]*)\)",
-         1, 2),
-        ("import_statement", r"""^[ \t]*import[ \t{"'*]""", None, None),
+         rf"(?:export[ \t]+)?(?:default[ \t]+)?(?:async[ \t]+)?function[ \t]*\*?[ \t]*({_ID})?{_WS}\(({_INNER})\)", 1, 2),
+        ("function",
+         rf"(?:export[ \t]+)?(?:const|let|var)[ \t]+{_ID}[ \t]*={_WS}(?:async[ \t]+)?function[ \t]*\*?[ \t]*({_ID})?{_WS}\(({_INNER})\)", 1, 2),
+        ("import_statement", r"""import[ \t{"'*](?:[^;\n{]|\{[^}]*\})*;?""", None, None),
     ],
     "java": [
-        ("class_declaration",
-         r"^[ \t]*(?:(?:public|private|protected|static|final|abstract)[ \t]+)*class[ \t]+([A-Za-z_][A-Za-z0-9_]*)",
-         1, None),
+        ("class_declaration", rf"{_JAVA_MOD}class[ \t]+({_ID})", 1, None),
         ("method_declaration",
-         r"^[ \t]*(?:(?:public|private|protected|static|final|abstract|synchronized)[ \t]+)*"
-         r"[A-Za-z_][A-Za-z0-9_<>,.?\[\] ]*[ \t]+([A-Za-z_][A-Za-z0-9_]*)[ \t]*\(([^)]*)\)[ \t]*"
-         r"(?:throws[ \t]+[A-Za-z0-9_., \t]+)?\{",
-         1, 2),
-        ("import_declaration", r"^[ \t]*import[ \t]+[A-Za-z0-9_.*]+[ \t]*;", None, None),
+         rf"{_JAVA_MOD}[A-Za-z_][A-Za-z0-9_<>,.?\[\] ]*[ \t]+({_ID}){_WS}\(({_INNER})\){_WS}"
+         r"(?:throws[ \t\r\n]+[A-Za-z0-9_., \t\r\n]+)?\{", 1, 2),
+        ("import_declaration", r"import[ \t]+(?:static[ \t]+)?[A-Za-z0-9_.*]+[ \t]*;", None, None),
     ],
     "python": [
-        ("function_definition",
-         r"^[ \t]*(?:async[ \t]+)?def[ \t]+([A-Za-z_][A-Za-z0-9_]*)[ \t]*\(([^)]*)\)", 1, 2),
-        ("import_statement", r"^[ \t]*import[ \t]+", None, None),
-        ("import_from_statement", r"^[ \t]*from[ \t]+[^ \t\r\n]+[ \t]+import[ \t]", None, None),
+        ("function_definition", rf"(?:async[ \t]+)?def[ \t]+({_ID})[ \t]*\(({_INNER})\)", 1, 2),
+        ("import_statement", r"import[ \t]+[^;\n]*", None, None),
+        ("import_from_statement", r"from[ \t]+[^ \t\r\n]+[ \t]+import[ \t]*(?:\([^\x29]*\)|[^;\n\x28]*)", None, None),
     ],
     "c": [
         ("function_definition",
-         r"^[ \t]*[A-Za-z_][A-Za-z0-9_:<>,*& \t]*[ \t*&]([A-Za-z_][A-Za-z0-9_:~]*[ \t]*\(([^()]*)\))[ \t]*"
-         r"(?:const[ \t]*)?\{",
-         1, 2),
-        ("preproc_include", r"^[ \t]*#[ \t]*include", None, None),
+         rf"[A-Za-z_][A-Za-z0-9_:<>,*& \t]*[ \t*&\r\n]([A-Za-z_][A-Za-z0-9_:~]*[ \t]*\(({_INNER})\)){_WS}"
+         rf"(?:const{_WS})?\{{", 1, 2),
+        ("preproc_include", r"#[ \t]*include[^\n]*", None, None),
     ],
 }
 ELEMENT_PATTERNS["cpp"] = ELEMENT_PATTERNS["c"]
 
+
+def scan_pattern(language: str) -> str:
+    """Two groups: the text before the next signature, up to the start of a line or a ; { }, and the signature."""
+    plain = [re.sub(r"(?<!\\)\((?!\?)", "(?:", p) for _, p, _, _ in ELEMENT_PATTERNS[language]]
+    # \\G: matches follow each other, so a text without further signatures is read once.
+    return r"(?m)\G([\s\S]*?(?:^|[;{}]))([ \t]*(?:" + "|".join(plain) + "))"
+
+
 # Words that look like a name before "(" but start a statement.
 KEYWORDS = ["if", "for", "while", "switch", "catch", "return", "new", "else", "do", "try", "sizeof",
             "throw", "case", "synchronized"]
@@ -69,6 +80,8 @@ IMPORT_KINDS = ["import_statement", "import_declaration", "import_from_statement
                 "using_directive"]
 FUNCTION_KINDS = ["function_declaration", "method_declaration", "function_definition"]
 LEAD_IDENT = r"^[A-Za-z_$][A-Za-z0-9_$]*"
+# A parameter: no comma outside brackets of up to three levels and quotes.
+PARAMETER = (r"""(?:[^,()<>\[\]{}"']|"[^"]*"|'[^']*'|=>|[(<\[{](?:[^()<>\[\]{}]|[(<\[{](?:[^()<>\[\]{}]|[(<\[{][^()<>\[\]{}]*[)>\]}])*[)>\]}])*[)>\]}]|["'<>()\[\]{}])+""")
 STRIP = r"^[ \t\r\n]+|[ \t\r\n]+$"
 
 # Lexical tokens for node counts: identifiers, numbers, any other non-space character.
@@ -84,9 +97,9 @@ def _kind(line: Column, lang: Column) -> Column:
     for language, pats in ELEMENT_PATTERNS.items():
         k = None
         for kind, pat, name_g, _ in pats:
-            cond = line.rlike(pat)
+            cond = line.rlike(r"^[ \t]*" + pat)
             if name_g is not None:
-                ident = F.regexp_extract(F.regexp_extract(line, pat, name_g), LEAD_IDENT, 0)
+                ident = F.regexp_extract(F.regexp_extract(line, r"^[ \t]*" + pat, name_g), LEAD_IDENT, 0)
                 cond = cond & ~ident.isin(KEYWORDS)
             k = F.when(cond, F.lit(kind)) if k is None else k.when(cond, F.lit(kind))
         branch = (lang == language)
@@ -102,60 +115,78 @@ def _group(line: Column, lang: Column, kind: Column, which: int) -> Column:
             if g is None:
                 continue
             cond = (lang == language) & (kind == k)
-            val = F.regexp_extract(line, pat, g)
+            val = F.regexp_extract(line, r"^[ \t]*" + pat, g)
             expr = F.when(cond, val) if expr is None else expr.when(cond, val)
     return expr
 
 
 def parameters(params_text: Column) -> Column:
-    """Parameter list: comma split, trimmed, empties dropped."""
-    parts = F.transform(F.split(params_text, ","), lambda p: _strip(p))
+    """Parameter list: split at commas of the outermost level, trimmed, empties dropped."""
+    parts = F.transform(F.regexp_extract_all(params_text, F.lit(PARAMETER), 0), lambda p: _strip(p))
     return F.filter(parts, lambda p: F.length(p) > 0)
 
 
-def _found(la: Column, lang: Column) -> Column:
-    """Lines that start an element: array<struct<line, l, kind>>."""
-    tagged = F.transform(la, lambda l, i: F.struct((i + 1).alias("line"), l.alias("l"),
-                                                   _kind(l, lang).alias("kind")))
-    return F.filter(tagged, lambda e: e["kind"].isNotNull())
+def _scanned(text: Column, lang: Column) -> Column:
+    """array<struct<gap, sig>>: what lies before each signature, and the signature."""
+    def of(group):
+        out = None
+        for language in ELEMENT_PATTERNS:
+            got = F.regexp_extract_all(text, F.lit(scan_pattern(language)), group)
+            out = F.when(lang == language, got) if out is None else out.when(lang == language, got)
+        return F.coalesce(out, F.array().cast("array<string>"))
+    return F.arrays_zip(of(1).alias("gap"), of(2).alias("sig"))
+
+
+def _found(scanned: Column, lang: Column) -> Column:
+    """Element starts: array<struct<pos, line, sig, kind>>; a keyword's statement is none."""
+    feeds = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    start = F.struct(F.lit(1).alias("pos"), F.lit(1).alias("line"),
+                     F.array().cast("array<struct<pos:int,line:int,sig:string,kind:string>>").alias("out"))
+
+    def step(acc, x):
+        pos, line = acc["pos"] + F.length(x["gap"]), acc["line"] + feeds(x["gap"])
+        return F.struct((pos + F.length(x["sig"])).alias("pos"), (line + feeds(x["sig"])).alias("line"), F.concat(
+            acc["out"], F.array(F.struct(pos.alias("pos"), line.alias("line"), x["sig"].alias("sig"), _kind(x["sig"], lang).alias("kind")))).alias("out"))
+    return F.filter(F.aggregate(scanned, start, step)["out"], lambda f: f["kind"].isNotNull())
 
 
-def _build(la: Column, found: Column, lang: Column) -> Column:
-    """Element structs from the (materialised) line and start arrays."""
+def _build(text: Column, found: Column, lang: Column) -> Column:
+    """Element structs from the text and the (materialised) starts."""
     def build(e, i):
         is_import = e["kind"].isin(IMPORT_KINDS)
-        nxt = F.coalesce(F.try_element_at(found, i + 2)["line"], F.size(la) + 1)
-        seg = F.array_join(F.slice(la, e["line"], nxt - e["line"]), "")
-        name = _group(e["l"], lang, e["kind"], 0)
-        params = _group(e["l"], lang, e["kind"], 1)
+        nxt = F.coalesce(F.try_element_at(found, i + 2)["pos"], F.length(text) + 1)
+        seg = F.substring(text, e["pos"], nxt - e["pos"])
+        name = _group(e["sig"], lang, e["kind"], 0)
+        params = _group(e["sig"], lang, e["kind"], 1)
         return F.struct(
             i.alias("ord"), e["kind"].alias("kind"), e["line"].alias("line"),
             F.when(F.length(name) > 0, name).alias("name"),
             F.when(params.isNotNull(), parameters(params))
              .otherwise(F.array().cast("array<string>")).alias("parameters"),
-            F.when(is_import, F.array(_strip(e["l"]))).otherwise(F.array().cast("array<string>"))
+            F.when(is_import, F.array(_strip(e["sig"]))).otherwise(F.array().cast("array<string>"))
              .alias("imports"),
-            F.when(is_import, _strip(e["l"])).otherwise(_strip(seg)).alias("text"))
+            F.when(is_import, _strip(e["sig"])).otherwise(_strip(seg)).alias("text"))
 
     return F.transform(found, build)
 
 
-def with_elements(df: DataFrame, la: str, out: str, lang: str = "language") -> DataFrame:
-    """Adds ``out``: array<struct<ord, kind, line, name, parameters, imports, text, eq>> of the line array ``la``, in
-    source order.  Each line is classified once; nothing leaves the row."""
-    d = df.withColumn("_found", pin(_found(F.col(la), F.col(lang))))
-    keyed = F.transform(_build(F.col(la), F.col("_found"), F.col(lang)), lambda e: e.withField("eq", equivalence_key(e)))
-    return d.withColumn(out, pin(keyed)).drop("_found")
+def with_elements(df: DataFrame, text: str, out: str, lang: str = "language") -> DataFrame:
+    """Adds ``out``: array<struct<ord, kind, line, name, parameters, imports, text, eq>> of the text, in
+    source order.  Each signature is classified once; nothing leaves the row."""
+    full = F.coalesce(F.col(text), F.lit(""))
+    d = df.withColumn("_scan", pin(_scanned(full, F.col(lang)))).withColumn("_found", pin(_found(F.col("_scan"), F.col(lang))))
+    keyed = F.transform(_build(full, F.col("_found"), F.col(lang)), lambda e: e.withField("eq", equivalence_key(e)))
+    return d.withColumn(out, pin(keyed)).drop("_found", "_scan")
 
 
 def elements(pairs: DataFrame, key: str = "pair_id", lang: str = "language",
              legacy: str = "legacy", refactored: str = "refactored") -> DataFrame:
     """Long element rows: (key, side, ord, kind, line, name, parameters, imports, text)."""
     sides = pairs.select(key, lang, F.explode(F.array(
-        F.struct(F.lit("legacy").alias("side"), lines(F.col(legacy)).alias("la")),
-        F.struct(F.lit("refactored").alias("side"), lines(F.col(refactored)).alias("la")),
-    )).alias("s")).select(key, lang, "s.side", pin(F.col("s.la")).alias("la"))
-    out = with_elements(sides, "la", "_els", lang)
+        F.struct(F.lit("legacy").alias("side"), F.col(legacy).alias("source")),
+        F.struct(F.lit("refactored").alias("side"), F.col(refactored).alias("source")),
+    )).alias("s")).select(key, lang, "s.side", "s.source")
+    out = with_elements(sides, "source", "_els", lang)
     return out.select(key, "side", F.explode("_els").alias("e")).select(key, "side", "e.*").drop("eq")
 
 

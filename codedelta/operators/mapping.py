@@ -21,7 +21,6 @@ from pyspark import cloudpickle
 
 import codedelta.functions.matching as _matching
 from codedelta.functions.matching import changes
-from codedelta.functions.text import lines, pin
 from codedelta.operators.elements import with_elements
 from codedelta.rules import FUZZY_MIN_SIMILARITY
 
@@ -45,9 +44,10 @@ def _changes_udf(lk: pd.Series, ln: pd.Series, lp: pd.Series, le: pd.Series, rk:
     return pd.DataFrame(out, columns=["l", "r", "s", "added", "removed", "modified"])
 
 
-def with_changes(df: DataFrame, la: str = "_la", lb: str = "_lb", hints: str = "map_hints", lang: str = "language") -> DataFrame:
-    """Adds ``_le`` / ``_re`` (element arrays of the line arrays) and ``_ch`` (mapping and differing positions)."""
-    d = with_elements(with_elements(df, la, "_le", lang), lb, "_re", lang)
+def with_changes(df: DataFrame, legacy: str = "legacy", refactored: str = "refactored", hints: str = "map_hints",
+                 lang: str = "language") -> DataFrame:
+    """Adds ``_le`` / ``_re`` (element arrays of the texts) and ``_ch`` (mapping and differing positions)."""
+    d = with_elements(with_elements(df, legacy, "_le", lang), refactored, "_re", lang)
 
     def part(c, name):
         return F.transform(F.col(c), lambda e: e[name])
@@ -57,8 +57,7 @@ def with_changes(df: DataFrame, la: str = "_la", lb: str = "_lb", hints: str = "
 
 def element_changes(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
     """(key, _le, _re, _ch) of pairs with texts, language and hints."""
-    d = pairs.select(key, "language", "map_hints", pin(lines(F.col("legacy"))).alias("_la"), pin(lines(F.col("refactored"))).alias("_lb"))
-    return with_changes(d).select(key, "_le", "_re", "_ch")
+    return with_changes(pairs.select(key, "language", "map_hints", "legacy", "refactored")).select(key, "_le", "_re", "_ch")
 
 
 def mapping_rows(changed: DataFrame, key: str = "pair_id") -> DataFrame:

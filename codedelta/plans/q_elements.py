@@ -2,68 +2,97 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from codedelta.operators import elements as E
 from codedelta.operators import mapping as M
 from codedelta.plans.registry import register
-from codedelta.plans.sqlviews import LINE_RE, _q, with_views
+from codedelta.plans.sqlviews import _q, with_views
 from codedelta.sources.derived import code_pairs
 
 ELEMENT_COLS = ["pair_id", "side", "ord", "kind", "line", "name", "parameters", "imports", "text"]
 D = "CAST({} AS DOUBLE)"
 
 
-def _kind_sql(line="l", lang="language"):
-    outer = []
-    for language, pats in E.ELEMENT_PATTERNS.items():
-        inner = []
-        for kind, pat, name_g, _ in pats:
-            cond = f"regexp_matches({line}, {_q(pat)})"
-            if name_g is not None:
-                ident = f"regexp_extract(regexp_extract({line}, {_q(pat)}, {name_g}), {_q(E.LEAD_IDENT)}, 0)"
-                kws = ", ".join(_q(k) for k in E.KEYWORDS)
-                cond = f"({cond} AND {ident} NOT IN ({kws}))"
-            inner.append(f"WHEN {cond} THEN {_q(kind)}")
-        outer.append(f"WHEN {lang} = {_q(language)} THEN CASE {' '.join(inner)} END")
-    return "CASE " + "\n ".join(outer) + " END"
-
-
-def _group_sql(which, line="l", lang="language", kind="kind"):
-    parts = []
-    for language, pats in E.ELEMENT_PATTERNS.items():
-        for k, pat, name_g, params_g in pats:
-            g = name_g if which == 0 else params_g
-            if g is None:
-                continue
-            parts.append(f"WHEN {lang} = {_q(language)} AND {kind} = {_q(k)} "
-                         f"THEN regexp_extract({line}, {_q(pat)}, {g})")
-    return "CASE " + "\n ".join(parts) + " END"
-
-
-_STRIP = _q(E.STRIP)
-_IMPORTS = ", ".join(_q(k) for k in E.IMPORT_KINDS)
+# The oracle's own patterns, written apart from the engine's: (kind, pattern, name group, parameter group).
+_P = r"(?:[^\x28\x29]|\((?:[^\x28\x29]|\([^\x28\x29]*\))*\))*"      # inside parentheses
+_SQL_PATTERNS = {
+    "javascript": [
+        ("function_declaration", r"(?:export )?(?:default )?(?:async )?function[ \t]*[*]?[ \t]*([$\w]*)\s*\((" + _P + r")\)", 1, 2),
+        ("function", r"(?:export )?(?:const|let|var)[ \t]+[$\w]+[ \t]*=\s*(?:async )?function[ \t]*[*]?[ \t]*([$\w]*)\s*\((" + _P + r")\)", 1, 2),
+        ("import_statement", r"""import[ \t{"'*](?:[^;\n{]|\{[^}]*\})*;?""", 0, 0),
+    ],
+    "java": [
+        ("class_declaration", r"(?:\w+[ \t]+)*?class[ \t]+([$\w]+)", 1, 0),
+        ("method_declaration", r"[A-Za-z_][\w<>,.?\[\] \t]*[ \t]([$\w]+)\s*\((" + _P + r")\)\s*(?:throws\s[\w., \t\r\n]+)?\{", 1, 2),
+        ("import_declaration", r"import[ \t]+[\w.* \t]+;", 0, 0),
+    ],
+    "python": [
+        ("function_definition", r"(?:async[ \t]+)?def[ \t]+(\w+)[ \t]*\((" + _P + r")\)", 1, 2),
+        ("import_statement", r"import[ \t][^;\n]*", 0, 0),
+        ("import_from_statement", r"from[ \t]+[^ \t\r\n]+[ \t]+import[ \t]*(?:\([^\x29]*\)|[^;\n\x28]*)", 0, 0),
+    ],
+    "c": [
+        ("function_definition", r"[A-Za-z_][\w:<>,*& \t]*[ \t*&\r\n]([A-Za-z_][\w:~]*[ \t]*\((" + _P + r")\))\s*(?:const\s*)?\{", 1, 2),
+        ("preproc_include", r"#[ \t]*include[^\n]*", 0, 0),
+    ],
+}
+_SQL_PATTERNS["cpp"] = _SQL_PATTERNS["c"]
+_NOT_NAMES = ", ".join(_q(k) for k in ("if for while switch catch return new else do try sizeof throw case synchronized").split())
+
+
+def _plain(p):
+    return re.sub(r"(?<!\\)\((?!\?)", "(?:", p)
+
+
+def _scan_sql(group):
+    return "CASE " + " ".join(
+        f"WHEN language = {_q(lang)} THEN regexp_extract_all(t, "
+        + _q(r"(?m)([\s\S]*?(?:^|[;{}]))([ \t]*(?:" + "|".join(_plain(p) for _, p, _, _ in pats) + "))") + f", {group})"
+        for lang, pats in _SQL_PATTERNS.items()) + " ELSE []::VARCHAR[] END"
+
+
+def _by_pattern(what):
+    out = []
+    for lang, pats in _SQL_PATTERNS.items():
+        for kind, p, name, params in pats:
+            at = _q(r"^[ \t]*" + p)
+            if what == "kind":
+                test = f"regexp_matches(sig, {at})"
+                if name:
+                    test += f" AND regexp_extract(regexp_extract(sig, {at}, {name}), '^[$\\w]*', 0) NOT IN ({_NOT_NAMES})"
+                out.append(f"WHEN language = {_q(lang)} AND {test} THEN {_q(kind)}")
+            elif {"name": name, "params": params}[what]:
+                out.append(f"WHEN language = {_q(lang)} AND kind = {_q(kind)} THEN regexp_extract(sig, {at}, {name if what == 'name' else params})")
+    return "CASE " + "\n ".join(out) + " END"
+
+
+_IMPORTS = "'import_statement', 'import_declaration', 'import_from_statement', 'preproc_include'"
+_PARAMETER = _q(r"""(?:[^,()<>\[\]{}"']|"[^"]*"|'[^']*'|=>|[(<\[{](?:[^()<>\[\]{}]|[(<\[{](?:[^()<>\[\]{}]|[(<\[{][^()<>\[\]{}]*[)>\]}])*[)>\]}])*[)>\]}]|["'<>()\[\]{}])+""")
+_TRIM = "' ' || chr(9) || chr(13) || chr(10)"
 
 ELEMENT_CTES = [
-    ("sides", f"""SELECT pair_id, language, 'legacy' AS side, regexp_extract_all(legacy, {LINE_RE}) AS la FROM code_pairs
-          UNION ALL
-          SELECT pair_id, language, 'refactored' AS side, regexp_extract_all(refactored, {LINE_RE}) FROM code_pairs"""),
-    ("ln", """SELECT pair_id, language, side, la, line, la[line] AS l
-          FROM (SELECT *, unnest(range(1, len(la) + 1)) AS line FROM sides)"""),
-    ("kd", f"SELECT *, {_kind_sql()} AS kind FROM ln"),
-    ("ek", f"""SELECT *, CAST(row_number() OVER w - 1 AS INTEGER) AS ord, lead(line) OVER w AS nxt,
-                {_group_sql(0)} AS nm, {_group_sql(1)} AS pr
-          FROM kd WHERE kind IS NOT NULL WINDOW w AS (PARTITION BY pair_id, side ORDER BY line)"""),
-    ("els", f"""SELECT pair_id, side, ord, kind, CAST(line AS INTEGER) AS line,
+    ("sides", """SELECT pair_id, language, 'legacy' AS side, legacy AS t FROM code_pairs
+          UNION ALL SELECT pair_id, language, 'refactored', refactored FROM code_pairs"""),
+    ("scan", f"SELECT pair_id, language, side, t, {_scan_sql(1)} AS gaps, {_scan_sql(2)} AS sigs FROM sides"),
+    ("sg", """SELECT pair_id, language, side, t, i, sigs[i] AS sig,
+            list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(sigs[1:i - 1], lambda x: length(x))), 0) AS before
+          FROM (SELECT *, unnest(range(1, len(sigs) + 1)) AS i FROM scan)"""),
+    ("kd", f"SELECT *, {_by_pattern('kind')} AS kind FROM sg"),
+    ("ek", f"""SELECT *, CAST(row_number() OVER w - 1 AS INTEGER) AS ord, lead(before) OVER w AS nxt,
+                {_by_pattern('name')} AS nm, {_by_pattern('params')} AS pr
+          FROM kd WHERE kind IS NOT NULL WINDOW w AS (PARTITION BY pair_id, side ORDER BY i)"""),
+    ("els", f"""SELECT pair_id, side, ord, kind,
+                CAST(1 + length(substr(t, 1, CAST(before AS BIGINT))) - length(replace(substr(t, 1, CAST(before AS BIGINT)), chr(10), '')) AS INTEGER) AS line,
                 CASE WHEN length(nm) > 0 THEN nm END AS name,
                 CASE WHEN pr IS NOT NULL
-                     THEN list_filter(list_transform(string_split(pr, ','), lambda p: regexp_replace(p, {_STRIP}, '', 'g')),
-                                      lambda p: length(p) > 0)
+                     THEN list_filter(list_transform(regexp_extract_all(pr, {_PARAMETER}), lambda p: trim(p, {_TRIM})), lambda p: length(p) > 0)
                      ELSE []::VARCHAR[] END AS parameters,
-                CASE WHEN kind IN ({_IMPORTS}) THEN [regexp_replace(l, {_STRIP}, '', 'g')] ELSE []::VARCHAR[] END AS imports,
-                CASE WHEN kind IN ({_IMPORTS}) THEN regexp_replace(l, {_STRIP}, '', 'g')
-                     ELSE regexp_replace(array_to_string(la[line:coalesce(nxt, len(la) + 1) - 1], ''), {_STRIP}, '', 'g')
-                END AS text
+                CASE WHEN kind IN ({_IMPORTS}) THEN [trim(sig, {_TRIM})] ELSE []::VARCHAR[] END AS imports,
+                CASE WHEN kind IN ({_IMPORTS}) THEN trim(sig, {_TRIM})
+                     ELSE trim(substr(t, CAST(before + 1 AS BIGINT), CAST(coalesce(nxt, length(t)) - before AS BIGINT)), {_TRIM}) END AS text
           FROM ek"""),
 ]
 

@@ -8,6 +8,7 @@ from codedelta.functions import matching
 
 from codedelta.operators import classify as C
 from codedelta.operators import diff as D
+from codedelta.operators import elements as E
 from codedelta.operators import kpi as K
 from codedelta.operators import report as REP
 from codedelta.operators import risk as R
@@ -158,3 +159,28 @@ def test_dedup_equal_and_unequal_counts(spark):
     df = spark.createDataFrame([("a", "md5(x) sha1(y)"), ("b", "md5(x) md5(z) sha1(y)")], "id string, text string")
     flags = {r.id: r.n for r in R.risk_flags(df, "text", ["id"]).groupBy("id").agg(F.count("*").alias("n")).collect()}
     assert flags == {"a": 1, "b": 2}
+
+
+LAYOUTS = [
+    ("javascript", "export default function h(a) {}\nconst f = async function g(q, r = [1, 2]) {\n}\nfunction one(x) {} function two(\n  y,\n  z = (1, 2)\n) {}\n"
+                   "import {\n  a,\n  b\n} from 'm';\nexport default function (k) {}",
+     [("function_declaration", "h", ["a"], 1), ("function", "g", ["q", "r = [1, 2]"], 2), ("function_declaration", "one", ["x"], 4),
+      ("function_declaration", "two", ["y", "z = (1, 2)"], 4), ("import_statement", None, [], 8), ("function_declaration", None, ["k"], 12)]),
+    ("java", "import java.util.*;\npublic class A { void a(Map<String, List<Integer>> m, int b) { } int c() throws E,\n F {\n if (x) { } }\n"
+             "  public void run()\n  {\n  }\n}\n",
+     [("import_declaration", None, [], 1), ("class_declaration", "A", [], 2), ("method_declaration", "a", ["Map<String, List<Integer>> m", "int b"], 2),
+      ("method_declaration", "c", [], 2), ("method_declaration", "run", [], 5)]),
+    ("python", "from a import (b,\n  c)\nimport os\nclass K:\n    async def f(\n        a,\n        b=(1, 2),\n        **k):\n        pass\n    def g(self): pass\n",
+     [("import_from_statement", None, [], 1), ("import_statement", None, [], 3), ("function_definition", "f", ["a", "b=(1, 2)", "**k"], 5),
+      ("function_definition", "g", ["self"], 10)]),
+    ("c", "#include <stdio.h>\nint main(void)\n{\n  if (a) {\n  }\n}\nstatic char *\nname(int (*f)(int, int),\n     int n) {\n}\n",
+     [("preproc_include", None, [], 1), ("function_definition", "main(void)", ["void"], 2),
+      ("function_definition", "name(int (*f)(int, int),\n     int n)", ["int (*f)(int, int)", "int n"], 7)]),
+]
+
+
+@pytest.mark.parametrize("language,code,expected", LAYOUTS)
+def test_element_layouts(spark, language, code, expected):
+    df = spark.createDataFrame([("p", language, "Some prose; it is not code {at} all.\n" * 3 + code, None)], "pair_id string, language string, legacy string, refactored string")
+    got = [(r.kind, r.name, r.parameters, r.line - 3) for r in E.elements(df).orderBy("ord").collect()]
+    assert got == expected
