@@ -39,6 +39,23 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch: a few MB of ordinary documents for each Python worker and its JVM side.
+BATCH_ROWS = 1000
+
+
+def map_arrow(df: DataFrame, function, schema, rows: int = BATCH_ROWS) -> DataFrame:
+    """``mapInArrow`` with batches of at most ``rows`` rows: lowers the session's limit where it is higher, since a batch
+    of long texts lies in memory several times."""
+    bound_batches(df.sparkSession, rows)
+    return df.mapInArrow(function, schema)
+
+
+def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

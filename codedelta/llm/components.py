@@ -19,14 +19,15 @@ def _step(edges: DataFrame, large: bool) -> DataFrame:
         out = moved.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(near.select(F.col("n").alias("a"), F.col("m").alias("b")))
-    return out.filter(F.col("a") != F.col("b")).distinct()
+    out = out.filter(F.col("a") != F.col("b"))
+    return out if large else out.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that each node of ``edges`` (a, b) reaches; nodes without edges are absent.
 
-    Edges are written after each round; rounds end when two follow each other with the same
-    edges, which are then stars around the least nodes.  The number of rounds grows with the logarithm of
+    Edges are written after each round (repeated ones go then); rounds end when two follow each other with the
+    same edges, which are then stars around the least nodes.  The number of rounds grows with the logarithm of
     the longest path."""
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct()
     e = write_table(e, "edges")
