@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codedelta.llm import textnp
-from codedelta.llm.common import read_table, write_table
+from codedelta.llm.common import map_arrow, read_table, write_table
 
 FIT_ROWS = 8000
 CELL_BITS = 22
@@ -73,7 +73,7 @@ def features(data: np.ndarray, offsets: np.ndarray):
 def _examples(batches):
     """Features of the training rows: distinct cells with their counts, and the shape."""
     for batch in batches:
-        grade = np.asarray(batch.column("grade"))
+        ids, grade = batch.column("doc_id"), np.asarray(batch.column("grade"))
         data, offsets = textnp.column_bytes(batch.column("text"))
         for lo, hi in textnp.pieces(offsets):
             cells, doc, n_words, shape = features(data, offsets[lo:hi + 1])
@@ -82,10 +82,10 @@ def _examples(batches):
             low = (code & ((1 << CELL_BITS) - 1)).astype(np.uint32)
             count = np.minimum(count, 65535).astype(np.uint16)
             yield pa.record_batch([
-                pa.array(grade[lo:hi]), pa.array(n_words.astype(np.int64)),
+                ids.slice(lo, hi - lo), pa.array(grade[lo:hi]), pa.array(n_words.astype(np.int64)),
                 pa.array([low[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
                 pa.array([count[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
-                pa.array([r.tobytes() for r in shape], pa.binary())], names=["grade", "n_words", "cells", "counts", "shape"])
+                pa.array([r.tobytes() for r in shape], pa.binary())], names=["doc_id", "grade", "n_words", "cells", "counts", "shape"])
 
 
 class Ordinal:
@@ -153,23 +153,28 @@ class Ordinal:
 
 
 def _chosen_cells(cells, counts, doc, n_words, grade) -> np.ndarray:
-    """Presences and densities that are much more frequent in a lower grade than in the best."""
+    """Presences and densities that are much more frequent in a lower grade than in the best.  Counts are kept
+    for all cells at once, so that memory does not depend on the rows."""
     keep: set = set()
-    often = (counts >= 2) & (counts * 100 >= n_words[doc] + 100)
-    for shift, rows in ((0, np.ones(len(cells), bool)), (1 << CELL_BITS, often)):
-        ids, inverse = np.unique(cells[rows], return_inverse=True)
+    often = (counts >= 2) & (counts * 100.0 >= n_words[doc] + 100)
+    best_grade = grade == GRADES - 1
+    for shift, rows in ((0, None), (1 << CELL_BITS, often)):
+        def present(use):
+            chosen = use[doc] if rows is None else use[doc] & rows
+            return np.bincount(cells[chosen], minlength=1 << CELL_BITS).astype(np.float32)
+        n0, in0 = best_grade.sum(), present(best_grade)
         for low in range(GRADES - 1):
-            upper, lower = grade == GRADES - 1, grade == low
-            n1, n0 = lower.sum(), upper.sum()
+            lower = grade == low
+            n1 = lower.sum()
             if not n1 or not n0:
                 continue
-            in1 = np.bincount(inverse[lower[doc[rows]]], minlength=len(ids)).astype(float)
-            in0 = np.bincount(inverse[upper[doc[rows]]], minlength=len(ids)).astype(float)
+            in1 = present(lower)
             n, seen = n1 + n0, in1 + in0
-            chi2 = n * (in1 * (n0 - in0) - in0 * (n1 - in1)) ** 2 / np.maximum(seen * (n - seen) * n1 * n0, 1e-9)
-            chi2[(seen < LEAST_DOCS) | (in1 * n0 < LEAST_LIFT * in0 * n1)] = 0
-            best = np.argsort(-chi2, kind="stable")[:MOST_CELLS // 2]
-            keep.update((ids[best[chi2[best] >= LEAST_CHI2]] + shift).tolist())
+            at = np.flatnonzero((seen >= LEAST_DOCS) & (in1 * n0 >= LEAST_LIFT * in0 * n1))
+            p, q, s = in1[at].astype(float), in0[at].astype(float), seen[at].astype(float)
+            chi2 = n * (p * (n0 - q) - q * (n1 - p)) ** 2 / np.maximum(s * (n - s) * n1 * n0, 1e-9)
+            top = np.argsort(-chi2, kind="stable")[:MOST_CELLS // 2]
+            keep.update((at[top[chi2[top] >= LEAST_CHI2]] + shift).tolist())
     return np.array(sorted(keep), np.int64)
 
 
@@ -179,28 +184,28 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ordin
     graded = labels.filter("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min(grade).alias("grade"))
     order = F.xxhash64(F.col("doc_id"), F.lit("fit"))
     sample = write_table(graded.orderBy(order, "doc_id").limit(fit_rows).select(F.col("doc_id").alias("_id"), "grade"), "graded")
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("grade", "text")
-    got = texts.mapInArrow(_examples, "grade int, n_words long, cells binary, counts binary, shape binary").toArrow()
-    model = Ordinal()
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "grade", "text")
+    got = map_arrow(texts, _examples, "doc_id long, grade int, n_words long, cells binary, counts binary, shape binary").toArrow()
+    got = got.combine_chunks().sort_by("doc_id")       # the order of rows does not depend on the tasks that made them
     grade = np.asarray(got.column("grade")).astype(np.int64)
-    if len(grade):
-        # The order of rows does not depend on the tasks that made them.
-        keys = got.column("cells").to_pylist()
-        order = sorted(range(len(keys)), key=lambda i: (int(grade[i]), len(keys[i]), keys[i]))
-        got, grade = got.take(order), grade[order]
     present = np.unique(grade)
     if len(present) < 2:
+        model = Ordinal()
         if len(present):
             model.thresholds = np.where(present[0] >= np.arange(1, GRADES), -30.0, 30.0)
         return model
-    lists = [np.frombuffer(b, np.uint32) for b in got.column("cells").to_pylist()]
-    counts = np.concatenate([np.frombuffer(b, np.uint16) for b in got.column("counts").to_pylist()]).astype(float)
-    doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    cells = np.concatenate(lists).astype(np.int64)
     n_words = np.asarray(got.column("n_words")).astype(float)
-    model = Ordinal(_chosen_cells(cells, counts, doc, n_words, grade))
+    raw, offsets = textnp.column_bytes(got.column("cells"))
+    cells = raw[offsets[0]:offsets[-1]].view(np.uint32)
+    doc = np.repeat(np.arange(len(grade), dtype=np.int32), np.diff(offsets) // 4)
+    raw, offsets = textnp.column_bytes(got.column("counts"))
+    counts = raw[offsets[0]:offsets[-1]].view(np.uint16)
     shape = np.stack([np.frombuffer(b) for b in got.column("shape").to_pylist()])
-    at, counts, doc = model.lookup(cells, counts, doc)
+    model = Ordinal(_chosen_cells(cells, counts, doc, n_words, grade))
+    some = np.zeros(1 << CELL_BITS, bool)
+    some[model.cells & ((1 << CELL_BITS) - 1)] = True
+    some = some[cells]
+    at, counts, doc = model.lookup(cells[some].astype(np.int64), counts[some].astype(float), doc[some].astype(np.int64))
     rows, cols, vals = model.rows(at, counts, doc, n_words, shape)
     return model.fit(rows, cols, vals, grade)
 
@@ -234,12 +239,12 @@ def _scored(model: Ordinal, keep_from: float, only_kept: bool):
 def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, keep_from: float = KEEP_FROM) -> DataFrame:
     """doc_id, expected_grade, p_good (P(grade >= 2)) and kept of every document row."""
     model = train(docs, labels, fit_rows)
-    return docs.select("doc_id", "text").mapInArrow(_scored(model, keep_from, False), "doc_id long, expected_grade double, p_good double, kept boolean")
+    return map_arrow(docs.select("doc_id", "text"), _scored(model, keep_from, False), "doc_id long, expected_grade double, p_good double, kept boolean")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, keep_from: float = KEEP_FROM) -> DataFrame:
     """The documents that the classifier keeps, with their own columns."""
-    return docs.mapInArrow(_scored(train(docs, labels, fit_rows), keep_from, True), docs.schema)
+    return map_arrow(docs, _scored(train(docs, labels, fit_rows), keep_from, True), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
