@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codedelta.llm import textnp
-from codedelta.llm.common import read_table, write_table
+from codedelta.llm.common import map_arrow, read_table, write_table
 
 LEAST_LENGTH = 16
 FIT_ROWS = 20000
@@ -93,7 +93,7 @@ def _word_counts(batches):
 
 def dictionary(docs: DataFrame, size: int = DICTIONARY_WORDS) -> np.ndarray:
     """Sorted hashes of the ``size`` most frequent words of all texts."""
-    counts = docs.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = map_arrow(docs.select("text"), _word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "word").limit(size).select("word").toArrow()
     return np.sort(np.asarray(top.column("word").combine_chunks()).view(np.uint64))
 
@@ -186,7 +186,7 @@ def _findings(words: np.ndarray):
 def findings(docs: DataFrame, words: np.ndarray, path_column: str | None = "source") -> DataFrame:
     """All candidates of all texts with their features; marked and plain: what the neighbourhood alone tells."""
     path = F.col(path_column).cast("string") if path_column else F.lit(None).cast("string")
-    return docs.select("doc_id", "text", path.alias("path")).mapInArrow(_findings(words), _schema())
+    return map_arrow(docs.select("doc_id", "text", path.alias("path")), _findings(words), _schema())
 
 
 def score(found: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS, secret_from: float = SECRET_FROM) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codedelta.llm import dom
-from codedelta.llm.common import read_table, write_table
+from codedelta.llm.common import map_arrow, read_table, write_table
 
 LEAST_PAGES = 5
 LOW_IMPORTANCE = 0.2
@@ -93,7 +93,7 @@ def _counts(batches):
 def tree_counts(pages: DataFrame) -> DataFrame:
     """(host, kind, node, value, n, depth, container, share, text_share): the merged counts of all pages."""
     p = pages.select(host_of(F.col("url")).alias("host"), "html")
-    return (p.mapInArrow(_counts, _COUNTS).groupBy("host", "kind", "node", "value")
+    return (map_arrow(p, _counts, _COUNTS).groupBy("host", "kind", "node", "value")
             .agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("depth"), F.max("container").alias("container"),
                  F.sum("share").alias("share"), F.sum("text_share").alias("text_share")))
 
@@ -197,8 +197,8 @@ def extract(pages: DataFrame, low: float = LOW_IMPORTANCE, least_pages: int = LE
     """(page_id, url, text, n_chars) of every page."""
     noise = write_table(noise_nodes(pages, low, least_pages), "site_noise").withColumnRenamed("host", "h")
     p = pages.select("page_id", "url", "html")
-    return (p.join(noise, host_of(F.col("url")) == F.col("h"), "left").select("page_id", "url", "html", "noise")
-            .mapInArrow(_extracted, "page_id long, url string, text string, n_chars long"))
+    p = p.join(noise, host_of(F.col("url")) == F.col("h"), "left").select("page_id", "url", "html", "noise")
+    return map_arrow(p, _extracted, "page_id long, url string, text string, n_chars long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codedelta.llm import textnp
-from codedelta.llm.common import read_table
+from codedelta.llm.common import map_arrow, read_table
 from codedelta.llm.encoding import encoder, tokenizer_path
 
 RULES = ("start", "largest", "share")
@@ -139,8 +139,8 @@ def count_tokens(docs: DataFrame, sections: DataFrame | None = None, vocabulary:
         own = sections.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("section", "first_char", "end_char")).alias("sections"))
         d = d.join(own, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", F.coalesce(
             "sections", F.array().cast("array<struct<section:bigint,first_char:bigint,end_char:bigint>>")).alias("sections"))
-    return d.mapInArrow(_attributed(path, rule, sections is not None),
-                        "doc_id long, section long, first_char long, end_char long, n_tokens double, n_crossing long")
+    return map_arrow(d, _attributed(path, rule, sections is not None),
+                     "doc_id long, section long, first_char long, end_char long, n_tokens double, n_crossing long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
