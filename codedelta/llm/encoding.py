@@ -14,7 +14,7 @@ import numpy as np
 from codedelta.llm import textnp
 
 #: Pieces that a worker remembers; beyond, it starts again.
-REMEMBERED = 1 << 22
+REMEMBERED = 1 << 21
 _SEPARATOR = "\x01"
 _encoders: dict = {}
 
