@@ -17,6 +17,15 @@ from codedelta.rules import (DEPENDENCY_LICENSE_DESCRIPTION, DEPENDENCY_LICENSE_
 
 LIVE_PACKS = ("security", "license", "compatibility")
 
+# White space as the rules mean it, with no-break and other Unicode spaces; Java's and RE2's own \s are narrower.
+WHITE_SPACE = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+def wide_spaces(regex: str) -> str:
+    """The regex with every ``\\s`` (never inside a class in the rules) as the wider class."""
+    return regex.replace(r"\s", WHITE_SPACE)
+
+
 # For each pattern (in rule order) a lower-case literal that every match must
 # contain; the regex only runs on texts whose lower-cased form contains it.
 # This is a pruning guard: it never changes a count.
@@ -52,7 +61,7 @@ def candidate_flags(text: Column, packs=LIVE_PACKS, rows=None, low: Column | Non
     structs = []
     low = F.lower(text) if low is None else low
     for pack, cat, ordn, regex, sev, min_hits, desc, sugg in pattern_rows(packs, rows):
-        n = F.regexp_count(text, F.lit(regex))
+        n = F.regexp_count(text, F.lit(wide_spaces(regex)))
         if rows is None:  # built-in packs: guard the regex with its required literal
             n = F.when(text.isNull(), F.lit(None)).when(
                 F.instr(low, F.lit(PATTERN_GUARDS[ordn - 1])) > 0, n).otherwise(F.lit(0))

@@ -17,7 +17,7 @@ def _struct_list(packs, text="text"):
         items.append("{" + ", ".join([
             f"'type': {_q(pack)}", f"'category': {_q(cat)}", f"'pattern_ord': {ordn}",
             f"'severity': {_q(sev)}",
-            f"'n_hits': CAST(len(regexp_extract_all({text}, {_q(regex)})) AS INTEGER)",
+            f"'n_hits': CAST(len(regexp_extract_all({text}, {_q(risk.wide_spaces(regex))})) AS INTEGER)",
             f"'min_hits': {min_hits}", f"'tmpl': {_q(desc)}", f"'suggestion': {_q(sugg)}"]) + "}")
     return "[" + ",\n ".join(items) + "]"
 
