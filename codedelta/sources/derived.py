@@ -37,9 +37,16 @@ def snippets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(snippet_rows(), SNIPPET_SCHEMA)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows out where the input has fewer splits than the cluster has cores (one large row group); an
+    input of many splits is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def code_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with snippet ``doc_id % 24`` appended: (doc_id, snip_id, language, text)."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     s = snippets(spark)
     return (docs.join(F.broadcast(s), (docs.doc_id % N_SNIPPETS) == s.snip_id)
             .select("doc_id", "snip_id", "language",
@@ -49,7 +56,7 @@ def code_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def code_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Analysis requests (schema M1): the legacy side carries snippet ``doc_id % 24``,
     the refactored side snippet ``(doc_id + 1) % 24``."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     old = snippets(spark).select(F.col("snip_id").alias("o_id"), F.col("code").alias("o_code"),
                                  "hint_from", "hint_to")
     new = snippets(spark).select(F.col("snip_id").alias("n_id"), F.col("code").alias("n_code"),
