@@ -8,7 +8,7 @@ more.  The steps:
 2. Grouping: classes that share two minimum hashes and a size band with the smallest class of those that
    do are compared with it; those that link form groups (connected components of the exact links so far).  A hot group of
    near copies so shrinks to one group with as many comparisons as it has members.
-3. Token-group matrix: tokens get a fixed order, rare before frequent.  Of each set only its first
+3. Token-group matrix: tokens get a fixed order, rare before frequent.  Of each class's set only its first
    tokens are kept: if J(x, y) >= t and |y| <= |x|, then x and y share at least m tokens among the first
    |x| - ceil(t|x|) + m of x and the first |y| - ceil(2t/(1+t)|y|) + m of y, for any m.  With m(n) = 1 + n / 20
    for a set of n, the least m of the two holds for the pair.  A group's row is the union of the first tokens
@@ -183,7 +183,7 @@ def _prefixes(levels: np.ndarray, n_buckets: int, num: int, den: int):
                                 pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())], names=names)
 
     def run(batches):
-        held, marks, n_held, seen = [], [], 0, set()
+        held, marks, n_held = [], [], 0
         for batch in batches:
             ids = batch.column("doc_id")
             keep = np.asarray(ids.is_valid())
@@ -191,7 +191,6 @@ def _prefixes(levels: np.ndarray, n_buckets: int, num: int, den: int):
             data, offsets = textnp.column_bytes(batch.column("text"))
             for lo, hi in textnp.pieces(offsets):
                 tokens, bounds = textnp.shingle_sets(data, offsets[lo:hi + 1], WIDTH)
-                digest = textnp.sums_by(textnp.mix64(tokens), bounds)
                 level = levels[(tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
                 # Rare before frequent, then by hash.  The order of two tokens is the same in every text.
                 key = (level.astype(np.uint64) << np.uint64(58)) | (textnp.mix64(tokens) >> np.uint64(6))
@@ -199,10 +198,8 @@ def _prefixes(levels: np.ndarray, n_buckets: int, num: int, den: int):
                 for i in range(hi - lo):
                     s, e = bounds[i], bounds[i + 1]
                     n = int(e - s)
-                    if not n or not keep[lo + i] or (n, digest[i]) in seen:
+                    if not n or not keep[lo + i]:
                         continue
-                    if len(seen) < 1 << 18:     # a copy met again in this task brings nothing new
-                        seen.add((n, digest[i]))
                     more = 1 + n // EXTRA
                     query = min(n, n + (-num * n // den) + more)
                     index = n + (-2 * num * n // (num + den)) + more
@@ -291,7 +288,11 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100) -> DataFr
 
     # Token-group matrix.
     n_buckets = 1 << max(4, int(total / 4 / BUCKET_TOKENS).bit_length())
-    firsts = write_table(map_arrow(docs, _prefixes(levels, n_buckets, num, den),
+    # Only the rows of the classes' ids have a part in it, wherever their copies lie.
+    ids = classes.select(F.col("id").alias("need")).distinct()
+    few = ids.count() <= BROADCAST_IDS
+    chosen = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("need"), "left_semi")
+    firsts = write_table(map_arrow(chosen, _prefixes(levels, n_buckets, num, den),
                                    "bucket int, packed binary, token long, doc_id long, indexed boolean"), "firsts")
     rare = firsts.filter("packed is not null").select("bucket", "packed").groupBy("bucket").applyInArrow(
         _shared, "token long, doc_id long, indexed boolean, weight long")

@@ -44,6 +44,14 @@ def test_jaccard_hot_passage_and_thresholds(spark):
     assert got == brute.components(rows)
 
 
+def test_jaccard_copies_before_the_least_id(spark):
+    """Exact copies in descending doc_id in one partition; near copies in another size band."""
+    w = [f"v{i}" for i in range(104)]
+    rows = [(i, " ".join(w)) for i in (50, 40, 30, 10)] + [(60, " ".join(w[:100])), (55, " ".join(w[:99])), (70, " ".join(w[50:]))]
+    got = {r[0]: (r[1], r[2]) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got == brute.components(rows) and got[60] == (96, 10)
+
+
 def test_components_of_a_path(spark):
     n = 60
     edges = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
