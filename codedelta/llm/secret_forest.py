@@ -1,14 +1,16 @@
 """Secret scans: a random forest that separates secrets from false positives.
 
-Candidates are runs of at least ``LEAST_LENGTH`` letters, digits and ``+ / = _ -`` in a text.  Each is described
-by its length, shares of character kinds, changes of kind, entropy, the part of its letters that words of
+Candidates are runs of at least ``LEAST_LENGTH`` letters, digits and ``+ / _ -`` in a text, with the ``=`` that pad their
+end, and values of any length and characters that are assigned to a secret's name, in quotes or up to white space or
+a separator.  A run inside a value without white space is part of it.  Each candidate is described by its length, shares of character kinds, changes of kind, entropy, the part of its letters that words of
 the dictionary cover, by its document's path, and by the words before it.  The dictionary is the corpus's
 own: the most frequent words of 4 to 12 letters, counted over all texts.  The forest (Spark ML) is trained from
 labelled findings (doc_id, first_char, label) on at most about ``FIT_ROWS`` of them; of half of these the neighbourhood is
 hidden, so that the forest also learns from the characters alone.  Every candidate gets its probability.
 
 The tables hold no labelled findings.  The query labels those whose neighbourhood leaves no doubt: a value in quotes assigned
-to a secret's name is one; a candidate without digits, or of digits alone, that nothing is assigned to is none.
+to a secret's name is one if it has no white space; a candidate without digits, or of digits alone, that is assigned to nothing
+and holds no secret's name is none.
 
 Edge cases: null and empty texts have no candidates; equal candidates are separate findings; a null path has
 no path words; without findings of both labels every candidate with a secret's name before it counts as a
@@ -42,10 +44,16 @@ BEFORE = 64
 SECRET_FROM = 0.5
 CHARACTER_FEATURES = ["length", "digits", "uppers", "lowers", "others", "changes", "entropy", "hex", "vowels", "longest_letters", "dictionary"]
 CONTEXT_FEATURES = ["named", "assigned", "quoted", "sample_word", "word_before", "path_test", "path_config"]
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/=_\-])[A-Za-z0-9+/_\-][A-Za-z0-9+/=_\-]{%d,}" % (LEAST_LENGTH - 1))
-_NAME = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer)[\w.\-]*\W{0,6}$")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_\-])(?:[A-Za-z0-9+/_\-]{%d,}(?:=+(?![A-Za-z0-9+/=_\-]))?|[A-Za-z0-9+/_\-]+=+(?![A-Za-z0-9+/=_\-]))" % LEAST_LENGTH)
+_NAMES = r"(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer)"
+_NAME = re.compile(r"(?i)" + _NAMES + r"[\w.\-]*\W{0,6}$")
+_HOLDS_NAME = re.compile(r"(?i)" + _NAMES)
+_ASSIGNMENT = re.compile(r"(?:=>|:=|={1,3}|:(?!:|//))[^\S\n]*(?:(?i:bearer|basic)[^\S\n]+)?")
+#: In quotes, or bare up to white space, a separator or the next parameter of a URL; a quote may stay open.
+_VALUE = re.compile(r"""\"((?:[^"\\\n]|\\.)+)\"|'((?:[^'\\\n]|\\.)+)'|`([^`\n]+)`|["'`]?((?:[^\s"'`,;()\[\]{}<>&]|&(?![\w.\-]+=))+)""")
 _ASSIGNED = re.compile(r"(?:=|:|=>)\s*[\"'`]?$")
 _SAMPLE = re.compile(r"(?i)example|sample|dummy|placeholder|changeme|xxxx|test")
+_SPACE = re.compile(r"\s")
 _WORD = re.compile(r"[^\W\d_]{2,}\W*$")
 _TEST_PATH = re.compile(r"(?i)test|spec|fixture|example|sample|mock|docs?/")
 _CONFIG_PATH = re.compile(r"(?i)\.env|config|settings|secret|credential|\.(?:ya?ml|ini|toml|properties|pem|key)$")
@@ -104,7 +112,7 @@ def character_features(s: str) -> list[float]:
     count = [kinds.count(k) / n for k in range(4)]
     changes = sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, n - 1)
     _, freq = np.unique(np.frombuffer(s.encode(), np.uint8), return_counts=True)
-    p = freq / n
+    p = freq / freq.sum()
     longest = max((len(r) for r in re.findall(r"[A-Za-z]+", s)), default=0)
     letters = sum(c.isalpha() for c in s)
     vowels = sum(c in "aeiouAEIOU" for c in s) / max(1, letters)
@@ -112,13 +120,48 @@ def character_features(s: str) -> list[float]:
     return [float(n), *count, changes, float(-(p * np.log2(p)).sum()), float(hexed), vowels, float(longest)]
 
 
+def _tail(before: str) -> str:
+    return before[-BEFORE:].rsplit("\n", 1)[-1]
+
+
+def _named(tail: str) -> bool:
+    return bool(_NAME.search(tail.rstrip("\"'` ").rstrip("=:> ")))
+
+
+def candidates(text: str) -> list[tuple[int, int]]:
+    """(first, end) of the candidates of a text, one for each first."""
+    found: dict = {}
+    solid = []
+    for m in _ASSIGNMENT.finditer(text):
+        if not _named(_tail(text[max(0, m.end() - BEFORE):m.end()])):
+            continue
+        v = _VALUE.match(text, m.end())
+        if v is None:
+            continue
+        a, b = v.span(v.lastindex)
+        if v.lastindex == 4:       # the end of a sentence is none of the value
+            b = a + len(text[a:b].rstrip(".:"))
+        if a < b:
+            found[a] = max(found.get(a, 0), b)
+            if not _SPACE.search(text, a, b):
+                solid.append((a, b))
+    at = far = 0
+    for m in _RUN.finditer(text):
+        a, b = m.span()
+        while at < len(solid) and solid[at][0] <= a:
+            far = max(far, solid[at][1])
+            at += 1
+        if b - a >= LEAST_LENGTH and b > far:
+            found[a] = max(found.get(a, 0), b)
+    return sorted(found.items())
+
+
 def context_features(before: str, after: str, path: str | None) -> list[float]:
-    tail = before[-BEFORE:].rsplit("\n", 1)[-1]
+    tail = _tail(before)
     assigned = bool(_ASSIGNED.search(tail))
     quoted = tail[-1:] in ("\"", "'", "`") and after[:1] == tail[-1:]
-    near = tail.rstrip("\"'` ").rstrip("=:> ")
     path = path or ""
-    return [float(bool(_NAME.search(near))), float(assigned), float(quoted), float(bool(_SAMPLE.search(tail))), float(bool(_WORD.search(tail))),
+    return [float(_named(tail)), float(assigned), float(quoted), float(bool(_SAMPLE.search(tail))), float(bool(_WORD.search(tail))),
             float(bool(_TEST_PATH.search(path))), float(bool(_CONFIG_PATH.search(path)))]
 
 
@@ -126,7 +169,8 @@ def _coverage(texts: list[str], words: np.ndarray) -> np.ndarray:
     """Part of the letters of each text that lie in a word of the dictionary."""
     if not texts:
         return np.empty(0)
-    data = np.frombuffer("\n".join(texts).encode(), np.uint8)
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b"\n".join(raw), np.uint8)
     hashes = textnp.SpanHashes(data)
     letters = _letters()[data]
     runs = np.concatenate([[0], np.cumsum(letters)])
@@ -141,8 +185,9 @@ def _coverage(texts: list[str], words: np.ndarray) -> np.ndarray:
             np.add.at(edge, hit, 1)
             np.add.at(edge, hit + size, -1)
     covered = (np.cumsum(edge[:-1]) > 0) & letters
-    ends = np.cumsum([len(t) for t in texts]) + np.arange(len(texts))
-    starts = ends - np.array([len(t) for t in texts])
+    sizes = np.array([len(t) for t in raw])
+    ends = np.cumsum(sizes) + np.arange(len(raw))
+    starts = ends - sizes
     total = np.concatenate([[0], np.cumsum(covered)])
     return (total[ends] - total[starts]) / np.maximum(runs[ends] - runs[starts], 1)
 
@@ -167,12 +212,12 @@ def _findings(words: np.ndarray):
                 if not text:
                     continue
                 path = path.as_py()
-                for m in _CANDIDATE.finditer(text):
-                    s, a, b = m[0], m.start(), m.end()
+                for a, b in candidates(text):
+                    s = text[a:b]
                     chars = character_features(s)
                     near = context_features(text[max(0, a - BEFORE):a], text[b:b + 1], path)
-                    marked = near[0] == 1 and near[1] == 1 and near[2] == 1 and not near[3]
-                    plain = not near[0] and not near[1] and (chars[1] == 0 or chars[1] == 1)
+                    marked = near[0] == 1 and near[1] == 1 and near[2] == 1 and not near[3] and not _SPACE.search(s)
+                    plain = not near[0] and not near[1] and (chars[1] == 0 or chars[1] == 1) and not _HOLDS_NAME.search(s)
                     rows.append([doc_id.as_py(), a, b, hashlib.sha256(s.encode()).hexdigest(), *chars, *near, marked, plain])
                     texts.append(s)
                 if len(rows) >= 8192:

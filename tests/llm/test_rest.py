@@ -121,6 +121,27 @@ def test_secrets(spark, no_docs):
     assert secret_forest.scan(no_docs).collect() == []
 
 
+def test_secret_candidates():
+    of = lambda text: [text[a:b] for a, b in secret_forest.candidates(text)]
+    assert of('password = "hunter2Secret"') == ["hunter2Secret"]
+    assert of("token: eyJhbGciOi.eyJzdWIi.abcdEFGH12.") == ["eyJhbGciOi.eyJzdWIi.abcdEFGH12"]
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    assert of(f"AWS_SECRET_ACCESS_KEY={key}") == ["AWS_SECRET_ACCESS_KEY", key]
+    assert of("password=correcthorsebattery") == ["correcthorsebattery"]
+    assert of("x QWxhZGRpbjpvcGVuIA== y") == ["QWxhZGRpbjpvcGVuIA=="] and of("secret=QWxhZGRpbjpvcGVuIA==") == ["QWxhZGRpbjpvcGVuIA=="]
+    assert of("?api_key=k1&user=me {'pwd': 'pä ss'}") == ["k1", "pä ss"]
+    assert of("size = 12, name: value") == of("") == []
+
+
+def test_secret_findings(spark):
+    rows = [(1, "AWS_SECRET_ACCESS_KEY=abc/def", None), (2, "password=correcthorsebattery", None), (3, 'pwd: "pässwörd1"', None), (4, "correcthorsebattery", None)]
+    got = {(r["doc_id"], r["first_char"]): r for r in secret_forest.findings(
+        spark.createDataFrame(rows, "doc_id long, text string, source string"), np.empty(0, np.uint64)).collect()}
+    assert {k: (r["named"], r["assigned"], r["marked"], r["plain"]) for k, r in got.items()} == {
+        (1, 0): (0, 0, False, False), (1, 22): (1, 1, False, False), (2, 9): (1, 1, False, False), (3, 6): (1, 1, True, False), (4, 0): (0, 0, False, True)}
+    assert got[1, 22]["digest"] == hashlib.sha256(b"abc/def").hexdigest()
+
+
 # WARC
 
 PAGES = "page_id long, url string, html string, kind string, digest string"
