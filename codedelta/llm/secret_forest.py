@@ -38,8 +38,8 @@ TREES = 20
 DEPTH = 6
 DICTIONARY_WORDS = 50000
 WORD_SIZES = range(4, 13)
-#: A task reports a word from this count on; words of fewer cannot be among the frequent ones of a large corpus.
-LEAST_REPORTED = 3
+#: Distinct words whose counts a task holds before it reports them.
+HELD_WORDS = 1 << 20
 BEFORE = 64
 SECRET_FROM = 0.5
 CHARACTER_FEATURES = ["length", "digits", "uppers", "lowers", "others", "changes", "entropy", "hex", "vowels", "longest_letters", "dictionary"]
@@ -71,7 +71,7 @@ def _letters() -> np.ndarray:
 
 
 def _word_counts(batches):
-    """Frequent letter runs of a task's texts, by hash."""
+    """Letter runs of a task's texts with their counts, by hash; a run may come in several rows."""
     held: list = []
     counts = np.empty(0, np.int64)
     words = np.empty(0, np.uint64)
@@ -80,6 +80,9 @@ def _word_counts(batches):
         keys, inverse = np.unique(np.concatenate([words, *[h[0] for h in held]]), return_inverse=True)
         return keys, np.bincount(inverse, np.concatenate([counts, *[h[1] for h in held]]), len(keys)).astype(np.int64)
 
+    def rows():
+        return pa.record_batch([pa.array(words.view(np.int64)), pa.array(counts)], names=["word", "n"])
+
     for batch in batches:
         data, offsets = textnp.column_bytes(batch.column("text"))
         for lo, hi in textnp.pieces(offsets):
@@ -90,13 +93,12 @@ def _word_counts(batches):
             if len(held) == 16:
                 words, counts = merged()
                 held = []
-                if len(words) > 1 << 20:      # bounded: rare words go first
-                    some = counts > 1
-                    words, counts = words[some], counts[some]
+                if len(words) > HELD_WORDS:
+                    yield rows()
+                    words, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
     if held:
         words, counts = merged()
-    some = counts >= LEAST_REPORTED
-    yield pa.record_batch([pa.array(words[some].view(np.int64)), pa.array(counts[some])], names=["word", "n"])
+    yield rows()
 
 
 def dictionary(docs: DataFrame, size: int = DICTIONARY_WORDS) -> np.ndarray:

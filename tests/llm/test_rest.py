@@ -142,6 +142,22 @@ def test_secret_findings(spark):
     assert got[1, 22]["digest"] == hashlib.sha256(b"abc/def").hexdigest()
 
 
+def test_dictionary_does_not_depend_on_partitions(spark, monkeypatch):
+    letters = "abcdefghijklmnopqrst"
+    rows = [(k, f"thinly spread {c * 5} {letters[k % 4] * 6}") for k, c in enumerate(letters)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = secret_forest.dictionary(docs.coalesce(1), 6)
+    assert len(one) == 6 and (secret_forest.dictionary(docs.repartition(20), 6) == one).all()
+    monkeypatch.setattr(secret_forest, "HELD_WORDS", 2)
+    import pyarrow as pa
+    batches = [pa.record_batch([pa.array([t])], names=["text"]) for _, t in rows * 2]
+    total = defaultdict(int)
+    for b in secret_forest._word_counts(batches):
+        for w, n in zip(*(c.to_pylist() for c in b.columns)):
+            total[w] += n
+    assert sorted(total.values()) == [2] * 20 + [10] * 4 + [40] * 2
+
+
 # WARC
 
 PAGES = "page_id long, url string, html string, kind string, digest string"
