@@ -37,7 +37,6 @@ MAIN_WORDS = ({"article", "body"}, {"article", "content"}, {"article", "text"},
               {"story", "body"}, {"main", "content"}, {"page", "content"}, {"articlebody"}, {"maincontent"})
 #: Elements that a site's style tree may remove: containers, not paragraphs, headings, items or cells.
 CONTAINERS = frozenset("div section ul ol dl table aside nav header footer form figure address details center menu search".split())
-MOST_DEPTH = 12
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -235,9 +234,8 @@ def parse(source: str):
         signature, noise, main = _kind(tag, attrs)
         if tag == "header" and not any(e.main == 3 for e in stack):
             noise, main = 2, 0
-        depth = parent.depth + 1
-        key = key_of(parent.key, signature) if depth <= MOST_DEPTH else parent.key
-        e = Element(tag, key, parent, noise, main, depth)
+        key = key_of(parent.key, signature)
+        e = Element(tag, key, parent, noise, main, parent.depth + 1)
         parent.children.append(key)
         stack.append(e)
         elements.append(e)

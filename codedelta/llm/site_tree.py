@@ -6,8 +6,9 @@ text directly in it.  Over the m pages that have the node,
 
 * presentation importance: entropy of the presentations, to the base m;
 * content importance: 1 minus the mean, over the distinct blocks, of log_m(pages that have the block);
-* importance: 0.1 presentation + 0.9 mean of its parts, a part being a child node (its own importance) or a block
-  (content importance), weighted by their average share among the node's children.
+* importance: m + 0.1 presentation (1 - m), with m the mean of its parts, a part being a child node (its own importance) or
+  a block (content importance), weighted by their average share among the node's children.  Never less than m, so that
+  unique text does not lose importance with each element around it.
 
 Containers of low importance on at least ``LEAST_PAGES`` pages of a host are removed from each page, as are
 elements that HTML's own meaning marks (navigation, footers, forms, hidden parts) or whose class or id names them as
@@ -17,8 +18,8 @@ page keeps what its markup does not rule out.  Where a page has articles, the te
 elements named as content, else of the whole body without blocks that are mostly links.
 
 The counts are aggregated by Spark per (host, node, value) with map-side combination, so a host with a third
-of all pages is no more than its distinct nodes and values; importances are computed level by level from the deepest
-up.
+of all pages is no more than its distinct nodes and values; importances are computed from the deepest
+up: level by level to ``LEVELS``, and below that, where each level has few nodes, per branch in one step.
 
 Edge cases: null or empty html gives an empty text; a null or odd url belongs to the host of that string as far
 as it goes; repeated rows are separate pages; an empty table gives no rows.
@@ -36,8 +37,10 @@ from codedelta.llm.common import map_arrow, read_table, write_table
 LEAST_PAGES = 5
 LOW_IMPORTANCE = 0.2
 PRESENTATION = 0.1
+#: Depths that are a level of their own; the nodes below a node of the last one are handled together.
+LEVELS = 12
 NODE, STYLE, BLOCK = 0, 1, 2
-_COUNTS = "host string, kind int, node long, value long, depth int, container boolean, share double, text_share double"
+_COUNTS = "host string, kind int, node long, value long, depth int, container boolean, share double, text_share double, top long"
 
 
 def host_of(url):
@@ -49,7 +52,7 @@ def host_of(url):
 def _counts(batches):
     """What a page adds to its host's tree: a row per node, presentation and block of text."""
     names = [x.split()[0] for x in _COUNTS.split(", ")]
-    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.float64(), pa.float64()]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.float64(), pa.float64(), pa.int64()]
     for batch in batches:
         rows: list = []
         for host, source in zip(batch.column("host"), batch.column("html")):
@@ -57,9 +60,10 @@ def _counts(batches):
             elements, blocks = dom.parse(source.as_py() or "")
             nodes: dict = {}
             styles = set()
+            tops: dict = {}     # of a node below the levels, its ancestor of the last one
             for e in elements:
-                if e.depth > dom.MOST_DEPTH:
-                    continue
+                if e.depth > LEVELS:
+                    tops[e.key] = tops.get(e.parent.key, e.parent.key)
                 size = len(e.children)
                 text = e.children.count(0) / size if size else 0.0
                 have = nodes.get(e.key)
@@ -71,18 +75,17 @@ def _counts(batches):
                 styles.add((e.key, dom.text_key(repr(e.children))))
             share: dict = {}
             for e in elements:
-                if e.depth <= dom.MOST_DEPTH:
-                    for child in e.children:
-                        if child:
-                            share[child] = share.get(child, 0.0) + 1 / len(e.children)
+                for child in e.children:
+                    if child:
+                        share[child] = share.get(child, 0.0) + 1 / len(e.children)
             for key, (parent, depth, container, times, text, _) in nodes.items():
                 # Shares are means over the places of the parent on the page.
                 places = nodes[parent][3] if parent in nodes else 1
-                rows.append((host, NODE, key, parent, depth, container, share.get(key, 0.0) / places, text / times))
+                rows.append((host, NODE, key, parent, depth, container, share.get(key, 0.0) / places, text / times, tops.get(key)))
             for key, style in styles:
-                rows.append((host, STYLE, key, style, None, None, None, None))
+                rows.append((host, STYLE, key, style, None, None, None, None, None))
             for key, value in {(b.element.key, dom.text_key(b.text)) for b in blocks}:
-                rows.append((host, BLOCK, key, value, None, None, None, None))
+                rows.append((host, BLOCK, key, value, None, None, None, None, None))
             if len(rows) >= 50_000:
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
                 rows = []
@@ -91,11 +94,23 @@ def _counts(batches):
 
 
 def tree_counts(pages: DataFrame) -> DataFrame:
-    """(host, kind, node, value, n, depth, container, share, text_share): the merged counts of all pages."""
+    """(host, kind, node, value, n, depth, container, share, text_share, top): the merged counts of all pages."""
     p = pages.select(host_of(F.col("url")).alias("host"), "html")
     return (map_arrow(p, _counts, _COUNTS).groupBy("host", "kind", "node", "value")
             .agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("depth"), F.max("container").alias("container"),
-                 F.sum("share").alias("share"), F.sum("text_share").alias("text_share")))
+                 F.sum("share").alias("share"), F.sum("text_share").alias("text_share"), F.max("top").alias("top")))
+
+
+def _branch(table: pa.Table) -> pa.Table:
+    """The importances of the nodes below one node of the last level."""
+    t = table.to_pydict()
+    parts: dict = {}
+    values = [0.0] * table.num_rows
+    for i in sorted(range(table.num_rows), key=lambda i: -t["depth"][i]):
+        inner = (parts.get(t["node"][i], 0.0) + t["text_share"][i] * t["content"][i]) / t["pages"][i]
+        values[i] = inner + PRESENTATION * t["presentation"][i] * (1 - inner)
+        parts[t["parent"][i]] = parts.get(t["parent"][i], 0.0) + t["share"][i] * values[i]
+    return table.select(["host", "node", "parent", "container", "pages", "share", "depth"]).append_column("importance", pa.array(values, pa.float64()))
 
 
 def importances(counts: DataFrame) -> DataFrame:
@@ -103,7 +118,7 @@ def importances(counts: DataFrame) -> DataFrame:
     per_node = counts.groupBy("host", "node")
     n = F.col("n").cast("double")
     nodes = per_node.agg(
-        F.max(F.when(F.col("kind") == NODE, F.col("value"))).alias("parent"), F.max("depth").alias("depth"), F.max("container").alias("container"),
+        F.max(F.when(F.col("kind") == NODE, F.col("value"))).alias("parent"), F.max("depth").alias("depth"), F.max("container").alias("container"), F.max("top").alias("top"),
         F.sum(F.when(F.col("kind") == NODE, F.col("n"))).alias("pages"), F.sum("share").alias("share"), F.sum("text_share").alias("text_share"),
         F.sum(F.when(F.col("kind") == STYLE, n * F.log(n))).alias("style_log"), F.sum(F.when(F.col("kind") == STYLE, n)).alias("style_n"),
         F.sum(F.when(F.col("kind") == BLOCK, F.log(n))).alias("block_log"), F.count_if(F.col("kind") == BLOCK).alias("blocks"))
@@ -111,23 +126,24 @@ def importances(counts: DataFrame) -> DataFrame:
     many = F.col("pages") > 1
     # One page may show a node in several presentations: the base is their number then.
     entropy = F.log(F.col("style_n")) - F.col("style_log") / F.col("style_n")
-    nodes = nodes.select("host", "node", "parent", "depth", "container", "pages", "share", "text_share",
+    nodes = nodes.select("host", "node", "parent", "depth", "top", "container", "pages", "share", "text_share",
                          F.when(many, F.least(entropy / log_m, F.lit(1.0))).otherwise(1.0).alias("presentation"),
                          F.when(F.col("blocks") == 0, 0.0).when(many, 1 - F.col("block_log") / (F.col("blocks") * log_m)).otherwise(1.0).alias("content"))
     nodes = write_table(nodes, "nodes")
-    done = None
-    below = None     # (host, parent, sum of share x importance) of the level below
-    for depth in range(dom.MOST_DEPTH, -1, -1):
-        level = nodes.filter(F.col("depth") == depth)
-        if below is not None:
-            level = level.join(below, ["host", "node"], "left")
-        else:
-            level = level.withColumn("parts", F.lit(None).cast("double"))
+    done = write_table(nodes.filter(F.col("depth") > LEVELS).groupBy("host", "top").applyInArrow(
+        _branch, "host string, node long, parent long, container boolean, pages long, share double, depth int, importance double"), "branches")
+
+    def parts_of(level):     # (host, parent, sum of share x importance)
+        return level.groupBy("host", F.col("parent").alias("p")).agg(F.sum(F.col("share") * F.col("importance")).alias("parts")).withColumnRenamed("p", "node")
+    below = parts_of(done.filter(F.col("depth") == LEVELS + 1))
+    done = done.drop("depth")
+    for depth in range(LEVELS, -1, -1):
+        level = nodes.filter(F.col("depth") == depth).join(below, ["host", "node"], "left")
         inner = F.coalesce("parts", F.lit(0.0)) / F.col("pages") + F.col("text_share") / F.col("pages") * F.col("content")
-        level = level.withColumn("importance", PRESENTATION * F.col("presentation") + (1 - PRESENTATION) * inner)
+        level = level.withColumn("importance", inner + PRESENTATION * F.col("presentation") * (1 - inner))
         level = write_table(level.select("host", "node", "parent", "container", "pages", "share", "importance"), f"level{depth}")
-        below = level.groupBy("host", F.col("parent").alias("p")).agg(F.sum(F.col("share") * F.col("importance")).alias("parts")).withColumnRenamed("p", "node")
-        done = level if done is None else done.unionByName(level)
+        below = parts_of(level)
+        done = done.unionByName(level)
     return done.select("host", "node", "container", "pages", "importance")
 
 
@@ -146,16 +162,11 @@ def main_text(source: str, noise=frozenset()) -> str:
 
     def picked(noise) -> list:
         state: dict = {id(elements[0]): (False, not top and not named)}
-
-        def of(e):
-            have = state.get(id(e))
-            if have is None:
-                out, inside = of(e.parent)
-                out = out or _marked(e) or (e.key in noise and not e.holds_main and e.main < 2)
-                inside = inside or (e.main == top if top else e.main == 1)
-                state[id(e)] = have = out, inside
-            return have
-        found = [b for b in blocks if of(b.element) == (False, True)]
+        for e in elements[1:]:     # parents come first
+            out, inside = state[id(e.parent)]
+            out = out or _marked(e) or (e.key in noise and not e.holds_main and e.main < 2)
+            state[id(e)] = out, inside or (e.main == top if top else e.main == 1)
+        found = [b for b in blocks if state[id(b.element)] == (False, True)]
         if not top:
             found = [b for b in found if b.link_chars * 2 <= len(b.text)]
         return found

@@ -245,6 +245,20 @@ def test_site_tree_keeps_copied_articles(spark):
     assert site_tree.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_site_tree_at_depth(spark):
+    """Unique text stays and repeated containers go, however deep both lie."""
+    rows, expected = [], {99: "deep"}
+    for depth in (9, 13, 20):
+        for k in range(12):
+            own = f"<div class=deep><p>Own words {k}</p><p>More of {k}</p></div><div class=box><div>Always here</div><div>And this</div></div>"
+            page = "".join(f"<div class=c{chr(97 + i)}>" for i in range(depth)) + own + "</div>" * depth + f"<div class=q><p>Short {k}</p></div>"
+            rows.append((100 * depth + k, f"http://s{depth}.example/", f"<body>{page}</body>"))
+            expected[100 * depth + k] = f"Own words {k}\nMore of {k}\nShort {k}"
+    rows.append((99, "http://t.example/", "<div>" * 3000 + "deep"))
+    out = site_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r["page_id"]: r["text"] for r in out.collect()} == expected
+
+
 # tokens
 
 ODD = ["", None, "abc", "don't can't 'S", "a|b <|startoftext|> <|endoftext|>x", "x y z", "é́ ≮ Σας ΑΣ", "1a2b..c,'d--e", "İstanbul \x01 \x01x", "\n\n a \n\tb  c\r\n",
