@@ -1,7 +1,8 @@
 """A small HTML reader for main-text extraction: elements, blocks of text and their keys.
 
 It follows HTML's rules as far as block structure needs them: void and raw-text elements, omitted end tags of
-paragraphs, list items and table parts, unmatched end tags, comments.  An element's key is a hash
+paragraphs, list items and table parts, unmatched end tags, comments.  The text of an inline element marked as noise is dropped;
+one without end tag ends at the first block in it, else with the block around it.  An element's key is a hash
 of the path of tags and normalised classes from the root, so elements of the same template part have the
 same key on all pages of a site."""
 
@@ -130,6 +131,7 @@ def parse(source: str):
     stack, elements, blocks = [root], [root], []
     pieces: list[str] = []
     links = link_chars = 0
+    #: Of an inline noise element: tag, open ones of that tag, first block start tag in it, blocks opened in it.
     muted: list | None = None
     at, n = 0, len(source)
 
@@ -145,13 +147,25 @@ def parse(source: str):
             pieces = []
         link_chars = 0
 
+    def opened(tag: str) -> int:
+        """Index of the element that an end tag closes, 0 for none."""
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag == tag:
+                return i
+            if stack[i].tag in ("table", "article") and tag not in ("table", "article", "body", "html", "main", "section", "div"):
+                break
+        return 0
+
     def pop_to(index: int):
         flush()
         del stack[index:]
 
-    while at < n:
-        m = _TOKEN.search(source, at)
+    while True:
+        m = _TOKEN.search(source, at) if at < n else None
         if m is None:
+            if muted is not None and muted[2] is not None:     # never closed: it ends at the first block in it
+                at, muted = muted[2], None
+                continue
             if muted is None:
                 pieces.append(source[at:])
             break
@@ -174,23 +188,39 @@ def parse(source: str):
                 muted[1] += -1 if closing else 1
                 if muted[1] == 0:
                     muted = None
-            continue
+                continue
+            if tag in INLINE or tag in VOID:
+                continue
+            if not closing:
+                if tag not in RAW:
+                    if muted[2] is None:
+                        muted[2] = m.start()
+                    if not attrs.rstrip().endswith("/"):
+                        muted[3].append(tag)
+                    continue
+            elif tag in muted[3]:
+                del muted[3][len(muted[3]) - 1 - muted[3][::-1].index(tag):]
+                continue
+            elif not opened(tag):
+                continue
+            else:     # the block around it ends: it was not closed
+                again, muted = muted[2], None
+                if again is not None:
+                    at = again
+                    continue
         if tag in INLINE:
             if tag == "a":
                 links = max(0, links - 1) if closing else 1
             elif attrs and not closing and not attrs.rstrip().endswith("/") and _kind(tag, attrs)[1]:
-                muted = [tag, 1]
+                muted = [tag, 1, None, []]
             continue
         if tag == "br":
             pieces.append(" ")
             continue
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    pop_to(i)
-                    break
-                if stack[i].tag in ("table", "article") and tag not in ("table", "article", "body", "html", "main", "section", "div"):
-                    break
+            i = opened(tag)
+            if i:
+                pop_to(i)
             links = 0
             continue
         if tag in RAW:

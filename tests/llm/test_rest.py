@@ -222,6 +222,16 @@ def test_main_text_by_markup():
     assert len(site_tree.main_text("<article>" + "<p>word word</p>" * 20000 + "</article>")) == 20000 * 10 - 1
 
 
+def test_unclosed_inline_noise():
+    of = site_tree.main_text
+    assert of('<article><p>One <span class="ad">AD <b>x</b></p><p>Two</p><p>Three</p></article>') == "One\nTwo\nThree"
+    assert of('<article><p>One</p><small class="notice">AD<p>Two</p><div>Three</div></article><p>out</p>') == "One\nTwo\nThree"
+    assert of('<article><p>One <span class="ad">AD<p>Two<ul><li>a <em class="promo">b<li>c</ul></article>') == "One\nTwo\na\nc"
+    assert of('<p>One <span class="ad">AD<p>Two') == "One\nTwo" and of('<p>One <span class="ad">AD') == "One"
+    assert of('<article>One <span class="ad">AD <span>x</span><div>Buy <p>now</div></span> two<p>Three</article>') == "One two\nThree"
+    assert of('<article>One <span class="ad"><script>"</span>"</script>AD</span> two</article>') == "One two"
+
+
 def test_site_tree_removes_what_a_site_repeats(spark):
     """Template parts without telling names go; repeated paragraphs of the article stay."""
     rows = []
