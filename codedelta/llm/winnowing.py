@@ -13,7 +13,8 @@ Only fingerprint hashes of the items are offered for broadcast, through a table
 Catalyst reads and compares with its threshold; larger ones take a sort-merge join.
 
 Edge cases: a null text or item has no words; an item without words is never found; repeated
-document rows get equal results; items that share an id are taken as one item; an empty
+document rows get equal results; items that share an id are taken as one item; items with a null id
+count towards n_hit, windows and contaminated, and have no place in item_ids and n_items; an empty
 benchmark leaves every document clean.
 """
 
@@ -120,7 +121,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int
         return ((F.col("at") - o >= F.col("start")) & (F.col("i_at") - o >= F.col("i_start"))
                 & (F.size(mine) == F.col("span")) & (mine == item))
 
-    firsts = F.when(F.col("item_id").isNotNull(), F.transform(
+    firsts = F.when(F.col("i_at").isNotNull(), F.transform(
         F.filter(F.sequence(F.lit(0), lead), equal_at), lambda o: F.col("at") - o))
     return (hits.select("doc_id", "row_key", "n", "span", "item_id", F.explode_outer(firsts).alias("first"))
             .filter((F.col("span") == 0) | F.col("first").isNotNull()))

@@ -90,6 +90,14 @@ def test_contamination_edges(docs, no_docs, items, texts):
     assert len(twice) == 4 and len(set((r["doc_id"], r["n_hit"]) for r in twice)) == 2
 
 
+def test_contamination_by_items_without_id(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text), (2, "one two three"), (3, "nothing of it")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, " ".join(text.split()[5:17])), (None, "one two"), (7, " ".join(text.split()[:10]))], ITEMS)
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["item_ids"], r["contaminated"]) for r in winnowing.contamination(docs, items).collect()}
+    assert got == {1: (17, 1, ["7"], True), 2: (2, 0, [], True), 3: (0, 0, [], False)}
+
+
 def test_clean_documents(wide_docs, texts, items):
     out = winnowing.clean_documents(wide_docs, items)
     assert out.columns == wide_docs.columns
