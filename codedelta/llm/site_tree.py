@@ -167,7 +167,7 @@ def main_text(source: str, noise=frozenset()) -> str:
             out = out or _marked(e) or (e.key in noise and not e.holds_main and e.main < 2)
             state[id(e)] = out, inside or (e.main == top if top else e.main == 1)
         found = [b for b in blocks if state[id(b.element)] == (False, True)]
-        if not top:
+        if not top and not named:
             found = [b for b in found if b.link_chars * 2 <= len(b.text)]
         return found
 

@@ -222,6 +222,12 @@ def test_main_text_by_markup():
     assert len(site_tree.main_text("<article>" + "<p>word word</p>" * 20000 + "</article>")) == 20000 * 10 - 1
 
 
+def test_links_in_named_content_stay():
+    refs = '<p>Text</p><ul><li><a href="x">Reference one</a></ul>'
+    assert site_tree.main_text(f'<div class="entry-content">{refs}</div>') == "Text\nReference one"
+    assert site_tree.main_text(f"<div>{refs}</div>") == "Text"
+
+
 def test_unclosed_inline_noise():
     of = site_tree.main_text
     assert of('<article><p>One <span class="ad">AD <b>x</b></p><p>Two</p><p>Three</p></article>') == "One\nTwo\nThree"
