@@ -1,18 +1,15 @@
-"""Code elements (functions, methods, classes, imports) and lexical tokens.
+"""Code elements (functions, methods, classes, imports), the bracket tree, and lexical tokens.
 
-Elements are found over the whole text with one pattern per language: a signature may run over several lines, its
-brace may stand on the next line, and several may share a line (after ``;`` or a brace).  Parameters are split
-at the outermost level only.  Everything stays inside the row, so extraction never shuffles.  An element's text
-is its statement for imports and, for the others, the text up to the next element of the same side (a flat
-stand-in for a syntax node's text).
+Elements come from one linear scan of the whole text (``functions.codescan``): strings and comments are skipped, brackets
+paired, so an element's text ends at its own closing bracket, or for Python where the indentation ends; nested elements
+lie inside the text of the outer one.  Everything stays inside the row, so extraction never shuffles.
 
-Patterns below are this package's own extractor (the analysed tool used full grammars).
+The signatures are this package's own extractor (the analysed tool used full grammars).
 """
 
 from __future__ import annotations
 
-import re
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,176 +17,117 @@ from pyspark.sql import types as T
 
 from pyspark import cloudpickle
 
+import codedelta.functions.codescan as _codescan
 import codedelta.functions.matching as _matching
 from codedelta.functions.matching import only_in_second
 from codedelta.functions.text import pin
 
 # Ship the UDF and its helper by value: executors need no installed package.
+cloudpickle.register_pickle_by_value(_codescan)
 cloudpickle.register_pickle_by_value(_matching)
 cloudpickle.register_pickle_by_value(__import__(__name__, fromlist=["_"]))
 
-_WS = r"[ \t\r\n]*"
-_ID = r"[A-Za-z_$][A-Za-z0-9_$]*"
-# Inside parentheses: up to two further levels.
-_PLAIN = r"[^\x28\x29]*+"
-_INNER = rf"{_PLAIN}(?:\({_PLAIN}(?:\({_PLAIN}\){_PLAIN})*+\){_PLAIN})*+"
-_JAVA_MOD = r"(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)[ \t]+)*"
-
-# Per language: (kind, pattern, name group, parameter group) in test order.
-ELEMENT_PATTERNS: dict[str, list[tuple[str, str, int | None, int | None]]] = {
-    "javascript": [
-        ("function_declaration",
-         rf"(?:export[ \t]+)?(?:default[ \t]+)?(?:async[ \t]+)?function[ \t]*\*?[ \t]*({_ID})?{_WS}\(({_INNER})\)", 1, 2),
-        ("function",
-         rf"(?:export[ \t]+)?(?:const|let|var)[ \t]+{_ID}[ \t]*={_WS}(?:async[ \t]+)?function[ \t]*\*?[ \t]*({_ID})?{_WS}\(({_INNER})\)", 1, 2),
-        ("import_statement", r"""import[ \t{"'*](?:[^;\n{]|\{[^}]*\})*;?""", None, None),
-    ],
-    "java": [
-        ("class_declaration", rf"{_JAVA_MOD}class[ \t]+({_ID})", 1, None),
-        ("method_declaration",
-         rf"{_JAVA_MOD}[A-Za-z_][A-Za-z0-9_<>,.?\[\] ]*[ \t]+({_ID}){_WS}\(({_INNER})\){_WS}"
-         r"(?:throws[ \t\r\n]+[A-Za-z0-9_., \t\r\n]+)?\{", 1, 2),
-        ("import_declaration", r"import[ \t]+(?:static[ \t]+)?[A-Za-z0-9_.*]+[ \t]*;", None, None),
-    ],
-    "python": [
-        ("function_definition", rf"(?:async[ \t]+)?def[ \t]+({_ID})[ \t]*\(({_INNER})\)", 1, 2),
-        ("import_statement", r"import[ \t]+[^;\n]*", None, None),
-        ("import_from_statement", r"from[ \t]+[^ \t\r\n]+[ \t]+import[ \t]*(?:\([^\x29]*\)|[^;\n\x28]*)", None, None),
-    ],
-    "c": [
-        ("function_definition",
-         rf"[A-Za-z_][A-Za-z0-9_:<>,*& \t]*[ \t*&\r\n]([A-Za-z_][A-Za-z0-9_:~]*[ \t]*\(({_INNER})\)){_WS}"
-         rf"(?:const{_WS})?\{{", 1, 2),
-        ("preproc_include", r"#[ \t]*include[^\n]*", None, None),
-    ],
-}
-ELEMENT_PATTERNS["cpp"] = ELEMENT_PATTERNS["c"]
-
-
-def scan_pattern(language: str) -> str:
-    """Two groups: the text before the next signature, up to the start of a line or a ; { }, and the signature."""
-    plain = [re.sub(r"(?<!\\)\((?!\?)", "(?:", p) for _, p, _, _ in ELEMENT_PATTERNS[language]]
-    # \\G: matches follow each other, so a text without further signatures is read once.
-    return r"(?m)\G([\s\S]*?(?:^|[;{}]))([ \t]*(?:" + "|".join(plain) + "))"
-
-
-# Words that look like a name before "(" but start a statement.
-KEYWORDS = ["if", "for", "while", "switch", "catch", "return", "new", "else", "do", "try", "sizeof",
-            "throw", "case", "synchronized"]
-IMPORT_KINDS = ["import_statement", "import_declaration", "import_from_statement", "preproc_include",
-                "using_directive"]
+# Parsed languages.
+LANGUAGES = list(_codescan.LANGUAGES)
 FUNCTION_KINDS = ["function_declaration", "method_declaration", "function_definition"]
-LEAD_IDENT = r"^[A-Za-z_$][A-Za-z0-9_$]*"
-# A parameter: no comma outside brackets of up to three levels and quotes.
-PARAMETER = (r"""(?:[^,()<>\[\]{}"']|"[^"]*"|'[^']*'|=>|[(<\[{](?:[^()<>\[\]{}]|[(<\[{](?:[^()<>\[\]{}]|[(<\[{][^()<>\[\]{}]*[)>\]}])*[)>\]}])*[)>\]}]|["'<>()\[\]{}])+""")
-STRIP = r"^[ \t\r\n]+|[ \t\r\n]+$"
+IMPORT_KINDS = _codescan.IMPORT_KINDS
+STRIP = " \t\r\n"
 
 # Lexical tokens for node counts: identifiers, numbers, any other non-space character.
 TOKEN_PATTERN = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^ \t\n\r\f\x0B]"
 
 
-def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, STRIP, "")
-
-
-def _kind(line: Column, lang: Column) -> Column:
-    expr = None
-    for language, pats in ELEMENT_PATTERNS.items():
-        k = None
-        for kind, pat, name_g, _ in pats:
-            cond = line.rlike(r"^[ \t]*" + pat)
-            if name_g is not None:
-                ident = F.regexp_extract(F.regexp_extract(line, r"^[ \t]*" + pat, name_g), LEAD_IDENT, 0)
-                cond = cond & ~ident.isin(KEYWORDS)
-            k = F.when(cond, F.lit(kind)) if k is None else k.when(cond, F.lit(kind))
-        branch = (lang == language)
-        expr = F.when(branch, k) if expr is None else expr.when(branch, k)
-    return expr
-
-
-def _group(line: Column, lang: Column, kind: Column, which: int) -> Column:
-    expr = None
-    for language, pats in ELEMENT_PATTERNS.items():
-        for k, pat, name_g, params_g in pats:
-            g = name_g if which == 0 else params_g
-            if g is None:
-                continue
-            cond = (lang == language) & (kind == k)
-            val = F.regexp_extract(line, r"^[ \t]*" + pat, g)
-            expr = F.when(cond, val) if expr is None else expr.when(cond, val)
-    return expr
-
-
-def parameters(params_text: Column) -> Column:
-    """Parameter list: split at commas of the outermost level, trimmed, empties dropped."""
-    parts = F.transform(F.regexp_extract_all(params_text, F.lit(PARAMETER), 0), lambda p: _strip(p))
-    return F.filter(parts, lambda p: F.length(p) > 0)
-
-
-def _scanned(text: Column, lang: Column) -> Column:
-    """array<struct<gap, sig>>: what lies before each signature, and the signature."""
-    def of(group):
-        out = None
-        for language in ELEMENT_PATTERNS:
-            got = F.regexp_extract_all(text, F.lit(scan_pattern(language)), group)
-            out = F.when(lang == language, got) if out is None else out.when(lang == language, got)
-        return F.coalesce(out, F.array().cast("array<string>"))
-    return F.arrays_zip(of(1).alias("gap"), of(2).alias("sig"))
-
-
-def _found(scanned: Column, lang: Column) -> Column:
-    """Element starts: array<struct<pos, line, sig, kind>>; a keyword's statement is none."""
-    feeds = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
-    start = F.struct(F.lit(1).alias("pos"), F.lit(1).alias("line"),
-                     F.array().cast("array<struct<pos:int,line:int,sig:string,kind:string>>").alias("out"))
-
-    def step(acc, x):
-        pos, line = acc["pos"] + F.length(x["gap"]), acc["line"] + feeds(x["gap"])
-        return F.struct((pos + F.length(x["sig"])).alias("pos"), (line + feeds(x["sig"])).alias("line"), F.concat(
-            acc["out"], F.array(F.struct(pos.alias("pos"), line.alias("line"), x["sig"].alias("sig"), _kind(x["sig"], lang).alias("kind")))).alias("out"))
-    return F.filter(F.aggregate(scanned, start, step)["out"], lambda f: f["kind"].isNotNull())
-
-
-def _build(text: Column, found: Column, lang: Column) -> Column:
-    """Element structs from the text and the (materialised) starts."""
-    def build(e, i):
-        is_import = e["kind"].isin(IMPORT_KINDS)
-        nxt = F.coalesce(F.try_element_at(found, i + 2)["pos"], F.length(text) + 1)
-        seg = F.substring(text, e["pos"], nxt - e["pos"])
-        name = _group(e["sig"], lang, e["kind"], 0)
-        params = _group(e["sig"], lang, e["kind"], 1)
-        return F.struct(
-            i.alias("ord"), e["kind"].alias("kind"), e["line"].alias("line"),
-            F.when(F.length(name) > 0, name).alias("name"),
-            F.when(params.isNotNull(), parameters(params))
-             .otherwise(F.array().cast("array<string>")).alias("parameters"),
-            F.when(is_import, F.array(_strip(e["sig"]))).otherwise(F.array().cast("array<string>"))
-             .alias("imports"),
-            F.when(is_import, _strip(e["sig"])).otherwise(_strip(seg)).alias("text"))
-
-    return F.transform(found, build)
+_ELEMENT = T.StructType([
+    T.StructField("ord", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("line", T.IntegerType()),
+    T.StructField("name", T.StringType()), T.StructField("parameters", T.ArrayType(T.StringType())),
+    T.StructField("imports", T.ArrayType(T.StringType())), T.StructField("text", T.StringType())])
+_NODE = T.StructType([
+    T.StructField("kind", T.StringType()), T.StructField("pre", T.IntegerType()), T.StructField("post", T.IntegerType()),
+    T.StructField("depth", T.IntegerType()), T.StructField("parent", T.IntegerType()), T.StructField("start", T.IntegerType()),
+    T.StructField("stop", T.IntegerType())])
+
+
+def _element_rows(text, language):
+    if not text or language not in LANGUAGES:
+        return []
+    out = []
+    for i, (kind, start, end, line, name, params) in enumerate(_codescan.elements(text, language)):
+        own = text[start:end].strip(STRIP)
+        out.append((i, kind, line, name, params, [own] if kind in IMPORT_KINDS else [], own))
+    return out
+
+
+@F.pandas_udf(T.ArrayType(_ELEMENT))
+def _elements_udf(text: pd.Series, language: pd.Series) -> pd.Series:
+    return pd.Series([_element_rows(t, lang) for t, lang in zip(text, language)], dtype=object)
+
+
+#: Kinds that ``subtree_counts`` counts, in the order of its columns.
+COUNTED_KINDS = [_codescan.GROUP, _codescan.IDENTIFIER, _codescan.NUMBER, _codescan.STRING, _codescan.COMMENT, _codescan.PUNCTUATION]
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+def _running_udf(kinds: pd.Series) -> pd.Series:
+    """Per counted kind the running counts, from 0."""
+    def one(ks):
+        ks = np.asarray(ks, dtype=object)
+        return [np.concatenate([[0], np.cumsum(ks == kind)]).astype(np.int32) for kind in COUNTED_KINDS]
+    return pd.Series([one(ks) for ks in kinds], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(_NODE))
+def _nodes_udf(text: pd.Series, language: pd.Series) -> pd.Series:
+    return pd.Series([_codescan.nodes(t or "", lang) if lang in LANGUAGES else [] for t, lang in zip(text, language)], dtype=object)
 
 
 def with_elements(df: DataFrame, text: str, out: str, lang: str = "language") -> DataFrame:
     """Adds ``out``: array<struct<ord, kind, line, name, parameters, imports, text, eq>> of the text, in
-    source order.  Each signature is classified once; nothing leaves the row."""
-    full = F.coalesce(F.col(text), F.lit(""))
-    d = df.withColumn("_scan", pin(_scanned(full, F.col(lang)))).withColumn("_found", pin(_found(F.col("_scan"), F.col(lang))))
-    keyed = F.transform(_build(full, F.col("_found"), F.col(lang)), lambda e: e.withField("eq", equivalence_key(e)))
-    return d.withColumn(out, pin(keyed)).drop("_found", "_scan")
+    source order (none for other languages); nothing leaves the row."""
+    found = df.withColumn(out, _elements_udf(F.col(text), F.col(lang)))
+    return found.withColumn(out, pin(F.transform(out, lambda e: e.withField("eq", equivalence_key(e)))))
 
 
-def elements(pairs: DataFrame, key: str = "pair_id", lang: str = "language",
-             legacy: str = "legacy", refactored: str = "refactored") -> DataFrame:
-    """Long element rows: (key, side, ord, kind, line, name, parameters, imports, text)."""
-    sides = pairs.select(key, lang, F.explode(F.array(
+def _sides(pairs: DataFrame, key: str, lang: str, legacy: str, refactored: str) -> DataFrame:
+    return pairs.select(key, lang, F.explode(F.array(
         F.struct(F.lit("legacy").alias("side"), F.col(legacy).alias("source")),
         F.struct(F.lit("refactored").alias("side"), F.col(refactored).alias("source")),
     )).alias("s")).select(key, lang, "s.side", "s.source")
-    out = with_elements(sides, "source", "_els", lang)
+
+
+def elements(pairs: DataFrame, key: str = "pair_id", lang: str = "language",
+             legacy: str = "legacy", refactored: str = "refactored") -> DataFrame:
+    """Long element rows: (key, side, ord, kind, line, name, parameters, imports, text)."""
+    out = with_elements(_sides(pairs, key, lang, legacy, refactored), "source", "_els", lang)
     return out.select(key, "side", F.explode("_els").alias("e")).select(key, "side", "e.*").drop("eq")
 
 
+def node_rows(pairs: DataFrame, key: str = "pair_id", lang: str = "language",
+              legacy: str = "legacy", refactored: str = "refactored") -> DataFrame:
+    """All nodes of the bracket trees: (key, side, pre, post, depth, parent, kind, size, text), text null for inner nodes.
+
+    A node's subtree holds the nodes from ``pre`` to ``post``, so it is a range of the array and ``size`` a difference."""
+    d = _sides(pairs, key, lang, legacy, refactored).withColumn("_nodes", _nodes_udf(F.col("source"), F.col(lang)))
+    rows = d.select(key, "side", "source", F.explode("_nodes").alias("n"))
+    leaf = ~F.col("n.kind").isin(_codescan.ROOT, _codescan.GROUP)
+    return rows.select(key, "side", "n.pre", "n.post", "n.depth", "n.parent", "n.kind", (F.col("n.post") - F.col("n.pre") + 1).alias("size"),
+                       F.when(leaf, F.substring("source", F.col("n.start") + 1, F.col("n.stop") - F.col("n.start"))).alias("text"))
+
+
+def subtree_counts(pairs: DataFrame, key: str = "pair_id", lang: str = "language",
+                   legacy: str = "legacy", refactored: str = "refactored") -> DataFrame:
+    """Per inner node (key, side, pre, depth, size) the nodes of its subtree by kind, by interval: a node counts where its ``pre`` lies
+    between ``pre`` and ``post``.  Running counts over the row's array turn that into two look-ups."""
+    d = _sides(pairs, key, lang, legacy, refactored).withColumn("_nodes", _nodes_udf(F.col("source"), F.col(lang))).drop("source")
+    d = d.withColumn("_upto", _running_udf(F.transform("_nodes", lambda n: n["kind"])))
+    rows = d.select(key, "side", "_upto", F.explode(F.filter("_nodes", lambda n: n["kind"].isin(_codescan.ROOT, _codescan.GROUP))).alias("n"))
+
+    def within(k):
+        upto = F.col("_upto")[k]
+        return (F.element_at(upto, F.col("n.post") + 2) - F.element_at(upto, F.col("n.pre") + 1)).cast("long")
+    return rows.select(key, "side", "n.pre", "n.depth", (F.col("n.post") - F.col("n.pre") + 1).alias("size"),
+                       *[within(k).alias(f"n_{kind}") for k, kind in enumerate(COUNTED_KINDS)])
+
+
 def equivalence_key(e: Column) -> Column:
     """64-bit key of "same type, same text, same metadata", compared within one pair only."""
     return F.xxhash64(e["kind"], e["text"], F.coalesce(e["name"], F.lit("\u0000")), e["parameters"], e["imports"])
