@@ -12,6 +12,22 @@ INVALID_TYPE_MESSAGE = "Invalid file type. Only source code files are allowed."
 LANGUAGE_MESSAGE = '"language" must be one of [' + ", ".join(ACCEPTED_LANGUAGES) + "]"
 
 
+def uri_pattern(possessive: bool = False) -> str:
+    """A URI: scheme, authority or path, query and fragment of the characters that RFC 3986 allows.  Possessive for Java, whose matcher
+    calls itself for every repeat of a plain group."""
+    many, some = ("*+", "++") if possessive else ("*", "+")
+    char = r"(?:[A-Za-z0-9._~!$&'()*+,;=:@-]|%[0-9A-Fa-f][0-9A-Fa-f])"
+    host = r"(?:[A-Za-z0-9._~!$&'()*+,;=:@-]|%[0-9A-Fa-f][0-9A-Fa-f]|\[[0-9A-Fa-f:.]+\])"
+    path = f"(?:/{char}{many}){many}"
+    rest = f"(?:{char}|[/?]){many}"
+    return (f"^[A-Za-z][A-Za-z0-9+.-]{many}:(?://{host}{many}{path}|/(?:{char}{some}{path})?|{char}{some}{path})"
+            rf"(?:\?{rest})?(?:#{rest})?$")
+
+
+def is_uri(c: Column) -> Column:
+    return c.rlike(uri_pattern(possessive=True))
+
+
 def request_errors(language: Column, sides: list[tuple[str, Column, Column, Column]]) -> Column:
     """array<string> of validation messages (empty when valid).
 
@@ -23,7 +39,8 @@ def request_errors(language: Column, sides: list[tuple[str, Column, Column, Colu
             F.when(typ.isNull() | ~typ.isin(SOURCE_TYPES),
                    F.lit(f'"{name}.type" must be one of [' + ", ".join(SOURCE_TYPES) + "]")),
             F.when((typ == "paste") & (content.isNull() | (content == "")), F.lit(f'"{name}.content" is required')),
-            F.when((typ == "repo") & (url.isNull() | (url == "")), F.lit(f'"{name}.url" is required')),
+            F.when((typ == "repo") & (url.isNull() | (url == "")), F.lit(f'"{name}.url" is required'))
+             .when((typ == "repo") & ~is_uri(url), F.lit(f'"{name}.url" must be a valid uri')),
         ]
     return F.array_compact(F.array(*checks))
 
