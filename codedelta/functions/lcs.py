@@ -116,7 +116,7 @@ def align(a, b, context: int = 4, row_bits: int = 1 << 24):
     """Return (lcs, marks, a_idx, b_idx) for the unified patch rows.
 
     ``marks`` is a string with one of ' ', '-', '+' per patch row; ``a_idx`` /
-    ``b_idx`` are 0-based line numbers on each side (-1 where not applicable).
+    ``b_idx`` are the lines of each side before the row, that is the row's 0-based line number where it has one.
     Patch rows are changed lines plus up to ``context`` unchanged lines on each
     side of a change (groups closer than 2*context merge, as in a unified diff).
     """
@@ -143,10 +143,10 @@ def align(a, b, context: int = 4, row_bits: int = 1 << 24):
             ia += 1
             ib += 1
         elif op == DELETE:
-            seq.append((op, ia, -1))
+            seq.append((op, ia, ib))
             ia += 1
         else:
-            seq.append((op, -1, ib))
+            seq.append((op, ia, ib))
             ib += 1
     changed = [k for k, (op, _, _) in enumerate(seq) if op != KEEP]
     keep = [False] * len(seq)

@@ -29,7 +29,7 @@ def pin(c: Column) -> Column:
 
     Catalyst's CollapseProject inlines a column referenced once, and a
     reference inside a higher-order-function lambda counts as one even though
-    the lambda runs per element.  A projection holding a non-deterministic
-    expression is never inlined, so ``when(rand >= 0, c)`` (always true) keeps
-    ``c`` evaluated once per row."""
-    return F.when(F.rand(0) >= F.lit(0.0), c)
+    the lambda runs per element; filters are pushed below a projection the same way.  A projection
+    holding a non-deterministic expression is never inlined nor passed, so ``when(id >= 0, c)`` with the row's running
+    id (always true) keeps ``c`` evaluated once per row.  (``rand() >= 0`` would not do: Catalyst folds it.)"""
+    return F.when(F.monotonically_increasing_id() >= 0, c)

@@ -42,19 +42,11 @@ def summary(types: Column) -> Column:
 
 def with_text_changes(aligned: DataFrame) -> DataFrame:
     """Adds line counts, the patch (marked rows with hunk headers), its lower-cased lines, added and removed text."""
-    entries = F.arrays_zip(F.col("_al.a_idx").alias("a"), F.col("_al.b_idx").alias("b"))
-
-    def side_text(mark):
-        picked = F.transform(entries, lambda e, i: F.when(
-            F.substring(F.col("_al.marks"), i + 1, 1) == mark,
-            F.element_at(F.col("_lb") if mark == "+" else F.col("_la"), (e["b"] if mark == "+" else e["a"]) + 1)))
-        return F.array_join(F.array_compact(picked), "\n")
-
-    return (aligned.withColumn("lines_added", (F.size("_lb") - F.col("_al.lcs")).cast("long"))
+    return (Dff.with_hunks(aligned).withColumn("lines_added", (F.size("_lb") - F.col("_al.lcs")).cast("long"))
             .withColumn("lines_removed", (F.size("_la") - F.col("_al.lcs")).cast("long"))
             .withColumn("patch_lower", pin(F.lower(Dff.patch_text_col())))
             .withColumn("text_diff", Dff.unified_diff_col())
-            .withColumn("added_text", side_text("+")).withColumn("removed_text", side_text("-")))
+            .withColumn("added_text", Dff.marked_text_col("+")).withColumn("removed_text", Dff.marked_text_col("-")))
 
 
 def analyze(spark: SparkSession, pairs: DataFrame, level: str = "file", key: str = "pair_id",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from codedelta.operators import diff
 from codedelta.plans.registry import register
 from codedelta.plans.sqlviews import LINE_RE, with_views
@@ -58,6 +60,23 @@ def line_diff_aligned(spark, sf_dir):
 
 @register("patch_context")
 def patch_context(spark, sf_dir):
-    """Unified patch rows (rows-only check: which of several minimal scripts is
-    shown is engine-specific)."""
-    return diff.patch_rows(diff_pairs(spark, sf_dir))
+    """Unified patch rows.  Which of several minimal scripts is shown is a matter of the engine, so the rows have no SQL of their own;
+    ``patch_apply`` holds them to the new texts and ``patch_counts`` to the least number of changed lines."""
+    return diff.patch_rows(diff_pairs(spark, sf_dir)).select("pair_id", "seq", "mark", "line")
+
+
+@register("patch_apply", with_views("SELECT pair_id, md5(coalesce(refactored, '')) AS new_md5, false AS conflict FROM diff_pairs", "diff_pairs"))
+def patch_apply(spark, sf_dir):
+    """All patches applied to their old texts."""
+    pairs = diff_pairs(spark, sf_dir)
+    done = diff.apply_patch(pairs.select("pair_id", "legacy"), diff.patch_rows(pairs))
+    return done.select("pair_id", F.md5("text").alias("new_md5"), "conflict")
+
+
+@register("patch_counts", with_views("""
+SELECT t.k AS pair_id, CAST(len(t.b) - d.row_[len(d.row_)] AS BIGINT) AS plus, CAST(len(t.a) - d.row_[len(d.row_)] AS BIGINT) AS minus
+FROM d JOIN t ON d.k = t.k WHERE d.i = len(t.a) AND t.a <> t.b""", "diff_pairs", extra=LCS_DP_CTES, recursive=True))
+def patch_counts(spark, sf_dir):
+    """Added and removed rows per patch."""
+    rows = diff.patch_rows(diff_pairs(spark, sf_dir))
+    return rows.groupBy("pair_id").agg(F.count_if(F.col("mark") == "+").alias("plus"), F.count_if(F.col("mark") == "-").alias("minus"))

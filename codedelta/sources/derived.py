@@ -1,6 +1,6 @@
 """Code pairs and tool scores derived from the driver tables.
 
-Each builder has a DuckDB twin in ``codedelta.plans.oracle`` with the same
+Each builder has a DuckDB twin in ``codedelta.plans.sqlviews`` with the same
 definition, so both engines see identical inputs.
 """
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codedelta.functions.text import lines
+from codedelta.functions.text import line_key, lines
 from codedelta.sources.snippets import N_SNIPPETS, snippet_rows
 from codedelta.sources.tables import read_table
 
@@ -85,13 +85,13 @@ def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-copy documents: each document paired with the earlier document that is the first holder of most of its
     lines (ties: the least id).  Returns (k, old, nw).
 
-    Each line leads to its first document only, so a line of n documents gives n - 1 rows.  The first holders
+    Lines are compared by 96-bit keys.  Each line leads to its first document only, so a line of n documents gives n - 1 rows.  The first holders
     come from a partial aggregation; a line in very many documents is a skewed key of a plain equi-join,
     which adaptive execution splits."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    held = docs.select("doc_id", F.explode(F.array_distinct(lines(F.col("text")))).alias("line"))
-    first = held.groupBy("line").agg(F.min("doc_id").alias("first_doc"))
-    shared = (held.join(first, "line").filter(F.col("doc_id") > F.col("first_doc"))
+    held = docs.select("doc_id", F.inline(F.array_distinct(F.transform(lines(F.col("text")), line_key))))
+    first = held.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"))
+    shared = (held.join(first, ["h1", "h2"]).filter(F.col("doc_id") > F.col("first_doc"))
               .groupBy("doc_id", "first_doc").agg(F.count(F.lit(1)).alias("n")))
     # max_by is a partial aggregation: no window over a document's partners.
     best = shared.groupBy("doc_id").agg(F.max_by("first_doc", F.struct(F.col("n"), -F.col("first_doc"))).alias("first_doc"))

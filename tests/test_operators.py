@@ -106,11 +106,39 @@ def test_matching_is_not_all_pairs():
 def test_unified_diff_and_patch(spark):
     old, new = "".join(f"l{i}\n" for i in range(40)), "".join(f"l{i}\n" if i not in (3, 30) else "X\n" for i in range(40)) + "end"
     df = spark.createDataFrame([("a", old, new), ("b", old, old)], "pair_id string, legacy string, refactored string")
-    texts = {r[0]: r[1] for r in D.with_alignment(df).select("pair_id", D.unified_diff_col()).collect()}
+    texts = {r[0]: r[1] for r in D.with_hunks(D.with_alignment(df)).select("pair_id", D.unified_diff_col()).collect()}
     assert texts["b"] == "" and texts["a"].startswith("--- legacy\n+++ refactored\n@@ -1,8 +1,8 @@\n l0\n l1\n l2\n-l3\n+X\n l4")
     assert texts["a"].count("@@ -") == 3 and texts["a"].endswith("+end\n\\ No newline at end of file\n")
 
 
+def test_patches_applied_give_the_new_text(spark):
+    rnd = random.Random(3)
+    rows = [("none", None, "a\n"), ("to_none", "a\nb", None), ("same", "a", "a"), ("end", "a\nb", "a\nb\n"), ("all", "a\n", "b\n")]
+    for k in range(150):
+        old = [rnd.choice("abcde") + rnd.choice(["\n", "\r\n"]) for _ in range(rnd.randint(0, 60))]
+        new = list(old)
+        for _ in range(rnd.randint(0, 6)):
+            at = rnd.randint(0, len(new))
+            new[at:at + rnd.randint(0, 3)] = [rnd.choice("abcxy") + "\n" for _ in range(rnd.randint(0, 3))]
+        rows.append((f"r{k}", "".join(old), "".join(new) + rnd.choice(["", "tail"])))
+    df = spark.createDataFrame(rows, "pair_id string, legacy string, refactored string").repartition(3)
+    patch = D.patch_rows(df)
+    got = {r.pair_id: (r.text, r.conflict) for r in D.apply_patch(df.select("pair_id", "legacy"), patch).collect()}
+    assert got == {i: (new or "", False) for i, _, new in rows}
+    other = D.apply_patch(df.select("pair_id", F.lit("z\n").alias("legacy")), patch.filter("pair_id in ('all', 'end')"))
+    assert {r.pair_id: (r.text, r.conflict) for r in other.filter("pair_id in ('all', 'end', 'same')").collect()} == {
+        "all": (None, True), "end": (None, True), "same": ("z\n", False)}
+
+
+def test_long_patch_is_linear(spark):
+    """Many changed places, each a hunk of its own."""
+    old = "".join(f"{i}\n" for i in range(20000))
+    new = "".join(f"{i}{'x' if i % 20 == 5 else ''}\n" for i in range(20000))
+    df = spark.createDataFrame([("p", old, new)], "pair_id string, legacy string, refactored string")
+    got = D.apply_patch(df.select("pair_id", "legacy"), D.patch_rows(df)).first()
+    assert got.text == new and not got.conflict
+
+
 def test_uploads_are_rejected_with_reasons(spark):
     rows = [("ok", f"f{i}.py", 10) for i in range(10)] + [("many", f"f{i}.JAVA", 10) for i in range(11)]
     rows += [("type", "a.py", 1), ("type", "a.exe", 1), ("large", "a.c", 11 * 1024 * 1024), ("large", "b.c", 1)]
