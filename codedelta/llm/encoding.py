@@ -14,11 +14,16 @@ import numpy as np
 from codedelta.llm import textnp
 
 #: Pieces that a worker remembers; beyond, it starts again.
-REMEMBERED = 1 << 21
+REMEMBERED = 1 << 20
 _SEPARATOR = "\x01"
 _encoders: dict = {}
 
 
+def forget() -> None:
+    """Drop all encoders with the pieces that they remember."""
+    _encoders.clear()
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
     return public_tokenizers.path(name)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codedelta.llm import textnp
-from codedelta.llm.common import map_arrow, read_table, without, write_table
+from codedelta.llm.common import give_back, map_texts, read_table, without, write_table
 from codedelta.llm.components import components
 
 WIDTH = 5
@@ -154,7 +154,7 @@ def _open(docs: DataFrame, members: DataFrame, queries: DataFrame, num: int, den
         texts = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("need"), "left_semi")
     full = rows.join(texts, F.col("id") == F.col("doc_id")).select("grp", "q_part", "m_part", "role", "id", "text")
     dealt = full.repartition("grp", "q_part", "m_part").sortWithinPartitions("grp", "q_part", "m_part", "role")
-    return map_arrow(dealt, _opened(num, den), _LINKS)
+    return map_texts(dealt, _opened(num, den), _LINKS)
 
 
 def _prefixes(levels: np.ndarray, n_buckets: int, num: int, den: int):
@@ -259,10 +259,16 @@ def _shared(table: pa.Table) -> pa.Table:
                     names=["token", "doc_id", "indexed", "weight"])
 
 
+def _tidy_shared(table: pa.Table) -> pa.Table:
+    out = _shared(table)
+    give_back()
+    return out
+
+
 def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id (the least doc_id that links reach)."""
     docs = docs.select("doc_id", "text")
-    profile = write_table(map_arrow(docs, _profile, _PROFILE), "profile")
+    profile = write_table(map_texts(docs, _profile, _PROFILE), "profile")
     sets = profile.filter("cell is null").drop("cell", "cell_count", "tokens")
     total = profile.filter("cell = -1").agg(F.sum("tokens")).first()[0] or 0
     # At most 2^18 cells.
@@ -292,10 +298,10 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100) -> DataFr
     ids = classes.select(F.col("id").alias("need")).distinct()
     few = ids.count() <= BROADCAST_IDS
     chosen = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("need"), "left_semi")
-    firsts = write_table(map_arrow(chosen, _prefixes(levels, n_buckets, num, den),
+    firsts = write_table(map_texts(chosen, _prefixes(levels, n_buckets, num, den),
                                    "bucket int, packed binary, token long, doc_id long, indexed boolean"), "firsts")
     rare = firsts.filter("packed is not null").select("bucket", "packed").groupBy("bucket").applyInArrow(
-        _shared, "token long, doc_id long, indexed boolean, weight long")
+        _tidy_shared, "token long, doc_id long, indexed boolean, weight long")
     often = firsts.filter("packed is null").select("token", "doc_id", "indexed", F.lit(1).cast("long").alias("weight"))
     entries = (rare.withColumn("hot", F.lit(0)).unionByName(often.withColumn("hot", F.lit(1)))
                .join(member, F.col("doc_id") == F.col("id")).select("hot", "token", "id", "n", "grp", "indexed", "weight"))

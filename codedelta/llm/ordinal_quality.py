@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codedelta.llm import textnp
-from codedelta.llm.common import map_arrow, read_table, write_table
+from codedelta.llm.common import map_texts, read_table, write_table
 
 FIT_ROWS = 8000
 CELL_BITS = 22
@@ -185,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ordin
     order = F.xxhash64(F.col("doc_id"), F.lit("fit"))
     sample = write_table(graded.orderBy(order, "doc_id").limit(fit_rows).select(F.col("doc_id").alias("_id"), "grade"), "graded")
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "grade", "text")
-    got = map_arrow(texts, _examples, "doc_id long, grade int, n_words long, cells binary, counts binary, shape binary").toArrow()
+    got = map_texts(texts, _examples, "doc_id long, grade int, n_words long, cells binary, counts binary, shape binary").toArrow()
     got = got.combine_chunks().sort_by("doc_id")       # the order of rows does not depend on the tasks that made them
     grade = np.asarray(got.column("grade")).astype(np.int64)
     present = np.unique(grade)
@@ -239,12 +239,12 @@ def _scored(model: Ordinal, keep_from: float, only_kept: bool):
 def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, keep_from: float = KEEP_FROM) -> DataFrame:
     """doc_id, expected_grade, p_good (P(grade >= 2)) and kept of every document row."""
     model = train(docs, labels, fit_rows)
-    return map_arrow(docs.select("doc_id", "text"), _scored(model, keep_from, False), "doc_id long, expected_grade double, p_good double, kept boolean")
+    return map_texts(docs.select("doc_id", "text"), _scored(model, keep_from, False), "doc_id long, expected_grade double, p_good double, kept boolean")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, keep_from: float = KEEP_FROM) -> DataFrame:
     """The documents that the classifier keeps, with their own columns."""
-    return map_arrow(docs, _scored(train(docs, labels, fit_rows), keep_from, True), docs.schema)
+    return map_texts(docs, _scored(train(docs, labels, fit_rows), keep_from, True), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

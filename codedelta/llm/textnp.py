@@ -95,7 +95,7 @@ def column_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def pieces(offsets: np.ndarray, most: int = 1 << 20):
+def pieces(offsets: np.ndarray, most: int = 1 << 18):
     """Row ranges of about ``most`` bytes; a longer text is a range by itself."""
     first = 0
     n = len(offsets) - 1

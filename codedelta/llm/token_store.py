@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codedelta.llm import textnp
-from codedelta.llm.common import BATCH_ROWS, map_arrow, new_path, read_table, write_table
+from codedelta.llm.common import BATCH_ROWS, map_texts, new_path, read_table, write_table
 from codedelta.llm.encoding import encoder, tokenizer_path
 
 END_ID = 2
@@ -180,7 +180,7 @@ def write_store(docs: DataFrame, out: str, vocabulary: str, kind: str = "words",
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = (docs.select("doc_id", "text").repartitionByRange(n, "doc_id")
                .sortWithinPartitions("doc_id", F.xxhash64("text")))
-    map_arrow(ordered, _shards(vocabulary, kind, end), _SHARD, 2 * BATCH_ROWS).write.parquet(out)
+    map_texts(ordered, _shards(vocabulary, kind, end), _SHARD, 2 * BATCH_ROWS, encodes=True).write.parquet(out)
 
 
 class Shard:
@@ -233,7 +233,7 @@ def read_store(spark, out: str) -> DataFrame:
             .join(parts, F.col("part") == F.col("p"))
             .select(F.col("part").alias("p"), F.col("seq").alias("s"), (F.col("shards_before") + F.col("parts_before")).alias("ids_before")))
     base = write_table(base, "shard_starts")
-    docs = map_arrow(store, _documents, "part long, seq long, doc_id long, before long, n_tokens long, ids_crc32 long")
+    docs = map_texts(store, _documents, "part long, seq long, doc_id long, before long, n_tokens long, ids_crc32 long")
     return (docs.join(base, (F.col("part") == F.col("p")) & (F.col("seq") == F.col("s")))
             .select("doc_id", (F.col("before") + F.col("ids_before")).alias("start"), "n_tokens", "ids_crc32"))
 
