@@ -56,23 +56,29 @@ def validate(requests: DataFrame, errors: Column) -> tuple[DataFrame, DataFrame]
 def domain_violations(df: DataFrame, key: str, enums: dict[str, list[str]] | None = None,
                       ranges: dict[str, tuple[float, float]] | None = None,
                       required: list[str] | None = None, unique: list[str] | None = None) -> DataFrame:
-    """(key, column, rule) rows for every enum / range / required / unique violation."""
-    parts = []
-    for c, allowed in (enums or {}).items():
-        parts.append(df.filter(F.col(c).isNotNull() & ~F.col(c).isin(allowed))
-                     .select(key, F.lit(c).alias("column"), F.lit("enum").alias("rule")))
-    for c, (lo, hi) in (ranges or {}).items():
-        parts.append(df.filter(~F.col(c).between(lo, hi))
-                     .select(key, F.lit(c).alias("column"), F.lit("range").alias("rule")))
-    for c in required or []:
-        parts.append(df.filter(F.col(c).isNull()).select(key, F.lit(c).alias("column"), F.lit("required").alias("rule")))
-    for c in unique or []:
-        dup = df.groupBy(c).count().filter("count > 1").select(c)
-        parts.append(df.join(dup, c).select(key, F.lit(c).alias("column"), F.lit("unique").alias("rule")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(key, column, rule) rows for every enum / range / required / unique violation; null keys and tied rows each for themselves.
+
+    Enum, range and required rules are tested in the row, in one scan whatever their number.  All unique columns are counted in
+    one aggregation over (column, 128-bit value key), and only the repeated values are joined back."""
+    checks = [(c, "enum", F.col(c).isNotNull() & ~F.col(c).isin(allowed)) for c, allowed in (enums or {}).items()]
+    checks += [(c, "range", ~F.col(c).between(lo, hi)) for c, (lo, hi) in (ranges or {}).items()]
+    checks += [(c, "required", F.col(c).isNull()) for c in required or []]
+    broken = F.array_compact(F.array(*[F.when(cond, F.struct(F.lit(c).alias("column"), F.lit(rule).alias("rule"))) for c, rule, cond in checks]))
+    found = df.select(F.col(key).alias(key), F.inline(broken)) if checks else None
+    if unique:
+        values = df.select(F.col(key).alias(key), F.inline(F.array(*[
+            F.struct(F.lit(c).alias("column"), F.md5(F.col(c).cast("string")).alias("value")) for c in unique]))).filter("value is not null")
+        repeated = values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+        again = values.join(repeated, ["column", "value"], "left_semi").select(key, "column", F.lit("unique").alias("rule"))
+        found = again if found is None else found.unionByName(again)
+    if found is None:
+        raise ValueError("no rules")
+    return found
+
+
+def violation_counts(violations: DataFrame, key: str) -> DataFrame:
+    """(column, rule, n): violations per rule."""
+    return violations.groupBy("column", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 def normalise_email(c: Column) -> Column:

@@ -10,6 +10,7 @@ from codedelta.plans.sqlviews import _q, with_views
 from codedelta.rules import ACCEPTED_LANGUAGES, SOURCE_TYPES
 from codedelta.sources.derived import code_pairs
 from codedelta.sources.intake import OPTIONS, parse_requests
+from codedelta.sources.tables import read_table
 
 # Raw requests made from the code pairs; by doc_id some fields are cut off, no object, of a wrong type or absent.
 _URLS = ["https://git.example.org/a/b.git", "git@git.example.org:a/b", "ssh://git@h:22/x?ref=1#top", "", "http://a b/", "file:///srv/x%20y"]
@@ -110,3 +111,31 @@ def json_requests(spark, sf_dir):
     return p.select("id", "language", (F.size("errors") == 0).alias("valid"), F.array_join("errors", ", ").alias("message"), *sides,
                     F.when(F.col("map_hints").isNotNull(), F.size("map_hints")).cast("long").alias("n_hints"),
                     *[c for _, c, _ in OPTIONS], "legacy_raw", "refactored_raw", "options_raw")
+
+
+# ------------------------------------------------------------- domain checks
+_RULES = {"enums": {"lang": ["en", "de", "fr"], "source": [f"src{i}" for i in range(15)]}, "ranges": {"n_chars": (100, 5000)},
+          "required": ["text", "lang"], "unique": ["doc_id", "text"]}
+_VIOLATIONS_SQL = " UNION ALL ".join(
+    [f"SELECT doc_id, '{c}' AS \"column\", 'enum' AS rule FROM documents WHERE {c} IS NOT NULL AND {c} NOT IN ({', '.join(_q(v) for v in vs)})" for c, vs in _RULES["enums"].items()]
+    + [f"SELECT doc_id, '{c}', 'range' FROM documents WHERE {c} < {lo} OR {c} > {hi}" for c, (lo, hi) in _RULES["ranges"].items()]
+    + [f"SELECT doc_id, '{c}', 'required' FROM documents WHERE {c} IS NULL" for c in _RULES["required"]]
+    + [f"SELECT doc_id, '{c}', 'unique' FROM documents WHERE {c} IN (SELECT {c} FROM documents GROUP BY {c} HAVING count(*) > 1)" for c in _RULES["unique"]])
+
+
+@register("domain_checks", _VIOLATIONS_SQL)
+def domain_checks(spark, sf_dir):
+    """Every violated rule of the document table."""
+    return ST.domain_violations(read_table(spark, sf_dir, "documents"), "doc_id", **_RULES)
+
+
+@register("domain_counts", f'SELECT "column", rule, count(*) AS n FROM ({_VIOLATIONS_SQL}) GROUP BY ALL')
+def domain_counts(spark, sf_dir):
+    return ST.violation_counts(domain_checks(spark, sf_dir), "doc_id")
+
+
+@register("delete_not_found", with_views("SELECT pair_id FROM (VALUES ('p-missing'), ('p1'), ('px')) v(pair_id) WHERE pair_id NOT IN (SELECT pair_id FROM code_pairs)", "code_pairs"))
+def delete_not_found(spark, sf_dir):
+    """Ids to delete that the table does not hold."""
+    ids = spark.createDataFrame([("p-missing",), ("p1",), ("px",)], "pair_id string")
+    return ST.delete_ids(code_pairs(spark, sf_dir).select("pair_id"), ids)[1]

@@ -165,6 +165,7 @@ function migrate(prisma) {
 }""", None, None),
     # 9 javascript
     ("javascript", """import yaml from 'js-yaml';
+const flags = require('node-gpl-flags');
 function deploy(cluster) {
   // dockerfile and docker-compose for kubernetes (k8s) via helm, one container each
   var private_key = "-----BEGIN KEY-----";
@@ -201,6 +202,7 @@ def read_one(path):
 # gnu-affero-general-public-license""", "read_one", "read_first"),
     # 12 python
     ("python", """import json
+import copyleft_tools
 from typing import List
 class Loader:
     def parse(self, text, strict):

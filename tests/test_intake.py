@@ -56,3 +56,14 @@ def test_declared_schema_is_checked_on_read(spark, tmp_path):
                                          '{"analysis_id": "c", "status": null, "ts": "2024-01-01T00:00:00Z"}\n{"analysis_id": "d", "status": "failed", "ts": "2024-01-01T00:00:00Z", "seq": "x"}\n')
     rows, corrupt = S.read_declared(spark, str(tmp_path / "lines.json"), S.STATUS_EVENTS, "json")
     assert [r.analysis_id for r in rows.collect()] == ["a"] and corrupt.count() == 3
+
+
+def test_domain_violations(spark):
+    rows = [("a", "x", 5, 1), ("b", "y", 50, 1), (None, None, None, None), ("a", "z", -1, 2), ("c", "x", 7, 3)]
+    df = spark.createDataFrame(rows, "id string, kind string, v int, u int")
+    got = sorted(tuple(r) for r in ST.domain_violations(df, "id", {"kind": ["x", "y"]}, {"v": (0, 10)}, ["kind"], ["id", "u"]).collect() if r.id)
+    assert got == [("a", "id", "unique"), ("a", "id", "unique"), ("a", "kind", "enum"), ("a", "u", "unique"), ("a", "v", "range"),
+                   ("b", "u", "unique"), ("b", "v", "range")]
+    nulls = ST.domain_violations(df, "id", required=["kind"]).collect()
+    assert [tuple(r) for r in nulls] == [(None, "kind", "required")]
+    assert ST.domain_violations(df.filter("false"), "id", unique=["u"]).collect() == []
