@@ -20,9 +20,13 @@ WORD_CLASS = r"[^ \t-\r]"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the
-    session.  Only where none is set (tests, one machine) a scratch folder takes its place."""
+    session.  Only where none is set and Spark runs on one machine (tests) a scratch folder takes its place; elsewhere
+    the driver's folder would not be the executors'."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="llm-shared-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")

@@ -12,7 +12,8 @@ token that crosses a boundary goes by an explicit rule:
 Characters outside all sections belong to the section null.  A character cut by two tokens counts as part of both.
 
 Edge cases: a null or empty text has no tokens and one row per section it states, or a single empty section;
-null sections mean the lines of the text, each with its line feed; repeated document rows are attributed separately; an
+null sections mean the lines of the text, each with its line feed; a section with a null bound, or one that ends before it starts,
+has a row with 0 tokens; where sections overlap, the characters belong to the one that starts (then ends) first; repeated document rows are attributed separately; an
 empty table gives no rows.
 """
 
@@ -77,6 +78,24 @@ def attribute(first: np.ndarray, last: np.ndarray, starts: np.ndarray, ends: np.
     return counts, crossing
 
 
+def in_order(sections) -> tuple[list, list]:
+    """((first_char, end_char, section) in order, those that hold no characters by a null bound or an end before the start)."""
+    rows = [(s["first_char"], s["end_char"], s["section"]) for s in sections]
+    good = [s for s in rows if s[0] is not None and s[1] is not None and s[0] <= s[1]]
+    return sorted(good, key=lambda s: s[:2]), [s for s in rows if s not in good]
+
+
+def disjoint(sections) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of sections in order; a section begins where the ones before it end."""
+    if not sections:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ends = np.maximum.accumulate(np.array([s[1] for s in sections], np.int64))
+    before = np.concatenate([[ends[0]], ends[:-1]])
+    starts = np.array([s[0] for s in sections], np.int64)
+    starts[1:] = np.maximum(starts[1:], before[1:])
+    return starts, ends
+
+
 def _attributed(path: str, rule: str, with_sections: bool):
     names = ["doc_id", "section", "first_char", "end_char", "n_tokens", "n_crossing"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
@@ -108,18 +127,20 @@ def _attributed(path: str, rule: str, with_sections: bool):
                         starts = np.concatenate([[0], ends[:-1]])
                         numbers = list(range(len(ends)))
                     else:
-                        sections = sorted(((s["first_char"], s["end_char"], s["section"]) for s in sections), key=lambda s: s[:2])
-                        starts, ends = np.array([s[0] for s in sections], np.int64), np.array([s[1] for s in sections], np.int64)
-                        numbers = [s[2] for s in sections]
+                        held, empty = in_order(sections)
+                        starts, ends = disjoint(held)
+                        numbers = [s[2] for s in held]
                     a, b = bounds[i], bounds[i + 1]
                     counts, crossing = attribute(first[a:b] - base, last[a:b] - base, starts, ends, rule)
                     rows = len(numbers) + (1 if counts[-1] else 0)
-                    out[0].append(np.full(rows, i))
-                    out[1] += (numbers + [None])[:rows]
-                    out[2] += ([int(x) for x in starts] + [None])[:rows]
-                    out[3] += ([int(x) for x in ends] + [None])[:rows]
-                    out[4].append(counts[:rows])
-                    out[5].append(crossing[:rows])
+                    if sections is None:
+                        held, empty = list(zip(starts.tolist(), ends.tolist(), numbers)), []
+                    listed = [*[*held, (None, None, None)][:rows], *empty]
+                    out[0].append(np.full(len(listed), i))
+                    for column, at in ((1, 2), (2, 0), (3, 1)):
+                        out[column] += [s[at] for s in listed]
+                    out[4].append(np.concatenate([counts[:rows], np.zeros(len(empty))]))
+                    out[5].append(np.concatenate([crossing[:rows], np.zeros(len(empty), np.int64)]))
                 which = np.concatenate(out[0])
                 cols = [doc_ids.slice(lo, hi - lo).take(pa.array(which)), *out[1:4], np.concatenate(out[4]), np.concatenate(out[5])]
                 yield pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds)], names=names)

@@ -403,3 +403,13 @@ def test_pipeline_stages_keep_columns(spark, sf):
     docs = spark.read.parquet(sf + "/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns
+
+
+def test_sections_with_null_or_crossing_bounds(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta")], "doc_id long, text string")
+    sections = spark.createDataFrame([(1, 1, 0, 11), (1, 2, 6, 17), (1, 3, None, 5), (1, 4, 3, None), (1, 5, 9, 2), (1, 6, 2, 4)],
+                                     "doc_id long, section long, first_char long, end_char long")
+    got = {r.section: (r.first_char, r.end_char, r.n_tokens) for r in token_counts.count_tokens(docs, sections, rule="start").collect()}
+    whole = token_counts.count_tokens(docs).collect()[0].n_tokens
+    assert got[3] == (None, 5, 0) and got[4] == (3, None, 0) and got[5] == (9, 2, 0) and got[6][2] == 0
+    assert set(got) == {1, 2, 3, 4, 5, 6} and sum(v[2] for v in got.values()) == whole and got[2][2] > 0
