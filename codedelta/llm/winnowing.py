@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codedelta.llm.common import ascii_lower, let, non_empty, read_table, without, write_table
+from codedelta.llm.common import ascii_lower, fresh_name, let, non_empty, read_table, write_table
 
 K = 4
 WINDOW = 10
@@ -128,7 +128,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """One row per document row: doc_id, n_words, n_hit, n_items, item_ids (sorted strings), windows
+    """One row per document row: doc_id, row_key (hash of id and text), n_words, n_hit, n_items, item_ids (sorted strings), windows
     ([first, end) word ranges in order), contaminated."""
     m = matches(docs, benchmark, window, k)
     span = F.when(F.col("first").isNotNull(), F.struct("first", (F.col("first") + F.col("span")).alias("end")))
@@ -142,14 +142,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
         F.greatest(acc["to"], x["end"]).alias("to")))["n"]
     per = per.withColumn("n_hit", hit.cast("long"))
     per = per.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    return per.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids",
+    return per.select("doc_id", "row_key", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids",
                       F.col("found").alias("windows"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """The documents that hold no benchmark window, with their own columns."""
-    bad = write_table(contamination(docs, benchmark, window, k).filter("contaminated").select("doc_id").distinct(), "contaminated")
-    return without(docs, bad)
+    """The documents that hold no benchmark window, with their own columns.  Each row is judged by its own text, also
+    where rows share an id or have none."""
+    own, key = fresh_name(docs, "_own"), fresh_name(docs, "_key")
+    bad = write_table(contamination(docs, benchmark, window, k).filter("contaminated")
+                      .select(F.col("doc_id").alias(own), F.col("row_key").alias(key)).distinct(), "contaminated")
+    here = F.xxhash64("doc_id", "text")
+    return docs.join(bad, (here == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(own)), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

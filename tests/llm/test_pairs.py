@@ -105,6 +105,14 @@ def test_clean_documents(wide_docs, texts, items):
     assert sorted(r[0] for r in out.select("doc_id").collect()) == sorted(expected)
 
 
+def test_clean_documents_by_row(spark):
+    """Rows that share an id, or have none, are judged by their own texts."""
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, text), (None, "clean without id"), (4, text), (4, "clean with a shared id"), (4, "clean with a shared id"), (5, None)]
+    out = winnowing.clean_documents(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, text)], ITEMS))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([rows[1], rows[3], rows[4], rows[5]], key=str)
+
+
 def test_statistics(wide_docs, texts):
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     got = {r["doc_id"]: tuple(r[c] for c in names) for r in decision_list.statistics(wide_docs).collect()}
