@@ -3,9 +3,9 @@
 Documents are range-partitioned and sorted by doc_id, encoded, and written in shards of about
 ``SHARD_IDS`` ids, one Parquet row each.  Per shard the most frequent pairs of neighbouring symbols are replaced by
 new symbols, in rounds: a round counts all pairs in hashed cells, counts those of the fullest cells
-exactly, makes a rule for each pair that is frequent enough, and replaces its occurrences from left to right without
-overlaps.  Rounds end when no pair is frequent or after ``ROUNDS``.  A pair never holds the end id, so no rule
-spans two documents.
+exactly, makes a rule for each of up to ``RULES_PER_ROUND`` most frequent pairs, and replaces its occurrences from left to
+right without overlaps.  Rounds end when no pair occurs ``LEAST_COUNT`` times: a shard has fewer ids than any number of rounds
+could need, since every rule shortens it.  A pair never holds the end id, so no rule spans two documents.
 
 Format of a row (little-endian arrays): part, seq (order of the shard), base (first rule's symbol; smaller ones
 are ids), width (bytes of a symbol), doc_ids int64, n_tokens uint32, first uint32 (index of each document's first
@@ -31,7 +31,6 @@ from codedelta.llm.encoding import encoder, tokenizer_path
 
 END_ID = 2
 SHARD_IDS = 1 << 20
-ROUNDS = 4
 RULES_PER_ROUND = 1024
 LEAST_COUNT = 32
 CELL_BITS = 18
@@ -44,30 +43,30 @@ def _frequent_pairs(seq: np.ndarray, joinable: np.ndarray, most: int, least: int
     """The up to ``most`` most frequent neighbouring pairs, as left << 32 | right."""
     cell = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - CELL_BITS)
     counts = np.bincount(cell[joinable], minlength=1 << CELL_BITS)
-    full = counts >= least
-    if full.sum() > 2 * most:
-        full &= counts >= np.partition(counts, -2 * most)[-2 * most]
-    some = np.flatnonzero(joinable & full[cell])
-    if not len(some):
-        return np.empty(0, np.uint64)
-    code = (seq[some].astype(np.uint64) << np.uint64(32)) | seq[some + 1]
-    pairs, n = np.unique(code, return_counts=True)
-    good = n >= least
-    pairs, n = pairs[good], n[good]
+    every = counts >= least
+    full = every
+    if every.sum() > 2 * most:
+        full = every & (counts >= np.partition(counts, -2 * most)[-2 * most])
+    # Where the fullest cells hold no frequent pair, all cells that could are counted.
+    for cells in (full, every):
+        some = np.flatnonzero(joinable & cells[cell])
+        code = (seq[some].astype(np.uint64) << np.uint64(32)) | seq[some + 1]
+        pairs, n = np.unique(code, return_counts=True)
+        pairs, n = pairs[n >= least], n[n >= least]
+        if len(pairs) or cells is every:
+            break
     if len(pairs) > most:
         best = np.sort(np.argsort(-n, kind="stable")[:most])
         pairs = pairs[best]
     return pairs
 
 
-def repair(seq: np.ndarray, base: int, end: int = END_ID, rounds: int = ROUNDS, most: int = RULES_PER_ROUND, least: int = LEAST_COUNT):
+def repair(seq: np.ndarray, base: int, end: int = END_ID, most: int = RULES_PER_ROUND, least: int = LEAST_COUNT):
     """(symbols, rules): rule r makes symbol base + r of two earlier symbols."""
     seq = seq.astype(np.uint32)
     rules: list[np.ndarray] = []
     n_rules = 0
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         joinable = seq != end
         joinable = joinable[:-1] & joinable[1:]
         pairs = _frequent_pairs(seq, joinable, most, least)
@@ -90,6 +89,9 @@ def repair(seq: np.ndarray, base: int, end: int = END_ID, rounds: int = ROUNDS,
         offset = np.arange(len(at)) - run_first[np.cumsum(new_run) - 1]
         take = (offset & 1) == 0
         at, rule = at[take], rule[take]
+        # Pairs whose every occurrence overlaps one that was replaced make no rule.
+        used, rule = np.unique(rule, return_inverse=True)
+        pairs = pairs[used]
         seq[at] = (base + n_rules + rule).astype(np.uint32)
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
