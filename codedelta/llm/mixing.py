@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Every document has a fixed 60-bit hash of its id.  A source's budget is met by whole
+Every document has a fixed 60-bit hash: 36 bits of its id, then 24 of its text, which order rows that share an id.  A source's budget is met by whole
 passes over the source plus the documents whose hash lies below a threshold.  The
 threshold is found without sorting documents: words are summed by (source, top 12 bits);
 the bucket in which the budget ends is refined by the next 12 bits, and again by the
@@ -8,7 +8,7 @@ next 12, so each level adds up only the rows of one bucket of a source.  Thresho
 nested: a larger budget takes a superset of the documents of a smaller one.
 
 Edge cases: null text has size 0; the null source is a source (last in order); repeated
-rows share their id's hash and are taken alike; an empty table gives an empty result.
+rows with the same id (or none) and the same text are taken alike, rows that differ in either are not; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,13 +19,15 @@ from pyspark.sql import functions as F
 from codedelta.llm.common import WORD_CLASS, fresh_name, read_table, write_table
 
 BITS = 12
-LEVELS = 3
+LEVELS = 5
 HASH_BITS = 60
 
 
-def id_hash(col):
-    """60-bit hash of an id: the first 15 hex digits of the MD5 of its decimal form."""
-    return F.conv(F.substring(F.md5(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+def row_hash(doc_id, text):
+    """60-bit hash of a row: the first 9 hex digits of the MD5 of the decimal id and the first 6 of that of the text."""
+    def digits(value, n):
+        return F.substring(F.md5(F.coalesce(value, F.lit("")).cast("binary")), 1, n)
+    return F.conv(F.concat(digits(doc_id.cast("string"), 9), digits(text, 6)), 16, 10).cast("long")
 
 
 def level_bits(h, level: int):
@@ -60,11 +62,11 @@ def targets(sizes: DataFrame, weights=(5, 2, 1), max_repeat: int = 3, share: flo
 def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, h): the narrow table that all levels read."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_CLASS + "+")), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"), id_hash(F.col("doc_id")).alias("h"))
+    return docs.select("doc_id", "source", size.alias("size"), row_hash(F.col("doc_id"), F.col("text")).alias("h"))
 
 
 def mix(docs: DataFrame, weights=(5, 2, 1), max_repeat: int = 3, share: float = 1.0) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies (0 to ``max_repeat``).
+    """One row per document: doc_id, source, size, h, source_size, target, copies (0 to ``max_repeat``).
 
     ``share`` is the budget as a part of all words."""
     narrow = write_table(sized(docs), "sized")
@@ -98,16 +100,17 @@ def mix(docs: DataFrame, weights=(5, 2, 1), max_repeat: int = 3, share: float =
     top = F.shiftright(F.col("n.h"), HASH_BITS - BITS * LEVELS)
     once_more = F.coalesce((top < F.col("threshold")) | ((top == F.col("threshold")) & F.col("with_last")), F.lit(False))
     return (narrow.alias("n").join(t, F.col("n.source").eqNullSafe(F.col("t.source")))
-            .select("n.doc_id", "n.source", "n.size", "t.source_size", "t.target",
+            .select("n.doc_id", "n.source", "n.size", "n.h", "t.source_size", "t.target",
                     (F.col("passes") + once_more.cast("long")).alias("copies")))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, with its own columns."""
-    own, copies, source = (fresh_name(docs, n) for n in ("_id", "_copies", "_source"))
+    own, copies, source, key = (fresh_name(docs, n) for n in ("_id", "_copies", "_source", "_key"))
     taken = mix(docs, **options).filter("copies > 0").select(
-        F.col("doc_id").alias(own), F.col("source").alias(source), F.col("copies").alias(copies)).distinct()
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(own)) & F.col("source").eqNullSafe(F.col(source)))
+        F.col("doc_id").alias(own), F.col("source").alias(source), F.col("h").alias(key), F.col("copies").alias(copies)).distinct()
+    joined = docs.join(taken, (row_hash(F.col("doc_id"), F.col("text")) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(own))
+                       & F.col("source").eqNullSafe(F.col(source)))
     # A document is taken a few times at most.
     return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(fresh_name(docs, "_copy"))).select(*docs.columns)
 

@@ -66,6 +66,20 @@ def test_mixed_documents(wide_docs, no_docs):
     assert mixing.mixed_documents(no_docs).collect() == []
 
 
+def test_mix_of_rows_without_own_ids(spark):
+    """Rows of one id or none are taken each by itself, so that the target is met."""
+    rows = [(None if k % 2 else 7, " ".join([f"w{k}"] * 10), "a") for k in range(200)] + [(k, "x " * 50, "b") for k in range(20)] + [(1, "y " * 30, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(df).collect()
+    for s in ("a", "b", None):
+        target = next(r["target"] for r in out if r["source"] == s)
+        assert abs(sum(r["copies"] * r["size"] for r in out if r["source"] == s) - target) <= 50
+    taken = defaultdict(int)
+    for r in mixing.mixed_documents(df).collect():
+        taken[r["source"]] += len(r["text"].split())
+    assert dict(taken) == {s: sum(r["copies"] * r["size"] for r in out if r["source"] == s) for s in ("a", "b", None)}
+
+
 def test_thresholds_are_nested(docs):
     small = {r["doc_id"]: r["copies"] for r in mixing.mix(docs, share=0.5).collect()}
     large = {r["doc_id"]: r["copies"] for r in mixing.mix(docs, share=0.9).collect()}
@@ -324,6 +338,19 @@ def test_repair_round_trip_and_random_access():
     assert all((s.document(i) == d).all() for i, d in enumerate(docs))
 
 
+def test_repair_leaves_no_frequent_pair():
+    """Rounds go on until no pair is frequent, also with few rules a round; every rule is used."""
+    rng = np.random.default_rng(8)
+    seq = np.concatenate([np.tile(np.append(rng.integers(5, 90, 60), 2), 40), rng.integers(5, 40, 20000)])
+    for most in (3, 1024):
+        symbols, rules = token_store.repair(seq, 100, most=most, least=32)
+        inside = (symbols[:-1] != 2) & (symbols[1:] != 2)
+        pairs, n = np.unique(np.stack([symbols[:-1], symbols[1:]])[:, inside], axis=1, return_counts=True)
+        assert n.max() < 32
+        assert set(range(100, 100 + len(rules))) <= set(symbols.tolist()) | set(rules.ravel().tolist())
+        assert (token_store.expand(symbols.astype(np.int64), rules, 100)[0] == seq).all()
+
+
 def test_token_counts(odd_docs, no_docs):
     from tokenizers import Tokenizer
     rows, df = odd_docs
