@@ -3,8 +3,9 @@ status events — the data side of the analysed service, as table operators."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codedelta.rules import ACCEPTED_LANGUAGES, MAX_FILE_BYTES, MAX_FILES, SOURCE_TYPES, UPLOAD_EXTENSIONS
 
@@ -106,6 +107,63 @@ def page(df: DataFrame, order: list[Column], page_no: int, limit: int) -> DataFr
     return df.orderBy(*order).offset((page_no - 1) * limit).limit(limit)
 
 
+def seek_page(df: DataFrame, order: list[tuple[str, bool]], last: tuple | None, limit: int) -> DataFrame:
+    """The page that follows the row with the key ``last`` (None: the first page), without touching the pages before it.
+
+    ``order`` holds (column, descending); the columns are not null and their values together unique.  The plan is a filter and a
+    top-k, so its cost does not grow with the page number, and rows that arrive on earlier pages shift nothing."""
+    if last is not None:
+        after = F.lit(False)
+        for i, (name, desc) in enumerate(order):
+            here = F.col(name) < F.lit(last[i]) if desc else F.col(name) > F.lit(last[i])
+            for (before, _), value in zip(order[:i], last):
+                here = (F.col(before) == F.lit(value)) & here
+            after = after | here
+        df = df.filter(after)
+    return df.orderBy(*[F.desc(c) if desc else F.asc(c) for c, desc in order]).limit(limit)
+
+
+def page_bounds(df: DataFrame, ts: str, key: str, limit: int, width: str = "HOUR") -> DataFrame:
+    """(page, first_ts, first_key, last_ts, last_key, n) of every page of the listing by (ts descending, key): the keys that
+    ``seek_page`` continues from.
+
+    Two levels instead of one sort of all rows: rows are counted by time bucket (``width``: a unit of ``timestampdiff``), the
+    counts of the later buckets are summed over the few buckets, and only the rows of a bucket are ranked together."""
+    bucket = F.expr(f"timestampdiff({width}, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{ts}`)")
+    rows = df.select(F.col(ts).alias("ts"), F.col(key).alias("key"), bucket.alias("bucket"))
+    counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
+    later = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col("bucket").alias("b"), F.coalesce(F.sum("rows").over(later), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("ts"), "key"))
+    ranked = rows.withColumn("in_bucket", rank).join(counts, F.col("bucket") == F.col("b"))
+    place = F.col("before") + F.col("in_bucket")
+    ranked = ranked.select("ts", "key", place.alias("place"), (F.floor((place - 1) / limit) + 1).cast("long").alias("page"))
+    row = F.struct("ts", "key")
+    return ranked.groupBy("page").agg(F.min_by(row, "place").alias("f"), F.max_by(row, "place").alias("l"), F.count(F.lit(1)).alias("n")).select(
+        "page", F.col("f.ts").alias("first_ts"), F.col("f.key").alias("first_key"), F.col("l.ts").alias("last_ts"), F.col("l.key").alias("last_key"), "n")
+
+
+def write_results(results: DataFrame, path: str, batch_id: int, completed_at: Column | None = None, started: str = "submitted_at") -> None:
+    """Write a batch of results at ``path``, partitioned by language and batch.
+
+    Rows gain completed_at (null unless completed; default: now) and processing_ms since ``started``.  Overwriting is dynamic: a
+    batch that runs again replaces its own partitions and leaves all others.  Rows are rebalanced by language, which adaptive execution
+    splits where one language holds most of them."""
+    done = F.col("status") == "completed"
+    when = F.localtimestamp() if completed_at is None else completed_at
+    out = results.withColumn("completed_at", F.when(done, when)).withColumn(
+        "processing_ms", F.expr(f"timestampdiff(MICROSECOND, `{started}`, completed_at)") / 1000.0).withColumn("batch_id", F.lit(batch_id).cast("long"))
+    (out.hint("rebalance", "language").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("language", "batch_id").parquet(path))
+
+
+def read_results(spark, path: str, schema) -> DataFrame:
+    """The results at ``path`` (``schema``: that of the results before they were written); a language or batch prunes partitions."""
+    extra = T.StructType([T.StructField("completed_at", T.TimestampNTZType()), T.StructField("processing_ms", T.DoubleType()),
+                          T.StructField("batch_id", T.LongType())])
+    return spark.read.schema(T.StructType(schema.fields + extra.fields)).parquet(path)
+
+
 def page_envelope(df: DataFrame, limit: int) -> DataFrame:
     """total and pages = ceil(total / limit)."""
     return df.agg(F.count(F.lit(1)).alias("total")).select(
@@ -147,6 +205,24 @@ def status_events_from(events: DataFrame) -> DataFrame:
         .filter(F.col("status").isNotNull())
 
 
+#: What may follow a status; a finished analysis may be submitted again.
+NEXT_STATUS = {"pending": ["processing", "failed"], "processing": ["completed", "failed"], "completed": ["pending"], "failed": ["pending"]}
+
+
+def illegal_transitions(status_events: DataFrame) -> DataFrame:
+    """(analysis_id, seq, ts, previous, status): events whose status may not follow the one before them, in (ts, seq) order.
+
+    A status that repeats is no transition; the first event of an analysis must be pending (previous is null)."""
+    own = Window.partitionBy("analysis_id").orderBy("ts", "seq")
+    legal = [(F.col("previous") == a) & F.col("status").isin(*b) for a, b in NEXT_STATUS.items()]
+    ok = F.col("previous").isNull() & (F.col("status") == "pending")
+    for c in legal:
+        ok = ok | F.coalesce(c, F.lit(False))
+    return (status_events.withColumn("previous", F.lag("status").over(own))
+            .filter(~ok & ~F.col("previous").eqNullSafe(F.col("status")))
+            .select("analysis_id", "seq", "ts", "previous", "status"))
+
+
 def latest_status(status_events: DataFrame) -> DataFrame:
     """Latest status per analysis by (ts, seq) — a partial aggregation (max_by)."""
     return status_events.groupBy("analysis_id").agg(

@@ -26,4 +26,4 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from codedelta.plans import q_diff, q_elements, q_intake, q_kpi, q_report, q_risk, q_store  # noqa: F401
+    from codedelta.plans import q_diff, q_elements, q_intake, q_kpi, q_report, q_results, q_risk, q_store  # noqa: F401
