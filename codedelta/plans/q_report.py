@@ -189,9 +189,36 @@ def merge_types(spark, sf_dir):
         F.array_join(t["evidence"], "; ").alias("evidence"), F.round(t["confidence"], 6).alias("confidence")))))
 
 
-@register("classify_nodes")
+_NODE_RULES_SQL = "SELECT * FROM (VALUES " + ", ".join(
+    f"({seq}, {_q(t)}, {lv}, {_q(nt)}, {_q(txt)}, {_q(cond)})" for _o, t, lv, seq, nt, txt, cond in node_rules()) + \
+    ") v(seq, type, level, node_type, rule, condition)"
+
+
+def _node_hit(src: str, nodes: str, condition: str) -> str:
+    return f"""SELECT e.pair_id, '{src}' AS src, e.ord, e.kind, e.name, e.imports, n.seq, n.type, n.level, n.node_type, n.rule
+        FROM {nodes} e JOIN nr n ON {condition}"""
+
+
+_FOUND = ("(n.node_type IS NULL OR n.node_type = e.kind) AND (n.rule IS NULL OR contains(lower(e.text), lower(n.rule))) "
+          "AND n.condition = ")
+
+
+@register("classify_nodes", with_views("""
+SELECT pair_id, src, ord, seq, type, level,
+       concat_ws(' ', CASE WHEN rule IS NOT NULL THEN 'Found ' || rule || ' usage' END, CASE WHEN name <> '' THEN 'in ' || name END,
+                 '(' || kind || ')') AS evidence,
+       least(CAST(0.5 AS DOUBLE) + CASE WHEN rule IS NOT NULL THEN CAST(0.3 AS DOUBLE) ELSE 0 END
+             + CASE WHEN node_type IS NOT NULL THEN CAST(0.2 AS DOUBLE) ELSE 0 END
+             + CASE WHEN name <> '' THEN CAST(0.1 AS DOUBLE) ELSE 0 END
+             + CASE WHEN len(imports) > 0 THEN CAST(0.1 AS DOUBLE) ELSE 0 END, CAST(1 AS DOUBLE)) AS confidence
+FROM hits""", "code_pairs", extra=NODE_CTES + [
+    ("nr", _NODE_RULES_SQL),
+    ("renamed", """SELECT x.* FROM modified m JOIN els o ON o.pair_id = m.pair_id AND o.side = 'legacy' AND o.ord = m.l_ord
+          JOIN els x ON x.pair_id = m.pair_id AND x.side = 'refactored' AND x.ord = m.r_ord WHERE o.name <> x.name"""),
+    ("hits", _node_hit("added", "added", _FOUND + "'isNew'") + " UNION ALL " + _node_hit("removed", "removed", _FOUND + "'removed'")
+     + " UNION ALL " + _node_hit("modified", "renamed", "n.condition = 'nameChanged'"))]))
 def classify_nodes(spark, sf_dir):
-    """Node-level detections (rows-only: element texts are flat segments)."""
+    """Node-level detections of added, removed and renamed elements."""
     cp = code_pairs(spark, sf_dir).filter(F.col("language").isin(PARSED_LANGUAGES))
     d = M.element_changes(cp).select("pair_id", F.explode(REP.node_detection_array()).alias("d"))
     return d.select("pair_id", "d.*")
