@@ -4,10 +4,12 @@ that is not part of it, so the algorithm here is our choice."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def cluster_snippets(df: DataFrame, text_col: str = "text", k: int = 4, seed: int = 42,
@@ -19,3 +21,45 @@ def cluster_snippets(df: DataFrame, text_col: str = "text", k: int = 4, seed: in
               KMeans(featuresCol="_vec", predictionCol="cluster", k=k, seed=seed)]
     model = Pipeline(stages=stages).fit(df)
     return model.transform(df).drop("_tok", "_tf", "_vec")
+
+
+def fit_clusters(df: DataFrame, path: str, text_col: str = "text", ks=range(2, 7), seed: int = 42, num_features: int = 1 << 10) -> dict:
+    """Fit k-means for each k, store the model of the best silhouette (a tie: the smaller k) at ``path``; returns {k: silhouette}.
+
+    The texts are vectorised once, into a table beside the model; every fit and the silhouette (squared Euclidean, whose sums Spark takes in
+    one pass) are distributed, and the driver holds only the centres.  A k with fewer distinct texts than clusters has no
+    silhouette."""
+    prepare = Pipeline(stages=[
+        RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"[A-Za-z_][A-Za-z0-9_]*", gaps=False),
+        HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features), IDF(inputCol="_tf", outputCol="_vec")]).fit(df)
+    prepare.transform(df).select("_vec").write.parquet(f"{path}/vectors")
+    vectors = df.sparkSession.read.parquet(f"{path}/vectors")
+    score = ClusteringEvaluator(featuresCol="_vec", predictionCol="_k")
+    fitted, silhouettes = {}, {}
+    for k in ks:
+        model = KMeans(featuresCol="_vec", predictionCol="_k", k=k, seed=seed).fit(vectors)
+        if len(model.clusterCenters()) == k and sum(n > 0 for n in model.summary.clusterSizes) == k:
+            fitted[k], silhouettes[k] = model, score.evaluate(model.transform(vectors))
+    if not fitted:
+        raise ValueError("fewer distinct texts than clusters")
+    best = max(silhouettes, key=lambda k: (silhouettes[k], -k))
+    PipelineModel(stages=[*prepare.stages, fitted[best]]).write().save(f"{path}/model")
+    sizes = list(enumerate(fitted[best].summary.clusterSizes))
+    order = sorted(sizes, key=lambda s: (-s[1], s[0]))
+    df.sparkSession.createDataFrame([(i, rank, n) for rank, (i, n) in enumerate(order)], "center int, cluster int, n long").coalesce(1).write.parquet(f"{path}/labels")
+    return silhouettes
+
+
+def assign_clusters(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """``df`` with ``cluster`` from the model stored at ``path``: 0 for the largest cluster of the fit, then by falling size."""
+    labels = df.sparkSession.read.parquet(f"{path}/labels").collect()       # as many rows as clusters
+    rank = F.create_map(*[F.lit(x) for r in labels for x in (r.center, r.cluster)])
+    model = PipelineModel.load(f"{path}/model")
+    if model.stages[0].getInputCol() != text_col:
+        model.stages[0].setInputCol(text_col)
+    return model.transform(df).withColumn("cluster", rank[F.col("_k")]).drop("_tok", "_tf", "_vec", "_k")
+
+
+def with_cluster_labels(report: DataFrame, assigned: DataFrame, key: str = "pair_id") -> DataFrame:
+    """The report with the cluster label of each row (null where it has none), as its last column."""
+    return report.join(assigned.select(key, "cluster"), key, "left")
