@@ -4,7 +4,7 @@ Statistics come from Spark expressions, one row per document.  Rules are learned
 documents by sequential covering: a conjunction of thresholds is grown on two thirds of the rows that no earlier
 rule covers (each step takes the threshold with the best FOIL gain), pruned on the other third (conditions
 are dropped from the end while that raises (p - n) / (p + n)), and kept if it is precise enough there.  What
-it covers is taken out and the next rule is grown, until none is precise or the list is full.  All counting is done
+it covers is taken out and the next rule is grown, until none is precise.  All counting is done
 by Spark over binned statistics; the driver sees only counts per statistic and bin.  The list becomes one ordered
 CASE expression.
 
@@ -26,8 +26,6 @@ from codedelta.llm.common import SPACE_CLASS, let, non_empty, read_table, write_
 
 FIT_ROWS = 30000
 BINS = 32
-MOST_RULES = 8
-MOST_CONDITIONS = 3
 LEAST_PRECISION = 0.97
 #: Of the low-quality rows for pruning, a rule must find at least this part and number.
 LEAST_PART = 0.005
@@ -202,10 +200,11 @@ def learn(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Deci
     test = lambda c: F.col(c.name) > c.threshold if c.above else F.col(c.name) <= c.threshold
     low_prune = rows.agg(F.count_if(F.col("low") & ~F.col("grow"))).first()[0] or 0
     left = F.lit(True)
-    while len(found.rules) < MOST_RULES:
+    # Every rule finds LEAST_FOUND low rows that no earlier one did, and every condition a gain: both loops end.
+    while True:
         grown: list[Condition] = []
         inside = left & F.col("grow")
-        while len(grown) < MOST_CONDITIONS:
+        while True:
             hist = _histogram(rows, list(cuts), inside)
             if grown and not any(n for _, n in hist.values()):
                 break
