@@ -8,6 +8,7 @@ same key on all pages of a site."""
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html as _html
 import re
@@ -40,6 +41,7 @@ MAIN_WORDS = ({"article", "body"}, {"article", "content"}, {"article", "text"},
 CONTAINERS = frozenset("div section ul ol dl table aside nav header footer form figure address details center menu search".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_UNENDED = re.compile(r"<!--|<!\[CDATA\[")
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -102,7 +104,7 @@ def _kind(tag: str, attrs: str):
             main = 2
     else:
         main = 0
-    signature = tag + "".join("." + g for g in sorted(set(groups))[:6]) + ("@" + role if role else "")
+    signature = tag + "".join("." + g for g in sorted(set(groups))) + ("@" + role if role else "")
     if len(_kinds) > 100_000:
         _kinds.clear()
     _kinds[at] = found = signature, noise, main
@@ -125,15 +127,120 @@ class Block:
         self.element, self.text, self.link_chars = element, text, link_chars
 
 
+class _Stack:
+    """The open elements, with the places of each tag, so that no look-up walks the stack."""
+
+    def __init__(self, root):
+        self.items, self.at, self.articles = [root], {}, 0
+
+    def push(self, e) -> None:
+        self.at.setdefault(e.tag, []).append(len(self.items))
+        self.items.append(e)
+        self.articles += e.main == 3
+
+    def cut(self, index: int) -> None:
+        while len(self.items) > index:
+            e = self.items.pop()
+            self.at[e.tag].pop()
+            self.articles -= e.main == 3
+
+    def last(self, *tags) -> int:
+        """Highest place of an open element of these tags, 0 for none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def first_above(self, place: int, tags) -> int:
+        """Lowest place above ``place`` of an element of these tags, 0 for none."""
+        found = 0
+        for t in tags:
+            places = self.at.get(t) or ()
+            i = bisect.bisect_right(places, place)
+            if i < len(places):
+                found = min(found or places[i], places[i])
+        return found
+
+    def closed_by(self, tag: str) -> int:
+        """Place of the element that an end tag closes, 0 for none; most end tags do not reach out of a table or article."""
+        place = self.last(tag)
+        return place if tag in _REACHES_OUT or place > self.last("table", "article") else 0
+
+
+_REACHES_OUT = frozenset("table article body html main section div".split())
+_P_HOLDERS = ("table", "td", "th", "button", "object")
+
+
+class _Muted:
+    """An inline noise element: its tag, the token of its own end tag (None: never closed), the first block in it, the blocks open in it."""
+    __slots__ = ("tag", "end", "first_block", "open", "count")
+
+    def __init__(self, tag, end):
+        self.tag, self.end, self.first_block, self.open, self.count = tag, end, None, [], {}
+
+    def enter(self, tag) -> None:
+        self.open.append(tag)
+        self.count[tag] = self.count.get(tag, 0) + 1
+
+    def leave(self, tag) -> bool:
+        """Close the last open block of this tag and all in it; False if there is none."""
+        if not self.count.get(tag):
+            return False
+        while True:
+            inner = self.open.pop()
+            self.count[inner] -= 1
+            if inner == tag:
+                return True
+
+
+def _tokens(source: str) -> list:
+    """(start, end, tag, closing, attributes) of the markup in order; raw-text elements with what they hold are one token; tag None: other markup."""
+    found: list = []
+    at, n = 0, source.rfind(">") + 1
+    while at < n:
+        m = _TOKEN.search(source, at, n)
+        if m is None:
+            break
+        at = m.end()
+        tag = m[2] or m[5]
+        closing = (m[1] or m[4]) == "/"
+        attrs = (m[3] if m[2] else m[6]) or ""
+        if tag is not None:
+            tag = tag.lower()
+            if tag in RAW and not closing and (not attrs.endswith("/") or tag in ("script", "style")):
+                end = _raw_end.get(tag)
+                if end is None:
+                    end = _raw_end[tag] = re.compile(rf"</{tag}\s*[^>]*>", re.I)
+                stop = end.search(source, at)
+                at = stop.end() if stop else len(source)
+        elif not m[0].endswith(">"):     # a comment or section without end
+            at = len(source)
+        found.append((m.start(), at, tag, closing, attrs))
+    m = _UNENDED.search(source, at)
+    if m is not None:
+        found.append((m.start(), len(source), None, False, ""))
+    return found
+
+
+def _own_ends(tokens: list) -> dict:
+    """Of each start tag of an inline element, the token of its end tag by counting tags of its name."""
+    ends: dict = {}
+    waiting: dict = {}
+    for i, (_, _, tag, closing, _) in enumerate(tokens):
+        if tag in INLINE:
+            if not closing:
+                waiting.setdefault(tag, []).append(i)
+            elif waiting.get(tag):
+                ends[waiting[tag].pop()] = i
+    return ends
+
+
 def parse(source: str):
     """(elements, blocks) of a page, in document order."""
     root = Element("#root", 1, None, 0, 0, 0)
-    stack, elements, blocks = [root], [root], []
+    stack, elements, blocks = _Stack(root), [root], []
     pieces: list[str] = []
     links = link_chars = 0
-    #: Of an inline noise element: tag, open ones of that tag, first block start tag in it, blocks opened in it.
-    muted: list | None = None
-    at, n = 0, len(source)
+    muted: _Muted | None = None
+    tokens = _tokens(source)
+    own_ends = _own_ends(tokens)
 
     def flush():
         nonlocal pieces, link_chars
@@ -141,138 +248,111 @@ def parse(source: str):
             raw = "".join(pieces)
             text = " ".join((_html.unescape(raw) if "&" in raw else raw).split())
             if text:
-                top = stack[-1]
+                top = stack.items[-1]
                 top.children.append(0)
                 blocks.append(Block(top, text, min(link_chars, len(text))))
             pieces = []
         link_chars = 0
 
-    def opened(tag: str) -> int:
-        """Index of the element that an end tag closes, 0 for none."""
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == tag:
-                return i
-            if stack[i].tag in ("table", "article") and tag not in ("table", "article", "body", "html", "main", "section", "div"):
-                break
-        return 0
-
-    def pop_to(index: int):
+    def pop_to(place: int):
         flush()
-        del stack[index:]
+        stack.cut(place)
 
+    at = i = 0
     while True:
-        m = _TOKEN.search(source, at) if at < n else None
-        if m is None:
-            if muted is not None and muted[2] is not None:     # never closed: it ends at the first block in it
-                at, muted = muted[2], None
+        if i == len(tokens):
+            if muted is not None and muted.first_block is not None:     # never closed: it ends at the first block in it
+                i, muted = muted.first_block, None
+                at = tokens[i][0]
                 continue
             if muted is None:
                 pieces.append(source[at:])
             break
-        if m.start() > at and muted is None:
-            pieces.append(source[at:m.start()])
+        start, end, tag, closing, attrs = tokens[i]
+        if start > at and muted is None:
+            pieces.append(source[at:start])
             if links:
-                link_chars += m.start() - at
-        at = m.end()
-        tag = m[2] or m[5]
+                link_chars += start - at
+        at = end
+        i += 1
         if tag is None:
-            whole = m[0]
-            if whole.startswith("<![CDATA[") and muted is None:
-                pieces.append(_html.escape(whole[9:].removesuffix("]]>")))
+            if muted is None and source.startswith("<![CDATA[", start):
+                pieces.append(_html.escape(source[start + 9:end].removesuffix("]]>")))
             continue
-        closing = (m[1] or m[4]) == "/"
-        attrs = m[3] if m[2] else m[6]
-        tag = tag.lower()
         if muted is not None:
-            if tag == muted[0]:
-                muted[1] += -1 if closing else 1
-                if muted[1] == 0:
+            if tag == muted.tag:
+                if muted.end == i - 1:
                     muted = None
                 continue
-            if tag in INLINE or tag in VOID:
+            if tag in INLINE or tag in VOID or (tag in RAW and not closing):
                 continue
             if not closing:
-                if tag not in RAW:
-                    if muted[2] is None:
-                        muted[2] = m.start()
-                    if not attrs.rstrip().endswith("/"):
-                        muted[3].append(tag)
+                if muted.end is None:     # never closed: it ends here
+                    i, at, muted = i - 1, start, None
                     continue
-            elif tag in muted[3]:
-                del muted[3][len(muted[3]) - 1 - muted[3][::-1].index(tag):]
+                if muted.first_block is None:
+                    muted.first_block = i - 1
+                if not attrs.rstrip().endswith("/"):
+                    muted.enter(tag)
                 continue
-            elif not opened(tag):
+            if muted.leave(tag) or not stack.closed_by(tag):
+                continue
+            again, muted = muted.first_block, None     # the block around it ends: it was not closed
+            if again is not None:
+                i, at = again, tokens[again][0]
                 continue
-            else:     # the block around it ends: it was not closed
-                again, muted = muted[2], None
-                if again is not None:
-                    at = again
-                    continue
         if tag in INLINE:
             if tag == "a":
                 links = max(0, links - 1) if closing else 1
             elif attrs and not closing and not attrs.rstrip().endswith("/") and _kind(tag, attrs)[1]:
-                muted = [tag, 1, None, []]
+                muted = _Muted(tag, own_ends.get(i - 1))
             continue
         if tag == "br":
             pieces.append(" ")
             continue
         if closing:
-            i = opened(tag)
-            if i:
-                pop_to(i)
+            place = stack.closed_by(tag)
+            if place:
+                pop_to(place)
             links = 0
             continue
         if tag in RAW:
-            end = _raw_end.get(tag)
-            if end is None:
-                end = _raw_end[tag] = re.compile(rf"</{tag}\s*[^>]*>", re.I)
-            if not attrs.endswith("/") or tag in ("script", "style"):
-                stop = end.search(source, at)
-                at = stop.end() if stop else n
             continue
         if tag in VOID:
             if tag == "hr":
                 flush()
             continue
         if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    pop_to(i)
-                    break
-                if stack[i].tag in ("table", "td", "th", "button", "object"):
-                    break
+            place = stack.last("p")
+            if place > stack.last(*_P_HOLDERS):
+                pop_to(place)
         if tag in CLOSES:
             names, bounds = CLOSES[tag]
-            lowest = None
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in bounds:
-                    break
-                if stack[i].tag in names:
-                    lowest = i
-                    if tag in ("li", "dt", "dd", "option"):
-                        break
-            if lowest is not None:
+            bound = stack.last(*bounds)
+            if tag in ("li", "dt", "dd", "option"):
+                lowest = stack.last(*names)
+            else:
+                lowest = stack.first_above(bound, names)
+            if lowest > bound:
                 pop_to(lowest)
         flush()
         links = 0
         if attrs.rstrip().endswith("/") and tag in ("svg", "path", "use", "g"):
             continue
-        if tag in ("html", "body") and len(stack) > 1 and any(e.tag == tag for e in stack):
+        if tag in ("html", "body") and stack.last(tag):
             continue
-        parent = stack[-1]
+        parent = stack.items[-1]
         signature, noise, main = _kind(tag, attrs)
-        if tag == "header" and not any(e.main == 3 for e in stack):
+        if tag == "header" and not stack.articles:
             noise, main = 2, 0
         key = key_of(parent.key, signature)
         e = Element(tag, key, parent, noise, main, parent.depth + 1)
         parent.children.append(key)
-        stack.append(e)
+        stack.push(e)
         elements.append(e)
-        if main >= 2:
-            up = parent
-            while up is not None:
-                up.holds_main = max(up.holds_main, main)
-                up = up.parent
+        up = parent
+        while main >= 2 and up is not None and up.holds_main < main:
+            up.holds_main = main
+            up = up.parent
     flush()
     return elements, blocks

@@ -10,8 +10,8 @@ text directly in it.  Over the m pages that have the node,
   a block (content importance), weighted by their average share among the node's children.  Never less than m, so that
   unique text does not lose importance with each element around it.
 
-Containers of low importance on at least ``LEAST_PAGES`` pages of a host are removed from each page, as are
-elements that HTML's own meaning marks (navigation, footers, forms, hidden parts) or whose class or id names them as
+Containers of low importance are removed from each page of a host; as if ``PRIOR_PAGES`` more pages had shown a container
+to be unique, so that few pages must agree more than many.  Removed too are elements that HTML's own meaning marks (navigation, footers, forms, hidden parts) or whose class or id names them as
 adverts, notices, comments and the like; both have importance 0.  A branch that holds an article
 or main element is never removed; where the tree alone would take most of an article or all text of a page, the
 page keeps what its markup does not rule out.  Where a page has articles, the text is theirs; else that of its main element, else of
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from codedelta.llm import dom
 from codedelta.llm.common import map_arrow, read_table, write_table
 
-LEAST_PAGES = 5
+PRIOR_PAGES = 0.4
 LOW_IMPORTANCE = 0.2
 PRESENTATION = 0.1
 #: Depths that are a level of their own; the nodes below a node of the last one are handled together.
@@ -147,18 +147,22 @@ def importances(counts: DataFrame) -> DataFrame:
     return done.select("host", "node", "container", "pages", "importance")
 
 
-def noise_nodes(pages: DataFrame, low: float = LOW_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
+def noise_nodes(pages: DataFrame, low: float = LOW_IMPORTANCE, prior_pages: float = PRIOR_PAGES) -> DataFrame:
     """(host, noise): the keys of the low-importance containers of each host, as many as its templates have."""
     imp = importances(write_table(tree_counts(pages), "counts"))
-    low_ones = imp.filter(F.col("container") & (F.col("pages") >= least_pages) & (F.col("importance") < low))
+    shrunk = (F.col("pages") * F.col("importance") + prior_pages) / (F.col("pages") + prior_pages)
+    low_ones = imp.filter(F.col("container") & (shrunk < low))
     return low_ones.groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("noise"))
 
 
 def main_text(source: str, noise=frozenset()) -> str:
     """The main text of a page, given the keys of the host's low-importance containers."""
     elements, blocks = dom.parse(source)
-    top = max((e.main for e in elements if e.main >= 2 and not _ruled_out(e)), default=0)
-    named = not top and any(e.main == 1 and not _ruled_out(e) for e in elements)
+    ruled_out: dict = {}     # parents come first
+    for e in elements:
+        ruled_out[id(e)] = _marked(e) or (e.parent is not None and ruled_out[id(e.parent)])
+    top = max((e.main for e in elements if e.main >= 2 and not ruled_out[id(e)]), default=0)
+    named = not top and any(e.main == 1 and not ruled_out[id(e)] for e in elements)
 
     def picked(noise) -> list:
         state: dict = {id(elements[0]): (False, not top and not named)}
@@ -186,14 +190,6 @@ def _marked(e) -> bool:
     return bool(e.noise) and not (e.noise == 1 and e.holds_main)
 
 
-def _ruled_out(e) -> bool:
-    while e is not None:
-        if _marked(e):
-            return True
-        e = e.parent
-    return False
-
-
 def _extracted(batches):
     for batch in batches:
         texts = []
@@ -204,9 +200,9 @@ def _extracted(batches):
                               names=["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame, low: float = LOW_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
+def extract(pages: DataFrame, low: float = LOW_IMPORTANCE, prior_pages: float = PRIOR_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
-    noise = write_table(noise_nodes(pages, low, least_pages), "site_noise").withColumnRenamed("host", "h")
+    noise = write_table(noise_nodes(pages, low, prior_pages), "site_noise").withColumnRenamed("host", "h")
     p = pages.select("page_id", "url", "html")
     p = p.join(noise, host_of(F.col("url")) == F.col("h"), "left").select("page_id", "url", "html", "noise")
     return map_arrow(p, _extracted, "page_id long, url string, text string, n_chars long")

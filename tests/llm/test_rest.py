@@ -2,6 +2,9 @@
 
 import gzip
 import hashlib
+import math
+import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -11,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from codedelta.llm import mixing, ordinal_quality, secret_forest, site_tree, token_counts, token_store, warc
+from codedelta.llm import dom, mixing, ordinal_quality, secret_forest, site_tree, token_counts, token_store, warc
 from codedelta.llm.common import new_path
 from codedelta.llm.encoding import tokenizer_path
 
@@ -289,6 +292,68 @@ def test_site_tree_at_depth(spark):
     assert {r["page_id"]: r["text"] for r in out.collect()} == expected
 
 
+def test_site_tree_on_hosts_of_few_pages(spark):
+    """Unmarked template parts go from two pages on; what few pages have partly in common stays."""
+    rows, expected = [], {}
+    for m in (1, 2, 3, 5, 50):
+        for k in range(m):
+            own = f"<div class=q2><p>Own words {m} {'abcdefghij'[k % 10]} {k}</p><p>Same end.</p></div>"
+            rows.append((100 * m + k, f"http://h{m}.example/{k}", f"<body><div class=q1><div>Menu</div><div>Notice</div></div>{own}</body>"))
+            expected[100 * m + k] = ("Menu\nNotice\n" if m == 1 else "") + f"Own words {m} {'abcdefghij'[k % 10]} {k}\nSame end."
+    out = site_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4))
+    assert {r["page_id"]: r["text"] for r in out.collect()} == expected
+
+
+def _brute_importances(pages):
+    """{key: (pages, importance)} of one host, straight from the definition."""
+    parsed = [dom.parse(p) for p in pages]
+    depth = {e.key: e.depth for elements, _ in parsed for e in elements}
+    result = {}
+    for key in sorted(depth, key=lambda k: -depth[k]):
+        places = [[e for e in elements if e.key == key] for elements, _ in parsed]
+        shown = [p for p in places if p]
+        m = len(shown)
+        styles = [x for p in shown for x in {tuple(e.children) for e in p}]
+        texts = [t for (_, blocks), p in zip(parsed, places) if p for t in {b.text for b in blocks if b.element.key == key}]
+        share = [styles.count(x) / len(styles) for x in set(styles)]
+        presentation = min(1.0, -sum(x * math.log(x, m) for x in share)) if m > 1 else 1.0
+        content = sum(1 - math.log(texts.count(t), m) if m > 1 else 1.0 for t in set(texts)) / len(set(texts)) if texts else 0.0
+        part = lambda c: result[c][1] if c else content
+        inner = sum(sum(sum(map(part, e.children)) / len(e.children) for e in p if e.children) / len(p) for p in shown) / m
+        result[key] = m, inner + site_tree.PRESENTATION * presentation * (1 - inner)
+    return result
+
+
+def test_importances_against_brute_force(spark):
+    rng = random.Random(3)
+
+    def branch(depth):
+        inside = "".join(branch(depth + 1) if rng.random() < 0.8 - depth / 25 else f"<p>{rng.choice(['same', 'other', str(rng.random())])}</p>"
+                         for _ in range(rng.choice((1, 1, 1, 2, 3) if depth > 3 else (1, 2, 3))))
+        return f"<div class={rng.choice('ab')}>{inside}</div>"
+    hosts = {f"h{m}.example": ["<body>" + branch(0) + "</body>" if k % 4 else "<p>short</p>" for k in range(m)] for m in (1, 2, 9)}
+    rows = [(1, f"http://{h}/", p) for h, pages in hosts.items() for p in pages]
+    assert max(e.depth for _, _, p in rows for e in dom.parse(p)[0]) > site_tree.LEVELS + 1
+    counts = site_tree.tree_counts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    got = {(r["host"], r["node"]): (r["pages"], r["importance"]) for r in site_tree.importances(counts).collect()}
+    expected = {(h, key): v for h, pages in hosts.items() for key, v in _brute_importances(pages).items()}
+    assert got.keys() == expected.keys()
+    assert all(got[k][0] == v[0] and abs(got[k][1] - v[1]) < 1e-9 for k, v in expected.items())
+
+
+def test_parser_is_linear():
+    """Hostile pages of 40 KB and more take a moment, and names of any number tell elements apart."""
+    many = ['<span class="ad"><p>' * 4000, '<div><span class="ad"><p>' * 4000, "<div>" * 16000 + "x", "<article>" * 16000 + "x", "<p><td>" + "<div>" * 16000,
+            "<a " * 40000, '<a "' * 40000, "<span class=ad>" + "<div>" * 16000 + "</div>" * 16000 + "</span>"]
+    start = time.perf_counter()
+    for page in many:
+        site_tree.main_text(page)
+    assert time.perf_counter() - start < 8
+    names = "a b c d e f g"
+    one, other = (dom.parse(f'<div class="{names} {x}">t</div>')[0][1].key for x in ("y", "z"))
+    assert one != other
+
+
 # tokens
 
 ODD = ["", None, "abc", "don't can't 'S", "a|b <|startoftext|> <|endoftext|>x", "x y z", "é́ ≮ Σας ΑΣ", "1a2b..c,'d--e", "İstanbul \x01 \x01x", "\n\n a \n\tb  c\r\n",
