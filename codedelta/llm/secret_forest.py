@@ -2,14 +2,15 @@
 
 Candidates are runs of at least ``LEAST_LENGTH`` letters, digits and ``+ / _ -`` in a text, with the ``=`` that pad their
 end, and values of any length and characters that are assigned to a secret's name, in quotes or up to white space or
-a separator.  A run inside a value without white space is part of it.  Each candidate is described by its length, shares of character kinds, changes of kind, entropy, the part of its letters that words of
+a separator, passwords of URLs (``scheme://user:password@host``) and PEM blocks of private keys, each one candidate.  What begins inside a
+value without white space or a PEM block is part of it, so that candidates together are no longer than a few times their text.  Each candidate is described by its length, shares of character kinds, changes of kind, entropy, the part of its letters that words of
 the dictionary cover, by its document's path, and by the words before it.  The dictionary is the corpus's
 own: the most frequent words of 4 to 12 letters, counted over all texts.  The forest (Spark ML) is trained from
 labelled findings (doc_id, first_char, label) on at most about ``FIT_ROWS`` of them; of half of these the neighbourhood is
 hidden, so that the forest also learns from the characters alone.  Every candidate gets its probability.
 
 The tables hold no labelled findings.  The query labels those whose neighbourhood leaves no doubt: a value in quotes assigned
-to a secret's name is one if it has no white space; a candidate without digits, or of digits alone, that is assigned to nothing
+to a secret's name is one if it has no white space, as are a URL's password and a PEM block; a candidate without digits, or of digits alone, that is assigned to nothing
 and holds no secret's name is none.
 
 Edge cases: null and empty texts have no candidates; equal candidates are separate findings; a null path has
@@ -51,6 +52,8 @@ _HOLDS_NAME = re.compile(r"(?i)" + _NAMES)
 _ASSIGNMENT = re.compile(r"(?:=>|:=|={1,3}|:(?!:|//))[^\S\n]*(?:(?i:bearer|basic)[^\S\n]+)?")
 #: In quotes, or bare up to white space, a separator or the next parameter of a URL; a quote may stay open.
 _VALUE = re.compile(r"""\"((?:[^"\\\n]|\\.)+)\"|'((?:[^'\\\n]|\\.)+)'|`([^`\n]+)`|["'`]?((?:[^\s"'`,;()\[\]{}<>&]|&(?![\w.\-]+=))+)""")
+_URL_PASSWORD = re.compile(r"""://[^\s/?#@:"'<>]*:([^\s/?#@"'<>]+)@""")
+_PEM = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:[A-Za-z0-9+/=\s\\:,.()]|-(?!----))*+-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----")
 _ASSIGNED = re.compile(r"(?:=|:|=>)\s*[\"'`]?$")
 _SAMPLE = re.compile(r"(?i)example|sample|dummy|placeholder|changeme|xxxx|test")
 _SPACE = re.compile(r"\s")
@@ -130,12 +133,25 @@ def _named(tail: str) -> bool:
     return bool(_NAME.search(tail.rstrip("\"'` ").rstrip("=:> ")))
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """(first, end) of the candidates of a text, one for each first."""
-    found: dict = {}
-    solid = []
+def _certain(text: str) -> list[tuple[int, int]]:
+    """(first, end) of the PEM blocks and passwords of URLs of a text, in order."""
+    found = [m.span() for m in _PEM.finditer(text)] if "-----BEGIN " in text else []
+    if "://" in text:
+        found += [m.span(1) for m in _URL_PASSWORD.finditer(text)]
+    return sorted(found)
+
+
+def candidates(text: str, certain: list | None = None) -> list[tuple[int, int]]:
+    """(first, end) of the candidates of a text, one for each first; ``certain``: those of ``_certain``, if at hand."""
+    certain = _certain(text) if certain is None else certain
+    found = dict(certain)
+    solid = list(certain)
+    at = far = 0
     for m in _ASSIGNMENT.finditer(text):
-        if not _named(_tail(text[max(0, m.end() - BEFORE):m.end()])):
+        while at < len(certain) and certain[at][0] < m.end():
+            far = max(far, certain[at][1])
+            at += 1
+        if m.end() < far or not _named(_tail(text[max(0, m.end() - BEFORE):m.end()])):
             continue
         v = _VALUE.match(text, m.end())
         if v is None:
@@ -143,10 +159,12 @@ def candidates(text: str) -> list[tuple[int, int]]:
         a, b = v.span(v.lastindex)
         if v.lastindex == 4:       # the end of a sentence is none of the value
             b = a + len(text[a:b].rstrip(".:"))
-        if a < b:
+        if a < b and a >= far:
             found[a] = max(found.get(a, 0), b)
             if not _SPACE.search(text, a, b):
                 solid.append((a, b))
+                far = max(far, b)
+    solid.sort()
     at = far = 0
     for m in _RUN.finditer(text):
         a, b = m.span()
@@ -214,12 +232,14 @@ def _findings(words: np.ndarray):
                 if not text:
                     continue
                 path = path.as_py()
-                for a, b in candidates(text):
+                sure = _certain(text)
+                firsts = {a for a, _ in sure}
+                for a, b in candidates(text, sure):
                     s = text[a:b]
                     chars = character_features(s)
                     near = context_features(text[max(0, a - BEFORE):a], text[b:b + 1], path)
-                    marked = near[0] == 1 and near[1] == 1 and near[2] == 1 and not near[3] and not _SPACE.search(s)
-                    plain = not near[0] and not near[1] and (chars[1] == 0 or chars[1] == 1) and not _HOLDS_NAME.search(s)
+                    marked = a in firsts or (near[0] == 1 and near[1] == 1 and near[2] == 1 and not near[3] and not _SPACE.search(s))
+                    plain = a not in firsts and not near[0] and not near[1] and (chars[1] == 0 or chars[1] == 1) and not _HOLDS_NAME.search(s)
                     rows.append([doc_id.as_py(), a, b, hashlib.sha256(s.encode()).hexdigest(), *chars, *near, marked, plain])
                     texts.append(s)
                 if len(rows) >= 8192:
