@@ -80,7 +80,7 @@ def _examples(batches):
             code, count = np.unique((doc << CELL_BITS) | cells, return_counts=True)
             cut = np.searchsorted(code >> CELL_BITS, np.arange(hi - lo + 1))
             low = (code & ((1 << CELL_BITS) - 1)).astype(np.uint32)
-            count = np.minimum(count, 65535).astype(np.uint16)
+            count = count.astype(np.uint32)
             yield pa.record_batch([
                 ids.slice(lo, hi - lo), pa.array(grade[lo:hi]), pa.array(n_words.astype(np.int64)),
                 pa.array([low[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
@@ -199,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ordin
     cells = raw[offsets[0]:offsets[-1]].view(np.uint32)
     doc = np.repeat(np.arange(len(grade), dtype=np.int32), np.diff(offsets) // 4)
     raw, offsets = textnp.column_bytes(got.column("counts"))
-    counts = raw[offsets[0]:offsets[-1]].view(np.uint16)
+    counts = raw[offsets[0]:offsets[-1]].view(np.uint32)
     shape = np.stack([np.frombuffer(b) for b in got.column("shape").to_pylist()])
     model = Ordinal(_chosen_cells(cells, counts, doc, n_words, grade))
     some = np.zeros(1 << CELL_BITS, bool)
