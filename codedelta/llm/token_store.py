@@ -39,10 +39,15 @@ _SHARD = ("part long, seq long, base long, width int, n_ids long, has_id binary,
           "first binary, rules binary, lengths binary, symbols binary")
 
 
-def _frequent_pairs(seq: np.ndarray, joinable: np.ndarray, most: int, least: int) -> np.ndarray:
+def _cells(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The hashed cell of each pair of symbols (uint32)."""
+    return (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - CELL_BITS)
+
+
+def _frequent_pairs(seq: np.ndarray, joinable: np.ndarray, cell: np.ndarray, most: int, least: int) -> np.ndarray:
     """The up to ``most`` most frequent neighbouring pairs, as left << 32 | right."""
-    cell = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - CELL_BITS)
-    counts = np.bincount(cell[joinable], minlength=1 << CELL_BITS)
+    # The pairs that may not be joined are few (two for each end id): they are taken off the count of all.
+    counts = np.bincount(cell, minlength=1 << CELL_BITS) - np.bincount(cell[np.flatnonzero(~joinable)], minlength=1 << CELL_BITS)
     every = counts >= least
     full = every
     if every.sum() > 2 * most:
@@ -69,17 +74,22 @@ def repair(seq: np.ndarray, base: int, end: int = END_ID, most: int = RULES_PER_
     while len(seq) > 1:
         joinable = seq != end
         joinable = joinable[:-1] & joinable[1:]
-        pairs = _frequent_pairs(seq, joinable, most, least)
+        cell = _cells(seq[:-1], seq[1:])
+        pairs = _frequent_pairs(seq, joinable, cell, most, least)
         if not len(pairs):
             break
-        # Only left symbols of some rule need the exact look-up.
-        lefts = np.zeros(base + n_rules, bool)
-        lefts[(pairs >> np.uint64(32)).astype(np.int64)] = True
-        rights = np.zeros(base + n_rules, bool)
-        rights[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
-        at = np.flatnonzero(joinable & lefts[seq[:-1]] & rights[seq[1:]])
+        # A pair's cell leads to its rule; only where rules share a cell the pair itself is looked up.
+        own = _cells((pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32))
+        rule_of = np.full(1 << CELL_BITS, -1, np.int32)
+        rule_of[own] = np.arange(len(pairs))
+        shared = np.zeros(1 << CELL_BITS, bool)
+        shared[own[rule_of[own] != np.arange(len(pairs))]] = True
+        rule = rule_of[cell]
+        at = np.flatnonzero((rule >= 0) & joinable)
+        rule = rule[at].astype(np.int64)
         code = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
-        rule = np.minimum(np.searchsorted(pairs, code), len(pairs) - 1)
+        unsure = np.flatnonzero(shared[cell[at]])
+        rule[unsure] = np.minimum(np.searchsorted(pairs, code[unsure]), len(pairs) - 1)
         hit = pairs[rule] == code
         at, rule = at[hit], rule[hit]
         # In a run of overlapping occurrences every second one is replaced.
