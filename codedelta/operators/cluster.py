@@ -4,6 +4,7 @@ that is not part of it, so the algorithm here is our choice."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -14,13 +15,19 @@ from pyspark.sql import functions as F
 
 def cluster_snippets(df: DataFrame, text_col: str = "text", k: int = 4, seed: int = 42,
                      num_features: int = 1 << 14) -> DataFrame:
-    """Adds ``cluster`` (int) to ``df``; fits on the whole input (distributed)."""
-    stages = [RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"[A-Za-z_][A-Za-z0-9_]*", gaps=False),
-              HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
-              IDF(inputCol="_tf", outputCol="_vec"),
-              KMeans(featuresCol="_vec", predictionCol="cluster", k=k, seed=seed)]
-    model = Pipeline(stages=stages).fit(df)
-    return model.transform(df).drop("_tok", "_tf", "_vec")
+    """Adds ``cluster`` (int) to ``df``; fits on the whole input (distributed).
+
+    Tokenising costs most, and IDF and every pass of k-means would do it anew: for the fit the term frequencies are kept on the executors'
+    disks, in the partitions of ``df``, and dropped when the model stands."""
+    prepare = PipelineModel([RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"[A-Za-z_][A-Za-z0-9_]*", gaps=False),
+                             HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features)])
+    counted = prepare.transform(df).select("_tf").persist(StorageLevel.DISK_ONLY)
+    try:
+        idf = IDF(inputCol="_tf", outputCol="_vec").fit(counted)
+        model = KMeans(featuresCol="_vec", predictionCol="cluster", k=k, seed=seed).fit(idf.transform(counted).select("_vec"))
+    finally:
+        counted.unpersist()
+    return PipelineModel([prepare, idf, model]).transform(df).drop("_tok", "_tf", "_vec")
 
 
 def fit_clusters(df: DataFrame, path: str, text_col: str = "text", ks=range(2, 7), seed: int = 42, num_features: int = 1 << 10) -> dict:

@@ -33,3 +33,16 @@ def test_labels_join_the_report(spark):
     assigned = spark.createDataFrame([("a", 0)], "pair_id string, cluster int")
     rows = CL.with_cluster_labels(report, assigned).orderBy(F.col("pair_id")).collect()
     assert [tuple(r) for r in rows] == [("a", 1, 0), ("b", 2, None)]
+
+
+def test_the_fit_tokenises_each_text_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(text):
+        seen.add(1)
+        return text
+    texts = spark.createDataFrame([(i, f"alpha beta w{i % 3} w{i % 3} v{i % 5}") for i in range(30)], "id long, text string")
+    df = texts.select("id", F.udf(note, useArrow=False)("text").alias("text"))
+    out = CL.cluster_snippets(df, k=2, num_features=64)
+    assert seen.value == 30
+    assert out.count() == 30 and not spark.sparkContext._jsc.getPersistentRDDs()
