@@ -52,6 +52,38 @@ def test_jaccard_copies_before_the_least_id(spark):
     assert got == brute.components(rows) and got[60] == (96, 10)
 
 
+def test_jaccard_frequent_tokens_are_last(spark, monkeypatch):
+    """A passage of 100 documents, a few in each partition: its shingles are among nobody's first tokens."""
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(20)]
+    rows = [(k, " ".join([f"o{rng.randrange(10**9)}" for _ in range(100)] + passage)) for k in range(100)]
+    rows += [(100 + k, rows[k][1] + " one more") for k in range(2)]
+    tables = {}
+    write = jaccard_join.write_table
+    monkeypatch.setattr(jaccard_join, "write_table", lambda df, name: tables.setdefault(name, write(df, name)))
+    got = {r[0]: (r[1], r[2]) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(20)).collect()}
+    assert got == brute.components(rows) and got[101] == (118, 1)
+    assert tables["entries"].groupBy("token").agg(F.countDistinct("id").alias("c")).filter("c > 2").count() == 0
+
+
+def test_jaccard_tokens_of_many_groups(spark, monkeypatch):
+    """Near copies around the limit, with all tokens taken as those of many groups, packed and not."""
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for k in range(50):
+        other = list(base)
+        for _ in range(1 + k % 5):
+            other[rng.randrange(len(other))] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(other)))
+    expected = brute.components(rows)
+    assert 3 < len({c for _, c in expected.values()}) < 40
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r[0]: (r[1], r[2]) for r in jaccard_join.jaccard_components(df, wide=0).collect()} == expected
+    monkeypatch.setattr(jaccard_join, "UNPACKED", 1)
+    assert {r[0]: (r[1], r[2]) for r in jaccard_join.jaccard_components(df, wide=3).collect()} == expected
+
+
 def test_components_of_a_path(spark):
     n = 60
     edges = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
