@@ -4,29 +4,53 @@ that is not part of it, so the algorithm here is our choice."""
 
 from __future__ import annotations
 
+from contextlib import ExitStack, contextmanager
+
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a cached batch of the fit.  Spark writes and reads cached batches through an object stream that holds on to the last 100 of them: of
+#: its default, 10,000 rows or 4 MB, these are 400 MB for every stream of every task.
+FIT_BATCH_ROWS = 16
+#: Outside the heap where executors have memory there (``spark.memory.offHeap``), else nowhere: each pass makes the rows anew.
+OUTSIDE_HEAP = StorageLevel(useDisk=False, useMemory=True, useOffHeap=True, deserialized=False)
+
+
+@contextmanager
+def _small_cached_batches(spark: SparkSession):
+    """Lowers the rows of a cached batch for what is first cached inside; a lower setting of the session stays."""
+    key = "spark.sql.inMemoryColumnarStorage.batchSize"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), FIT_BATCH_ROWS)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cluster_snippets(df: DataFrame, text_col: str = "text", k: int = 4, seed: int = 42,
                      num_features: int = 1 << 14) -> DataFrame:
     """Adds ``cluster`` (int) to ``df``; fits on the whole input (distributed).
 
     Tokenising costs most, and IDF and every pass of k-means would do it anew: for the fit the term frequencies are kept on the executors'
-    disks, in the partitions of ``df``, and dropped when the model stands."""
+    disks, in the partitions of ``df``, and dropped when the model stands.  K-means keeps vectors without a storage level as objects in the
+    executors' heaps, which they fill as the input grows.  With one it keeps their norms only (8 bytes a row), and each pass weights the
+    frequencies anew, a batch at a time."""
     prepare = PipelineModel([RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"[A-Za-z_][A-Za-z0-9_]*", gaps=False),
                              HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features)])
-    counted = prepare.transform(df).select("_tf").persist(StorageLevel.DISK_ONLY)
-    try:
+    with _small_cached_batches(df.sparkSession), ExitStack() as kept:
+        counted = prepare.transform(df).select("_tf").persist(StorageLevel.DISK_ONLY)
+        kept.callback(counted.unpersist)
         idf = IDF(inputCol="_tf", outputCol="_vec").fit(counted)
-        model = KMeans(featuresCol="_vec", predictionCol="cluster", k=k, seed=seed).fit(idf.transform(counted).select("_vec"))
-    finally:
-        counted.unpersist()
+        vectors = idf.transform(counted).select("_vec").persist(OUTSIDE_HEAP)
+        kept.callback(vectors.unpersist)
+        model = KMeans(featuresCol="_vec", predictionCol="cluster", k=k, seed=seed).fit(vectors)
     return PipelineModel([prepare, idf, model]).transform(df).drop("_tok", "_tf", "_vec")
 
 

@@ -1,5 +1,6 @@
 """Clusters of snippets: choice of k, stored model, labels by size."""
 import tempfile
+import threading
 
 import numpy as np
 from pyspark.ml import PipelineModel
@@ -46,3 +47,35 @@ def test_the_fit_tokenises_each_text_once(spark):
     out = CL.cluster_snippets(df, k=2, num_features=64)
     assert seen.value == 30
     assert out.count() == 30 and not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_the_fit_holds_few_rows_in_the_heap(spark, monkeypatch):
+    """Vectors stay out of the heap's block store, and a cached batch (Spark's streams hold on to 100) has few rows.
+
+    Spark solves by rows here as on any input of more rows than features; on fewer it may keep blocks of them."""
+    stored = lambda: {i.id(): i for i in spark.sparkContext._jsc.sc().getRDDStorageInfo()}
+    old, most, batches, over = set(stored()), [0], [], threading.Event()
+    fit = CL.KMeans.fit
+
+    def watch():
+        while not over.wait(0.005):
+            most.append(sum(i.memSize() for k, i in stored().items() if k not in old))
+
+    def noted(self, vectors):
+        batches.extend(rdd.count() for k, rdd in spark.sparkContext._jsc.getPersistentRDDs().items() if k not in old)
+        return fit(self, vectors)
+    monkeypatch.setattr(CL.KMeans, "fit", noted)
+    rows, size = 600, "spark.sql.inMemoryColumnarStorage.batchSize"
+    before = spark.conf.get(size)
+    df = spark.range(0, rows, 1, 2).select("id", F.expr("array_join(transform(sequence(0, 299), x -> concat('w', (x * (1 + id % 7)) % 997)), ' ')").alias("text"))
+    poll = threading.Thread(target=watch)
+    poll.start()
+    try:
+        out = CL.cluster_snippets(df, k=3, num_features=64)
+    finally:
+        over.set()
+        poll.join()
+    assert len(most) > 10 and max(most) < 100 * rows            # the vectors are over 500 bytes a row
+    assert sum(batches) >= rows / 50
+    assert spark.conf.get(size) == before and not set(stored()) - old
+    assert out.count() == rows
